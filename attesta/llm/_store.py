@@ -1,9 +1,10 @@
-"""Tables written once into the cluster's shared checkpoint folder."""
+"""Tables that a plan reads more than once, and the cluster's shared checkpoint folder."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests on one machine.
@@ -24,15 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs no recomputation of what stands
-    before, and a table used twice is computed once.
+    This cuts lineage, for the tables of a loop. The table is small beside the
+    input, so it is written by an eighth of the shuffle's tasks.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attesta/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    df.coalesce(max(8, partitions(spark) // 8)).write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks, as it is read more than once.
+
+    What a lost executor held is computed again from the inputs; no memory is
+    taken, and no file but Spark's own blocks is written.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     spark = df.sparkSession

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join
+from . import decontaminate, license_scan, line_dedup, ngram_join, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +22,38 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(_table(spark, sf_dir, "documents"), n=4, p=85, q=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_ngram_join)}
-ORACLES: dict[str, str] = {}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and expressions of every document."""
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word passages that start in an earlier one."""
+    found = substring_dedup.repeats_removed(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document among 16, and among 17."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one holds."""
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_ngram_join,
+        op3_license_scan,
+        op7_substring_dedup,
+        op8_sharding,
+        op9_line_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
