@@ -59,12 +59,12 @@ def jump(key: Column, shards: int) -> tuple[Column, Column]:
     start = F.struct(
         F.shiftrightunsigned(key, 32).alias("high"),
         key.bitwiseAND(F.lit(_MASK)).alias("low"),
-        F.lit(-1).cast("long").alias("j"),
+        F.lit(0).cast("long").alias("j"),
         F.lit(0).cast("long").alias("at"),
         F.lit(0).cast("long").alias("grown"),
     )
     # a jump goes at least one shard further, so this many steps are enough
-    steps = F.sequence(F.lit(0), F.lit(shards + 1))
+    steps = F.sequence(F.lit(0), F.lit(shards))
     done = F.aggregate(steps, start, step)
     return done["at"].cast("int"), done["grown"].cast("int")
 
