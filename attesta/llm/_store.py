@@ -22,15 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, small: bool = True) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts lineage, for the tables of a loop. The table is small beside the
-    input, so it is written by an eighth of the shuffle's tasks.
+    This cuts lineage and plans. A table that is small beside the input is
+    written by an eighth of the shuffle's tasks.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/attesta/{name}-{uuid.uuid4().hex}"
-    df.coalesce(max(8, partitions(spark) // 8)).write.parquet(path, compression="zstd")
+    few = df.coalesce(max(8, partitions(spark) // 8)) if small else df
+    few.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

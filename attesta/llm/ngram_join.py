@@ -354,10 +354,10 @@ def _verified(texts: DataFrame, n: int, p: int, q: int) -> DataFrame:
     first = small.withColumn("part", F.col("part").cast("long"))
     for x in dealt:
         first = first.unionAll(x)
-    links = _store.kept(_judged(first, n, p, q))
+    links = _store.written(_judged(first, n, p, q), "links")
     classes = components(links)
     held = large.select("component", "doc", "n").join(classes.withColumnRenamed("node", "doc").withColumnRenamed("component", "class"), "doc", "left").withColumn("class", F.coalesce("class", "doc"))
-    held = _store.kept(held)
+    held = _store.written(held, "classes")
     sizes = held.groupBy("component", "class").agg(F.count("doc").alias("size"))
     core = sizes.groupBy("component").agg(F.max_by("class", F.struct("size", "class")).alias("core"))
     marked = held.join(core, "component").withColumn("rest", F.col("class") != F.col("core"))
@@ -380,20 +380,22 @@ def joined(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str = "d
     seen = _store.kept(summaries(d, n))
     one = seen.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles", "s")).alias("x")).select("doc_id", "x.*")
     reps = one.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    known = _store.kept(one.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "s", F.coalesce("rep", "doc_id").alias("rep")))
+    known = _store.written(one.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "s", F.coalesce("rep", "doc_id").alias("rep")), "members")
     runs = _store.kept(_runs(_indexed(d, n, p, q)))
     edges = _candidates(runs, known.select(F.col("doc_id").alias("doc"), "rep", F.col("n_shingles").alias("n"), "s"), p, q)
     near = components(edges)
+    runs.unpersist()
+    seen.unpersist()
     sized = near.join(known.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")), "node")
     totals = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("node") / F.lit(CHUNK), F.sum("n") / F.lit(CHUNK_NGRAMS))).alias("parts"))
-    wanted = _store.kept(sized.join(totals, "component").select("component", F.col("node").alias("i"), "n", "parts"))
+    wanted = _store.written(sized.join(totals, "component").select("component", F.col("node").alias("i"), "n", "parts"), "candidates")
     if not wanted.limit(1).count():
         return known.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     if wanted.count() <= SENT:
         texts = d.join(F.broadcast(wanted), "i")
     else:
         texts = d.join(wanted, "i")
-    texts = _store.kept(texts.select("component", F.col("i").alias("doc"), "t", "n", "parts"))
+    texts = _store.written(texts.select("component", F.col("i").alias("doc"), "t", "n", "parts"), "texts", small=False)
     real = components(_verified(texts, n, p, q))
     return known.join(real.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
