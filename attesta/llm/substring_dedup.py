@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _packed
+from . import _packed, _store
 from ._bytes import Words, mix, sliced, windows, words
 
 _U = np.uint64
@@ -137,18 +137,22 @@ def _decided(doc: np.ndarray, at: np.ndarray, many: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([bucket, *(values.get(c, empty) for c in _COLUMNS)], ["bucket", *_COLUMNS])
 
 
-def _covered_batch(docs: np.ndarray, places: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.binary())], ["i", "at"])
+def _covered(docs: np.ndarray, places: np.ndarray, many: int) -> Iterator[pa.RecordBatch]:
+    packed = _packed.pack((mix(docs.view(_U)) % _U(many)).astype(np.int32), {"doc": docs, "at": places.astype(np.int32)})
+    if packed:
+        yield packed
 
 
-def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i, at): places of windows that start in a smaller id, too."""
+def _reduced(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
+    """Packed (doc, at): places of windows that start in a smaller id, too."""
     anchors, sizes, offsets, docs, ats, prints = [], [], [], [], [], []
     for batch in batches:
         passed = batch.column("anchor").is_null().to_numpy(False)
         mine = batch.filter(pa.array(passed))
         if mine.num_rows:
-            yield _covered_batch(np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in mine.column("doc")]), [x.as_py() for x in mine.column("at")])
+            own = [np.cumsum(_unplaned(x.as_buffer(), np.int32), dtype=np.int32) for x in mine.column("at")]
+            ids = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in mine.column("doc")])
+            yield from _covered(np.repeat(ids, [len(x) for x in own]), np.concatenate(own), many)
         for r in batch.filter(pa.array(~passed)).to_pylist():
             anchors.append(np.frombuffer(r["anchor"], _U))
             sizes.append(np.frombuffer(r["size"], np.uint8))
@@ -180,8 +184,16 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, d, doc, at = anchor[g][order], deep[twice][order], doc[order], at[order]
     opens = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
     late = doc > doc[opens][np.cumsum(opens) - 1]
-    if late.any():
-        yield _covered_batch(*_grouped(doc[late], at[late]))
+    yield from _covered(doc[late], at[late], many)
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, at) of every document that loses words."""
+    got = _packed.unpack(batches, {"doc": np.int64, "at": np.int32})
+    if len(got["doc"]):
+        docs, places = _grouped(got["doc"], got["at"])
+        for at in range(0, len(docs), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 10_000]), pa.array(places[at : at + 10_000], pa.binary())], ["i", "at"])
 
 
 def _removed(got: Words, row: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -205,7 +217,7 @@ def _final(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
             kept.append(b" ".join(all_words))
             spans.append([])
             continue
-        gone = _removed(got, r, np.unique(np.concatenate([np.cumsum(_unplaned(p, np.int32)) for p in places])), window)
+        gone = _removed(got, r, np.cumsum(_unplaned(places, np.int32)), window)
         kept.append(b" ".join(compress(all_words, (~gone).tolist())))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
         spans.append([{"start": a, "end": b} for a, b in edges.tolist()])
@@ -225,11 +237,11 @@ def repeats_removed(docs: DataFrame, window: int = 13, gram: int = 6, id_col: st
     if not 1 <= gram <= window <= 255:
         raise ValueError("1 <= gram <= window <= 255")
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    many = _packed.buckets(docs.sparkSession)
+    many, few = _packed.buckets(docs.sparkSession), _store.partitions(docs.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "t", 16 << 20):
+            for part in sliced(batch, "t"):
                 yield from _mapped(part, window, gram, many)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +250,6 @@ def repeats_removed(docs: DataFrame, window: int = 13, gram: int = 6, id_col: st
                 yield _final(part, window)
 
     sent = d.where("i is not null").mapInArrow(mapped, _packed.schema(_COLUMNS))
-    covered = _packed.dealt(sent).mapInArrow(_reduced, "i long, at binary")
-    covered = covered.groupBy("i").agg(F.collect_list("at").alias("at"))
+    covered = _packed.dealt(sent).mapInArrow(lambda batches: _reduced(batches, few), _packed.schema(["doc", "at"]))
+    covered = _packed.dealt(covered).mapInArrow(_by_document, "i long, at binary")
     return d.join(covered, "i", "left").mapInArrow(final, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
