@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, ngram_join, sharding, substring_dedup
+from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, packing, sharding, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -27,6 +36,23 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.fitted(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word passages that start in an earlier one."""
     found = substring_dedup.repeats_removed(_table(spark, sf_dir, "documents"))
@@ -45,15 +71,26 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as read back from entropy-coded files of token ids."""
+    path = f"{_store.shared_folder(spark)}/attesta/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, path, with_ids=False).drop("ids")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate,
         op2_ngram_join,
         op3_license_scan,
+        op4_best_fit_packing,
+        op5_toxicity,
+        op6_nearest,
         op7_substring_dedup,
         op8_sharding,
         op9_line_dedup,
+        op10_token_files,
     )
 }
 ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
