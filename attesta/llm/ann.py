@@ -43,7 +43,7 @@ class Settings:
     leaf: int = 64
     least: int = 8
     #: Share of a tree's rows that a query takes, over all trees together.
-    share: float = 1.2
+    share: float = 1.6
     #: Queries that meet a bucket's vectors at once.
     block: int = 20_000
     seed: int = 11
