@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _store
+
 #: What is stripped at both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,8 +53,10 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
         .select("_id", "_row", "_pos", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g"))
     )
     shared = lines.groupBy("_h", "_g").agg(F.min("_id").alias("_owner"), F.max("_id").alias("_last")).where("_owner < _last")
+    # kept, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits
+    shared = _store.kept(shared.select("_h", "_g", "_owner"))
     return (
-        lines.join(shared.select("_h", "_g", "_owner"), ["_h", "_g"])
+        lines.join(shared, ["_h", "_g"])
         .where("_id <> _owner")
         .groupBy("_id", "_row")
         .agg(F.collect_set("_pos").alias("_gone"))
