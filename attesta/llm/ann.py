@@ -183,10 +183,11 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
             q = np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1)
             rows = []
             for i, own in enumerate(visited(sent.value, q, wanted)):
-                by: dict[int, list[int]] = {}
-                for t, leaf in own:
-                    by.setdefault(int(_bucket(t, np.array([leaf]), buckets)[0]), []).append(leaf * settings.trees + t)
-                rows += [(b, i, found) for b, found in by.items()]
+                tree, leaf = np.array(own, np.int64).T
+                at = _bucket(tree, leaf, buckets)
+                order = np.argsort(at, kind="stable")
+                named = (leaf * settings.trees + tree)[order]
+                rows += [(int(x), i, named[a:b]) for x, a, b in zip(*_edges(at[order]))]
             at = pa.array([r[1] for r in rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), batch.column("class").take(at), batch.column("v").take(at)], ["bucket", "leaves", "class", "v"]
@@ -211,12 +212,17 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
             number = {int(c): i for i, c in enumerate(ids[one])}
             column = np.array([number[int(c)] for c in ids])
             v, names = v[one], ids[one]
-            edges = {int(x): (int(a), int(b)) for x, a, b in zip(*_edges(leaf))}
+            here, held = np.unique(leaf, return_inverse=True)
             q = _matrix(right.column("v").combine_chunks()).astype(np.float64)
             scores = q @ v.T
             asks = right.column("class").to_pylist()
             for i, own in enumerate(right.column("leaves").to_pylist()):
-                at = np.unique(np.concatenate([column[slice(*edges[x])] for x in own if x in edges] or [np.zeros(0, np.int64)]))
+                place = np.minimum(np.searchsorted(here, own), len(here) - 1)
+                taken = np.zeros(len(here), bool)
+                taken[place[here[place] == own]] = True
+                some = np.zeros(len(names), bool)
+                some[column[taken[held]]] = True
+                at = np.flatnonzero(some)
                 if not len(at):
                     continue
                 s = scores[i, at]
@@ -229,9 +235,21 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
         return pa.table([pa.array([r[0] for r in out], pa.int64()), *lists], ["query", "class", "score"])
 
     partial = v_rows.groupBy("bucket", "block").cogroup(q_rows.groupBy("bucket", "block")).applyInArrow(met, "query long, class array<long>, score array<double>")
-    found = partial.select("query", F.explode(F.arrays_zip("class", "score")).alias("x")).select("query", "x.class", "x.score").dropDuplicates(["query", "class"])
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    found = found.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= k + 1)
+    lists = partial.groupBy("query").agg(F.flatten(F.collect_list(F.arrays_zip("class", "score"))).alias("x"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for query, pairs in zip(batch.column("query").to_pylist(), batch.column("x")):
+                names, scores = (pairs.values.field(j).to_numpy() for j in (0, 1))
+                names, one = np.unique(names, return_index=True)  # a class comes from several trees
+                scores = scores[one]
+                order = np.lexsort((names, -scores))[: k + 1]
+                out.append((np.full(len(order), query), names[order], scores[order]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "class", "score"])
+
+    found = lists.mapInArrow(best, "query long, class long, score double")
     found = found.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
