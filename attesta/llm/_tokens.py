@@ -13,11 +13,12 @@ import json
 import os
 import re
 from collections.abc import Iterable
+from itertools import filterfalse
 
 import numpy as np
 
 #: Pieces that are remembered at once; about 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pieces that the library encodes at once.
 _BATCH = 10_000
 
@@ -69,21 +70,17 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = [t or "" for t in texts]
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            if self.cut and _PLAIN.fullmatch(t):
-                pieces.append(self.cut(t.lower() if self.lower else t))
-            else:
-                pieces.append(None)
+        plain, cut, lower = _PLAIN.fullmatch, self.cut, self.lower
+        pieces = [cut(t.lower() if lower else t) if cut and plain(t) else None for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
+        new: set[str] = set()
         for p in pieces:
             if p:
-                new = [x for x in set(p) if x not in known]
-                known.update(dict.fromkeys(new))
-        new = [x for x, ids in known.items() if ids is None] if pieces else []
-        known.update(zip(new, self._by_library(new)))
+                new.update(filterfalse(known.__contains__, p))
+        fresh = list(new)
+        known.update(zip(fresh, self._by_library(fresh)))
         whole = iter(self._by_library([t for t, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in pieces]
 

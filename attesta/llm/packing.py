@@ -53,8 +53,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         one = ids[at : at + 4 * capacity]
-                        crc = zlib.crc32(one)
-                        rows.append((doc, k, at // 4, len(one) // 4, crc, (crc ^ crc >> 16) % LANES))
+                        # the lane is dealt by document, so copies are in many
+                        rows.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one), zlib.crc32(b"%d %d" % (doc or 0, k)) % LANES))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "lane"])
 
