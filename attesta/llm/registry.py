@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, packing, sharding, substring_dedup, token_files, toxicity
+from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, oracles, packing, sharding, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,4 +93,4 @@ QUERIES = {
         op10_token_files,
     )
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
