@@ -1,6 +1,44 @@
-"""Named queries over the driver's tables and the DuckDB SQL they must equal."""
+"""Named queries over the driver's tables, and the DuckDB SQL that each must equal.
+
+A query applies operators of this library to whole tables. Where SQL can say
+the same, its text stands beside the query.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with its SQL if there is one."""
+
+    def register(fn: Callable[[Tables], DataFrame]) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(Tables(spark, folder))
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[fn.__name__] = run
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return run
+
+    return register
+
+
+from . import evidence_queries, matching_queries, measure_queries, rule_queries  # noqa: E402, F401  they register themselves
