@@ -46,7 +46,8 @@ from ._bytes import mix, sliced, windows, words
 from ._components import components
 
 _U = np.uint64
-SKETCH = 8  # longs, of 64 bits each
+#: Longs of the shortest sketch, of 64 bits each.
+SKETCH = 8
 
 #: Documents and n-grams of a component up to which all its pairs are judged in one chunk.
 CHUNK, CHUNK_NGRAMS = 64, 1 << 21
@@ -85,11 +86,22 @@ def set_key(ids: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(ids: np.ndarray) -> np.ndarray:
-    """Odd sketch: the parity of how many ids fall on each bit."""
-    odd = np.bincount((ids >> _U(55)).astype(np.int64), minlength=SKETCH * 64) & 1
+    """Odd sketch: the parity of how many ids fall on each bit, with as many bits as ids at least.
+
+    The places in which two sketches differ are no more than those in which the
+    sets differ. A sketch folds to half its length by xor of its halves.
+    """
+    bits = max(SKETCH * 64, 1 << (max(1, len(ids)) - 1).bit_length())
+    odd = np.bincount((ids & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(s: np.ndarray, longs: int) -> np.ndarray:
+    while len(s) > longs:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
+
+
 class Bands:
     """Size bands for similarity of at least p / q, and the segments of each."""
 
@@ -173,8 +185,8 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
             rows = [(doc, len(ids), *set_key(ids), sketch(ids)) for doc, ids in _texts(batch, n)]
             if rows:
                 *numbers, sketches = zip(*rows)
-                flat = pa.array(np.concatenate(sketches))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SKETCH), flat)
+                ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), lists], ["doc_id", "n_shingles", "k1", "k2", "s"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, s array<long>")
@@ -248,7 +260,11 @@ def _possible(p: int, q: int):
     """Sizes and odd sketches allow similarity; columns na, nb, sa, sb."""
     total = F.col("na") + F.col("nb")
     need = F.ceil(F.lit(p) * total / F.lit(p + q)).cast("long")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    long, short = (F.when((F.size("sa") >= F.size("sb")) == flag, F.col("sa")).otherwise(F.col("sb")) for flag in (F.lit(True), F.lit(False)))
+    # similar sets differ in length by less than two if the threshold is above a half; others fold further
+    n, times = F.size(short), (F.size(long) / F.size(short)).cast("int")
+    fold = lambda x, i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda z, k: z.bitwiseXOR(F.get(long, k * n + i)))
+    differ = F.aggregate(F.transform(short, lambda x, i: F.bit_count(x.bitwiseXOR(fold(x, i)))), F.lit(0), lambda s, x: s + x)
     return (F.lit(q) * F.least("na", "nb") >= F.lit(p) * F.greatest("na", "nb")) & (differ <= total - 2 * need)
 
 
@@ -257,7 +273,8 @@ def _thinned(rows: DataFrame, p: int, q: int) -> DataFrame:
 
     def run(key, table):
         doc, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
-        s = table.column("s").combine_chunks().flatten().to_numpy().view(_U).reshape(len(doc), SKETCH)
+        own = [np.array(x, np.int64) for x in table.column("s").to_pylist()]
+        s = np.stack([folded(x, min(map(len, own))) for x in own]).view(_U)
         order = np.argsort(doc)
         doc, n, s = doc[order], n[order], s[order]
         links, left = [], np.arange(len(doc))
