@@ -39,7 +39,7 @@ from ._bytes import sliced
 
 MAGIC = b"ATK1"
 #: Tokens from which a segment is closed.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 23
 
 
 class Damaged(ValueError):
