@@ -18,7 +18,7 @@ from itertools import filterfalse
 import numpy as np
 
 #: Pieces that are remembered at once; about 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Pieces that the library encodes at once.
 _BATCH = 10_000
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
+from ._bytes import task
 
 
 @dataclass(frozen=True)
@@ -197,9 +198,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
     queries = _store.kept(queries)
     asking = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
     blocks = max(1, -(-asking.count() // settings.block))
-    v_rows = classes.select("class", "v").mapInArrow(dealt, "bucket long, leaf long, class long, v array<float>")
+    v_rows = classes.select("class", "v").mapInArrow(task(dealt), "bucket long, leaf long, class long, v array<float>")
     v_rows = v_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q_rows = asking.mapInArrow(asked, "bucket long, leaves array<long>, class long, v array<float>").withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
+    q_rows = asking.mapInArrow(task(asked), "bucket long, leaves array<long>, class long, v array<float>").withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
 
     def met(left, right):
         v, ids, leaf = _matrix(left.column("v").combine_chunks()).astype(np.float64), left.column("class").to_numpy(), left.column("leaf").to_numpy()
@@ -249,7 +250,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "class", "score"])
 
-    found = lists.mapInArrow(best, "query long, class long, score double")
+    found = lists.mapInArrow(task(best), "query long, class long, score double")
     found = found.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)

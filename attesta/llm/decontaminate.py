@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, mix, sliced, words
+from ._bytes import ALNUM, mix, sliced, task, words
 
 _U = np.uint64
 
@@ -234,7 +234,7 @@ def _scanned(docs: DataFrame, block: Block, rules: Rules, id_col: str, text_col:
             for part in sliced(batch, "t"):
                 yield scan(part, sent.value, rules, "i", "t")
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(task(run), SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
@@ -256,5 +256,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_co
                     keep[leaks] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(task(run), schema)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, utf8
+from ._bytes import ALNUM, task, utf8
 
 #: Phrases whose places are counted, with their labels.
 BASE = {
@@ -209,4 +209,4 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 names = [c.split()[0] for c in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(task(run), SCHEMA)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packed, _store
-from ._bytes import mix, sliced, windows, words
+from ._bytes import mix, sliced, task, windows, words
 from ._components import components
 
 _U = np.uint64
@@ -189,7 +189,7 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), lists], ["doc_id", "n_shingles", "k1", "k2", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, s array<long>")
+    return docs.mapInArrow(task(run), "doc_id long, n_shingles long, k1 long, k2 long, s array<long>")
 
 
 def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
             if held:
                 yield _sent(sigs, owner, many)
 
-    return docs.mapInArrow(run, _packed.schema(["sig", "doc"]))
+    return docs.mapInArrow(task(run), _packed.schema(["sig", "doc"]))
 
 
 def _sent(sigs: list, owner: list, many: int) -> pa.RecordBatch:
@@ -253,7 +253,7 @@ def _runs(packed: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 1 << 16):
                 yield whole.slice(at, 1 << 16)
 
-    return _packed.dealt(packed).mapInArrow(run, "sig long, a long, b long")
+    return _packed.dealt(packed).mapInArrow(task(run), "sig long, a long, b long")
 
 
 def _possible(p: int, q: int):

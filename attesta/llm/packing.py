@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store, _tokens
-from ._bytes import sliced
+from ._bytes import sliced, task
 
 #: Lanes in which the ranks of a length are counted.
 LANES = 256
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "lane"])
 
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return d.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, lane int")
+    return d.mapInArrow(task(run), "doc_id long, piece int, start long, length long, ids_crc32 long, lane int")
 
 
 class Plan:
@@ -138,4 +138,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(task(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packed, _store
-from ._bytes import Words, mix, sliced, windows, words
+from ._bytes import Words, mix, sliced, task, windows, words
 
 _U = np.uint64
 #: Bytes of a fingerprint, beside the anchor's eight.
@@ -249,7 +249,7 @@ def repeats_removed(docs: DataFrame, window: int = 13, gram: int = 6, id_col: st
             for part in sliced(batch, "t"):
                 yield _final(part, window)
 
-    sent = d.where("i is not null").mapInArrow(mapped, _packed.schema(_COLUMNS))
-    covered = _packed.dealt(sent).mapInArrow(lambda batches: _reduced(batches, few), _packed.schema(["doc", "at"]))
-    covered = _packed.dealt(covered).mapInArrow(_by_document, "i long, at binary")
-    return d.join(covered, "i", "left").mapInArrow(final, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
+    sent = d.where("i is not null").mapInArrow(task(mapped), _packed.schema(_COLUMNS))
+    covered = _packed.dealt(sent).mapInArrow(task(lambda batches: _reduced(batches, few)), _packed.schema(["doc", "at"]))
+    covered = _packed.dealt(covered).mapInArrow(task(_by_document), "i long, at binary")
+    return d.join(covered, "i", "left").mapInArrow(task(final), "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _coder, _store, _tokens
-from ._bytes import sliced
+from ._bytes import sliced, task
 
 MAGIC = b"ATK1"
 #: Tokens from which a segment is closed.
@@ -117,7 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         if names:
             yield closed()
 
-    ordered.mapInArrow(run, "part int, number int, tokens long, segment binary").write.parquet(path, compression="uncompressed")
+    ordered.mapInArrow(task(run), "part int, number int, tokens long, segment binary").write.parquet(path, compression="uncompressed")
 
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
@@ -153,4 +153,4 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
-    return placed.mapInArrow(run, SCHEMA)
+    return placed.mapInArrow(task(run), SCHEMA)

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import task
+
 #: What a skipped character costs.
 DECAY = 0.6
 #: Places of the later characters of a subsequence, after its first.
@@ -48,7 +50,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = re.compile(r"[\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 #: Words whose scores a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 @dataclass(frozen=True)
@@ -262,8 +264,8 @@ class _Sample:
         number: dict[str, int] = {}
         self.docs = []
         for t in texts:
-            own = {number.setdefault(u, len(number)) for token in tokens(t) for u in units(token)}
-            self.docs.append(np.fromiter(own, np.int32, len(own)))
+            own = {number.setdefault(u, len(number)) for token in sorted(tokens(t)) for u in units(token)}
+            self.docs.append(np.array(sorted(own), np.int32))
         self.words = list(number)
         n = len(self.words)
         keys = [np.arange(n, dtype=np.int64) | 9 << 48]
@@ -435,7 +437,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(_texts_scored(part.column("t"), sent.value, known), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(task(run), "doc_id long, score double")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -449,4 +451,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
                 part = batch.slice(at, 1000)
                 yield part.filter(pa.array(_texts_scored(part.column(text_col), sent.value, known) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
