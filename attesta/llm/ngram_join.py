@@ -52,7 +52,7 @@ SKETCH = 8
 #: Documents and n-grams of a component up to which all its pairs are judged in one chunk.
 CHUNK, CHUNK_NGRAMS = 64, 1 << 21
 #: Documents and n-grams of one side of a block in the last step.
-BLOCK, BLOCK_NGRAMS = 256, 1 << 19
+BLOCK, BLOCK_NGRAMS = 1024, 1 << 19
 #: Random dealings of the larger components.
 DEALS = 3
 #: Documents of a run of one subset up to which all its pairs are candidates one by one,
