@@ -328,25 +328,36 @@ class _Sample:
         landmarks = []
         for side, count in ((positive[:800], count_bad), (some[np.argsort(-count_good[some], kind="stable")][:800], count_good)):
             landmarks += _landmarks([self.words[i] for i in side], count[side], t.landmarks // 2)
+        model = self._fit(landmarks, positive, some, count_bad, count_good, np.zeros(0, np.int64))
+        often = negative[np.argsort(-count_good[negative], kind="stable")]
+        rest = np.concatenate([often[:20_000], rng.permutation(often[20_000:])[:40_000]])
+        for _ in range(3):
+            # clean words that the machine takes for toxic, or nearly, join the training; the most frequent become landmarks
+            score = model.words([self.words[i] for i in rest])
+            some = np.unique(np.concatenate([some, rest[np.argsort(-score, kind="stable")][: t.words // 4]]))
+            hard = rest[score > -0.5]
+            cost = (score[score > -0.5] + 0.5) * count_good[hard]
+            worst = [self.words[i] for i in hard[np.argsort(-cost, kind="stable")][: t.landmarks // 6]]
+            landmarks = list(dict.fromkeys(landmarks + worst))
+            model = self._fit(landmarks, positive, np.union1d(some, hard[np.argsort(-cost, kind="stable")][:1000]), count_bad, count_good, hard)
+        return model
+
+    def _fit(self, landmarks: list[str], positive: np.ndarray, negative: np.ndarray, count_bad: np.ndarray, count_good: np.ndarray, hard: np.ndarray) -> Model:
+        """One machine; hard clean words weigh by their occurrences, others by the root of those."""
         gram = kernel(landmarks, landmarks).astype(float)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         good = values > 1e-4 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        for turn in range(3):
-            if turn:  # with the clean words that the machine takes for toxic, or nearly
-                rest = negative if len(negative) <= 60_000 else rng.permutation(negative)[:60_000]
-                score = model.words([self.words[i] for i in rest])
-                some = np.unique(np.concatenate([some, rest[np.argsort(-score)][: t.words // 4]]))
-            index = np.concatenate([positive, some])
-            x = _kernel_sparse([self.words[i] for i in index], landmarks) @ root
-            x = np.concatenate([x, np.ones((len(x), 1))], 1)
-            y = np.concatenate([np.ones(len(positive)), -np.ones(len(some))])
-            weight = np.concatenate([np.sqrt(count_bad[positive]), np.sqrt(count_good[some])])
-            for side in (y > 0, y < 0):
-                weight[side] *= 1000 / weight[side].sum()
-            w = _svm(x, y, weight)
-            model = Model(bias=float(w[-1]))
-            model.weights.add(coded(landmarks), root @ w[:-1])
+        x = _kernel_sparse([self.words[i] for i in np.concatenate([positive, negative])], landmarks) @ root
+        x = np.concatenate([x, np.ones((len(x), 1))], 1)
+        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        good_weight = np.where(np.isin(negative, hard), count_good[negative], np.sqrt(count_good[negative]))
+        weight = np.concatenate([np.sqrt(count_bad[positive]), good_weight])
+        for side in (y > 0, y < 0):
+            weight[side] *= 1000 / weight[side].sum()
+        w = _svm(x, y, weight)
+        model = Model(bias=float(w[-1]))
+        model.weights.add(coded(landmarks), root @ w[:-1])
         return model
 
     def scores(self, model: Model, which: np.ndarray) -> np.ndarray:
