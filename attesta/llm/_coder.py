@@ -128,22 +128,26 @@ def _learn(table: np.ndarray, at: np.ndarray, bit: np.ndarray, rate: int) -> Non
     table[at] = p + ((np.where(bit, 65535, 0) - p) >> rate)
 
 
-def _follow(ids: np.ndarray, sure: np.ndarray, at: np.ndarray, said: np.ndarray, conf: np.ndarray, now: np.ndarray) -> None:
+#: An entry of a table of predictions: the id, and above it how sure it is.
+_ID, _SURE = (1 << 20) - 1, 20
+
+
+def _follow(table: np.ndarray, at: np.ndarray, said: np.ndarray, conf: np.ndarray, now: np.ndarray) -> None:
     """Strengthen a prediction that held, weaken or replace one that did not."""
     held = said == now
     weak = ~held & (conf <= 1)
-    ids[at] = np.where(weak, now, said)
-    sure[at] = np.where(held, np.minimum(conf + 1, 7), np.where(weak, 1, conf >> 1))
+    sure = np.where(held, np.minimum(conf + 1, 7), np.where(weak, 1, conf >> 1))
+    table[at] = np.where(weak, now, said) | (sure << _SURE)
 
 
 def _run(coder, sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None) -> np.ndarray:
     """Code ids (steps by lanes), or decode them if there are none; sizes do not rise."""
     lanes, steps = len(sizes), int(sizes[0])
     out = np.zeros((steps, lanes), np.int64) if ids is None else ids
-    base2 = np.arange(lanes) * _CONTEXTS
+    every = np.arange(lanes)
+    base2 = every * _CONTEXTS
     base0 = np.arange(lanes) * _SEEN
-    said2, sure2 = np.zeros(lanes * _CONTEXTS, np.int32), np.zeros(lanes * _CONTEXTS, np.uint8)
-    said1, sure1 = np.zeros(lanes * _CONTEXTS, np.int32), np.zeros(lanes * _CONTEXTS, np.uint8)
+    said2, said1 = np.zeros(lanes * _CONTEXTS, np.int32), np.zeros(lanes * _CONTEXTS, np.int32)
     seen = np.full(lanes * _SEEN, -1, np.int32)
     by2, by1, by0 = (np.full(lanes * n, 32768, np.uint16) for n in (8, 16, 2))
     other, old = np.full(lanes * 8, 16384, np.uint16), np.full(lanes, 32768, np.uint16)
@@ -158,11 +162,13 @@ def _run(coder, sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None) -> n
         now = out[t, :k]
         h2 = base2[:k] + (((last[:k] * 0x9E3779B1 + prior[:k] * 0x85EBCA6B) >> 9) & (_CONTEXTS - 1))
         h1 = base2[:k] + (((last[:k] * 0x9E3779B1) >> 11) & (_CONTEXTS - 1))
-        two, conf2 = said2[h2].astype(np.int64), sure2[h2].astype(np.int64)
-        one, conf1 = said1[h1].astype(np.int64), sure1[h1].astype(np.int64)
+        two, one = said2[h2].astype(np.int64), said1[h1].astype(np.int64)
+        conf2, conf1 = two >> _SURE, one >> _SURE
+        two &= _ID
+        one &= _ID
         guess = np.where(conf2 > 0, two, one)
         agree = guess == one
-        lane = np.arange(k)
+        lane = every[:k]
         c2, c1 = lane * 8 + conf2, lane * 16 + conf1 * 2 + agree
         c0 = lane * 2 + (seen[base0[:k] + _slot(guess)] == guess)
         s2, s1, s0 = _STRETCH[by2[c2] >> 4], _STRETCH[by1[c1] >> 4], _STRETCH[by0[c0] >> 4]
@@ -203,8 +209,8 @@ def _run(coder, sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None) -> n
                     symbol = coder.even(e, vocabulary, now[e])
                     if ids is None:
                         now[e] = symbol
-        _follow(said2, sure2, h2, two, conf2, now)
-        _follow(said1, sure1, h1, one, conf1, now)
+        _follow(said2, h2, two, conf2, now)
+        _follow(said1, h1, one, conf1, now)
         seen[base0[:k] + _slot(now)] = now
         prior[:k], last[:k] = last[:k], now
     return out
