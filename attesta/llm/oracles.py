@@ -31,29 +31,4 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word,
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-
-def jump_sql(shards: int) -> str:
-    """The shard of doc_id among so many, by the published generator in 128-bit integers, step by step."""
-    steps = ["j0 AS (SELECT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END AS k, 0::HUGEINT AS at, 0::HUGEINT AS j FROM documents)"]
-    for i in range(shards + 1):
-        # the key is below 2**64 and the multiplier below 2**62, so their product is below 2**126
-        steps.append(
-            f"j{i + 1} AS (SELECT doc_id, CASE WHEN j < {shards} THEN n ELSE k END AS k, CASE WHEN j < {shards} THEN j ELSE at END AS at, "
-            f"CASE WHEN j < {shards} THEN floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((n // 8589934592) + 1)::DOUBLE))::HUGEINT ELSE j END AS j "
-            f"FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM j{i}))"
-        )
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, at::INT AS shard FROM j{shards + 1}"
-
-
-#: A table of the byte-wise CRC-32, and the sum over a text's bytes.
-_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
-
-
-def _crc_table() -> str:
-    x = "i"
-    for _ in range(8):
-        x = f"(SELECT {_STEP.format('v')} FROM (SELECT {x} AS v))"
-    return x
-
-
 ORACLES = {"op2_ngram_join": OP2, "op7_substring_dedup": OP7, "op9_line_dedup": OP9}
