@@ -14,14 +14,14 @@ beginnings occur in far more toxic sentences than others. They and the words of
 clean sentences train a support vector machine (squared hinge, Newton's
 method); clean words that it takes for toxic join a second training. A logistic
 model of the highest word scores and of the number of words above zero turns
-them into a text's score; it is fitted on sentences that the machine it judges
-has not seen (two folds).
+them into a text's score; it is fitted on sentences that the machine has not
+seen, and its intercept is moved to the share of toxic rows among all labelled.
 
 Labels, languages, sources and ids are never inputs of a score.
 
 Defined results: a null or empty text scores as a text without words; a row
 with a null id is scored, and is not held out; repeated rows are scored alike;
-without labelled rows of both kinds every score is 0; other columns are ignored.
+without labelled rows of both kinds every score is next to 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -328,22 +328,23 @@ class _Sample:
         landmarks = []
         for side, count in ((positive[:800], count_bad), (some[np.argsort(-count_good[some], kind="stable")][:800], count_good)):
             landmarks += _landmarks([self.words[i] for i in side], count[side], t.landmarks // 2)
-        model = self._fit(landmarks, positive, some, count_bad, count_good, np.zeros(0, np.int64))
         often = negative[np.argsort(-count_good[negative], kind="stable")]
+        some = np.union1d(some, often[:2000])
+        model = self._fit(landmarks, positive, some, count_bad, count_good)
         rest = np.concatenate([often[:20_000], rng.permutation(often[20_000:])[:40_000]])
-        for _ in range(3):
-            # clean words that the machine takes for toxic, or nearly, join the training; the most frequent become landmarks
+        for _ in range(2):
+            # clean words that the machine takes for toxic, or nearly, join the training, some of them as landmarks
             score = model.words([self.words[i] for i in rest])
-            some = np.unique(np.concatenate([some, rest[np.argsort(-score, kind="stable")][: t.words // 4]]))
-            hard = rest[score > -0.5]
-            cost = (score[score > -0.5] + 0.5) * count_good[hard]
-            worst = [self.words[i] for i in hard[np.argsort(-cost, kind="stable")][: t.landmarks // 6]]
-            landmarks = list(dict.fromkeys(landmarks + worst))
-            model = self._fit(landmarks, positive, np.union1d(some, hard[np.argsort(-cost, kind="stable")][:1000]), count_bad, count_good, hard)
+            order = np.argsort(-score, kind="stable")[: t.words // 4]
+            worst, height = rest[order], score[order]
+            some = np.union1d(some, worst)
+            near = worst[np.argsort(-(height + 1) * np.sqrt(count_good[worst]), kind="stable")][: t.landmarks // 4]
+            landmarks = list(dict.fromkeys(landmarks + [self.words[i] for i in near]))
+            model = self._fit(landmarks, positive, some, count_bad, count_good)
         return model
 
-    def _fit(self, landmarks: list[str], positive: np.ndarray, negative: np.ndarray, count_bad: np.ndarray, count_good: np.ndarray, hard: np.ndarray) -> Model:
-        """One machine; hard clean words weigh by their occurrences, others by the root of those."""
+    def _fit(self, landmarks: list[str], positive: np.ndarray, negative: np.ndarray, count_bad: np.ndarray, count_good: np.ndarray) -> Model:
+        """One machine; words weigh by the root of their occurrences."""
         gram = kernel(landmarks, landmarks).astype(float)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         good = values > 1e-4 * values.max()
@@ -351,8 +352,7 @@ class _Sample:
         x = _kernel_sparse([self.words[i] for i in np.concatenate([positive, negative])], landmarks) @ root
         x = np.concatenate([x, np.ones((len(x), 1))], 1)
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        good_weight = np.where(np.isin(negative, hard), count_good[negative], np.sqrt(count_good[negative]))
-        weight = np.concatenate([np.sqrt(count_bad[positive]), good_weight])
+        weight = np.concatenate([np.sqrt(count_bad[positive]), np.sqrt(count_good[negative])])
         for side in (y > 0, y < 0):
             weight[side] *= 1000 / weight[side].sum()
         w = _svm(x, y, weight)
@@ -387,19 +387,22 @@ def _landmarks(words: list[str], count: np.ndarray, n: int) -> list[str]:
     return out
 
 
-def train(texts: list[str | None], toxic: list[int], t: Training = Training()) -> Model:
+def train(texts: list[str | None], toxic: list[int], t: Training = Training(), share: float | None = None) -> Model:
+    """Three in four sentences train the machine, the others the model of its scores.
+
+    ``share`` is the part of all labelled sentences that is toxic, if the sample has another.
+    """
     if not 0 < sum(map(bool, toxic)) < len(toxic):
         return Model()
     sample = _Sample(texts, toxic)
-    fold = np.zeros(len(toxic), bool)
+    apart = np.zeros(len(toxic), bool)
     for kind in (sample.toxic, ~sample.toxic):
-        fold[np.flatnonzero(kind)[::2]] = True
-    x, y = [], []
-    for seen in (fold, ~fold):
-        x.append(sample.scores(sample.machine(seen, t), ~seen))
-        y.append(sample.toxic[~seen])
-    model = sample.machine(np.ones(len(toxic), bool), t)
-    model.text = _logistic(np.concatenate(x), np.concatenate(y).astype(float))
+        apart[np.flatnonzero(kind)[::4]] = True
+    model = sample.machine(~apart, t)
+    model.text = _logistic(sample.scores(model, apart), sample.toxic[apart].astype(float))
+    if share and 0 < share < 1:
+        odds = lambda p: math.log(p / (1 - p))
+        model.text[-1] += odds(share) - odds(sample.toxic.mean())
     return model
 
 
@@ -418,6 +421,8 @@ def fitted(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
         .agg(F.max("y").alias("y"))
     )
     order = F.xxhash64("i", F.lit(3))
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = rows.where("y = 1").orderBy(order).limit(t.toxic_rows).unionAll(rows.where("y = 0").orderBy(order).limit(t.clean_rows))
     some = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     some = some.where(F.col("i").isNotNull() & ~held_out(F.col("i")) & (F.char_length("t") <= t.longest))
@@ -425,7 +430,7 @@ def fitted(docs: DataFrame, labels: DataFrame, t: Training = Training(), id_col:
     got = some.join(F.broadcast(chosen), "i").select("i", "y", "t").collect()
     got.sort(key=lambda r: (r.i, r.t))
     got = [r for k, r in enumerate(got) if not k or r.i != got[k - 1].i]
-    return train([r.t for r in got], [r.y for r in got], t)
+    return train([r.t for r in got], [r.y for r in got], t, share)
 
 
 def _texts_scored(column: pa.Array, model: Model, known: dict[str, float]) -> np.ndarray:

@@ -61,7 +61,7 @@ def test_nulls_empties_and_no_labels(spark, model):
     rows = {r.doc_id: r.score for r in tx.scored(docs, model).collect()}
     assert rows[1] == rows[2] < 0.3 < rows[None]
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in tx.scored(docs, tx.fitted(docs, nothing)).collect()} == {0.0}
+    assert max(r.score for r in tx.scored(docs, tx.fitted(docs, nothing)).collect()) < 1e-9
     left = tx.clean(docs, model)
     assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {1, 2, 3}
     assert tx.scored(docs.limit(0), model).collect() == []
