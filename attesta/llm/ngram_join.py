@@ -156,12 +156,18 @@ class _Plan:
         return self.known[size]
 
 
-def signatures(ids: np.ndarray, plan: _Plan) -> np.ndarray:
-    """Keys of one set: exact subsets, and one-deletion neighbourhoods beside empty segments."""
-    out = []
+def signatures(ids: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set: exact subsets, and one-deletion neighbourhoods beside empty segments.
+
+    With each key, whether it is of the set's own band; a pair is found in the
+    band of its smaller set, so keys that no set has in its own band find none.
+    """
+    out, home = [], []
     mixed = mix(ids)
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed, dtype=_U)])
+    own = plan.bands.of(len(ids)) if len(ids) else 0
     for band, m in plan.of(len(ids)):
+        before = len(out)
         cut = np.searchsorted(((ids >> _U(32)) * _U(m)) >> _U(32), np.arange(m + 1, dtype=_U))
         subset = sums[cut[1:]] - sums[cut[:-1]]
         size = np.diff(cut)
@@ -174,7 +180,11 @@ def signatures(ids: np.ndarray, plan: _Plan) -> np.ndarray:
             out.append(mix(salt[bare]))
         for s in np.flatnonzero(full & ~full[other]):
             out.append(mix(subset[s] - mixed[cut[s] : cut[s + 1]] + salt[s]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
+        home += [np.full(len(x), band == own, np.uint8) for x in out[before:]]
+    if not out:
+        return np.zeros(0, _U), np.zeros(0, np.uint8)
+    keys, first = np.unique(np.concatenate(out), return_index=True)
+    return keys, np.concatenate(home)[first]
 
 
 def summaries(docs: DataFrame, n: int) -> DataFrame:
@@ -199,51 +209,53 @@ def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = _Plan(p, q), set()
         for batch in batches:
-            sigs, owner, held = [], [], 0
+            sigs, homes, owner, held = [], [], [], 0
             for doc, ids in _texts(batch, n):
                 key = set_key(ids)
                 if not len(ids) or key in seen:
                     continue
                 seen.add(key)
-                s = signatures(ids, plan)
+                s, home = signatures(ids, plan)
                 sigs.append(s)
+                homes.append(home)
                 owner.append(np.full(len(s), doc, np.int64))
                 held += len(s)
                 if held > 1 << 20:
-                    yield _sent(sigs, owner, many)
-                    sigs, owner, held = [], [], 0
+                    yield _sent(sigs, homes, owner, many)
+                    sigs, homes, owner, held = [], [], [], 0
             if held:
-                yield _sent(sigs, owner, many)
+                yield _sent(sigs, homes, owner, many)
 
-    return docs.mapInArrow(task(run), _packed.schema(["sig", "doc"]))
+    return docs.mapInArrow(task(run), _packed.schema(["sig", "doc", "home"]))
 
 
-def _sent(sigs: list, owner: list, many: int) -> pa.RecordBatch:
+def _sent(sigs: list, homes: list, owner: list, many: int) -> pa.RecordBatch:
     sig = np.concatenate(sigs)
-    return _packed.pack((sig % _U(many)).astype(np.int32), {"sig": sig, "doc": np.concatenate(owner)})
+    return _packed.pack((sig % _U(many)).astype(np.int32), {"sig": sig, "doc": np.concatenate(owner), "home": np.concatenate(homes)})
 
 
 def _runs(packed: DataFrame) -> DataFrame:
     """Of signatures that several documents have: pairs (null, a, b) of short runs, members (sig, a, null) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _packed.unpack(batches, {"sig": _U, "doc": np.int64})
+        got = _packed.unpack(batches, {"sig": _U, "doc": np.int64, "home": np.uint8})
         order = np.lexsort((got["doc"], got["sig"]))
-        sig, doc = got["sig"][order], got["doc"][order]
+        sig, doc, home = got["sig"][order], got["doc"][order], got["home"][order]
         if len(sig) < 2:
             return
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
-        sig, doc = sig[fresh], doc[fresh]
+        sig, doc, home = sig[fresh], doc[fresh], home[fresh]
         first = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
-        size = np.diff(first)
+        size = np.diff(first) * np.maximum.reduceat(home, first[:-1])  # runs without a set of the band itself find nothing
         pairs = []
         for n in range(2, RUN + 1):
             at = first[:-1][size == n]
             for x in range(n):
                 for y in range(x + 1, n):
-                    pairs.append(np.stack([doc[at + x], doc[at + y]], 1))
+                    own = at[(home[at + x] | home[at + y]) > 0]
+                    pairs.append(np.stack([doc[own + x], doc[own + y]], 1))
         found = np.unique(np.concatenate(pairs), axis=0)
-        long = np.repeat(size > RUN, size)
+        long = np.repeat(size > RUN, np.diff(first))
         nothing = pa.nulls(int(long.sum()), pa.int64())
         for columns in (
             [pa.nulls(len(found), pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])],
