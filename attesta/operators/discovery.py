@@ -23,10 +23,11 @@ def query_plan(states: DataFrame, groups: DataFrame, recipe: str, most: int, sta
     if most < 1:
         raise ValueError("a query plan needs at least one query")
     both = states.select(F.upper(F.btrim(F.col(state))).alias("state")).distinct().join(groups)
-    text = F.concat_ws(" ", F.col(template), F.col("state"))
+    # a null state is the whole country
+    text = F.concat_ws(" ", F.col(template), F.coalesce("state", F.lit("Brasil")))
     named = both.select("state", F.col(group).alias("professional_group"), F.col(order).alias("_o"), text.alias("query"))
-    key = F.substring(digest(F.concat_ws("|", F.lit(recipe), "professional_group", "state", "query")), 1, 16)
-    return named.orderBy("state", "_o").limit(most).select(F.concat(F.lit("query:"), key).alias("query_id"), "query", "professional_group", "state")
+    key = F.substring(digest(F.concat_ws("|", F.lit(recipe), "professional_group", F.coalesce("state", F.lit("BR")), "query")), 1, 16)
+    return named.orderBy("state", "_o").limit(most).select(F.concat(F.lit("dental-query:"), key).alias("query_id"), "query", "professional_group", "state")
 
 
 def observed(items: DataFrame, queries: DataFrame, items_query: str = "query", results: str = "organic_results") -> DataFrame:
@@ -48,7 +49,7 @@ def candidates(observations: DataFrame, recipe: str, title: str = "title", snipp
     key = F.when(F.col("_r").isNotNull(), key).otherwise(F.col("source_url"))
     return some.select(
         *[c for c in observations.columns if c not in ("source_url",)],
-        F.concat(F.lit("candidate:"), F.substring(digest(F.concat_ws("|", F.lit(recipe), key)), 1, 20)).alias("candidate_id"),
+        F.concat(F.lit("dental-candidate:"), F.substring(digest(F.concat_ws("|", F.lit(recipe), key)), 1, 20)).alias("candidate_id"),
         F.btrim(F.col(title)).alias("display_name_hint"),
         "source_url",
         F.col("_r.state").alias("cro_state"),

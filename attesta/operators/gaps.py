@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import identifiers as idn
 from ..functions import text as tx
-from ..functions.hashing import digest_of, joined, digest
+from ..functions.hashing import digest, digest_of, joined
 
 ROLE_FIELD = "professional_role_title"
 #: Which source has which field.
@@ -47,6 +49,14 @@ def detected(companies: DataFrame, canonicals: DataFrame, contacts: DataFrame, r
     return found
 
 
+def _normalized_lists(lists: pd.Series) -> pd.Series:
+    one = lambda own: None if own is None else sorted({u for x in own if (u := idn.url_or_none(x, idn.PLAN_URL))})
+    return lists.map(one, na_action=None)
+
+
+_plan_urls = F.pandas_udf(_normalized_lists, T.ArrayType(T.StringType()))
+
+
 def actions(gaps: DataFrame, inputs: DataFrame, policy: str, lookup_url: str, location_url: str) -> DataFrame:
     """What could fill each gap, ready or blocked.
 
@@ -58,7 +68,8 @@ def actions(gaps: DataFrame, inputs: DataFrame, policy: str, lookup_url: str, lo
     key = idn.registry_key(F.col("known_key"))
     none = F.array().cast("array<string>")
     ids = F.array_sort(F.array_distinct(F.coalesce("contact_ids", none)))
-    urls = F.array_sort(F.array_distinct(F.coalesce(F.col("contact_urls"), none)))
+    urls = F.coalesce(_plan_urls(F.col("contact_urls")), none)
+    people = idn.normalized_url(F.col("people_url"), idn.PLAN_URL)
     is_kind = lambda k: F.col("kind") == k
     field = lambda fields: is_kind("COMPANY_FIELD") & F.col("key").isin(*fields)
     make = lambda kind, locator, own, network: F.struct(
@@ -82,7 +93,7 @@ def actions(gaps: DataFrame, inputs: DataFrame, policy: str, lookup_url: str, lo
         .when(field(LOCATION_FIELDS) & key.isNotNull(), one(make("OFFICIAL_COMPANY_LOCATION_INGEST", location_url, own_key, NETWORK)))
         .when(is_kind("VALIDATED_COMPANY_CONTACT") & (F.size(ids) >= 2), one(make("CONTACT_PUBLICATION_VALIDATION", nothing, ids, LOCAL)))
         .when(is_kind("VALIDATED_COMPANY_CONTACT") & (F.size(urls) > 0), each_url)
-        .when(is_kind("PERSON_ROLE") & F.col("people_url").isNotNull(), one(make("PERSON_ROLE_PAGE_INGEST", F.col("people_url"), none, NETWORK)))
+        .when(is_kind("PERSON_ROLE") & people.isNotNull(), one(make("PERSON_ROLE_PAGE_INGEST", people, none, NETWORK)))
         .when(is_kind("QUALIFICATION") & known_policy, one(make("DENTAL_QUALIFICATION_EVALUATION", nothing, F.array_sort(F.array("person_id", "policy_id")), LOCAL)))
         .otherwise(one(blocked))
     )
@@ -181,6 +192,6 @@ def run_until_stable(plan: Callable[[], tuple[list[dict], list[dict]]], handlers
         left, _ = plan()
         if not left:
             return {"records": records, "gaps": left, "stop": "GAPS_RESOLVED"}
-        if not done and {g["gap_id"] for g in left} == {g["gap_id"] for g in gaps}:
+        if not done:
             return {"records": records, "gaps": left, "stop": "NO_PROGRESS_OR_SCHEDULED"}
     return {"records": records, "gaps": plan()[0], "stop": "MAX_CYCLES_REACHED"}

@@ -58,21 +58,43 @@ def resolution(confusion: DataFrame) -> DataFrame:
     return out.withColumn("f1_m", F.when(F.coalesce(p + r, F.lit(0.0)) > 0, known).otherwise(missing))
 
 
-def enrichment(subjects: DataFrame, fields: DataFrame, canonicals: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Field coverage over all slots and the share of evaluated fields that conflict.
+def enrichment(
+    subjects: DataFrame,
+    fields: DataFrame,
+    canonicals: DataFrame,
+    conflicts: DataFrame,
+    candidates: DataFrame | None = None,
+    provenance: DataFrame | None = None,
+    labels: DataFrame | None = None,
+) -> DataFrame:
+    """Field coverage and accuracy, provenance coverage, and the share of evaluated fields that conflict.
 
     Slots are counted by multiplication, not built: a slot is covered if the
-    subject and the field are asked and the fact is there.
+    subject and the field are asked and the fact is there. candidates:
+    evidence_ids; canonicals then need provenance_id; provenance: provenance_id,
+    evidence_ids; labels: subject_id, field_name, correct.
     """
     asked = subjects.select("subject_id").distinct()
     wanted = fields.select("field_name").distinct()
     present = canonicals.select("subject_id", "field_name").distinct()
-    covered = present.join(asked, "subject_id", "left_semi").join(F.broadcast(wanted), "field_name", "left_semi").agg(F.count("*").alias("covered"))
+    covered = present.join(asked, "subject_id", "left_semi").join(wanted, "field_name", "left_semi").agg(F.count("*").alias("covered"))
     torn = conflicts.select("subject_id", "field_name").distinct()
     evaluated = present.union(torn).distinct().agg(F.count("*").alias("evaluated"))
     out = covered.join(asked.agg(F.count("*").alias("s"))).join(wanted.agg(F.count("*").alias("f"))).join(torn.agg(F.count("*").alias("torn"))).join(evaluated)
+    accuracy, backing = unavailable("field-accuracy ground truth is not supplied"), unavailable("no facts to measure")
+    if labels is not None:
+        out = out.join(labels.join(present, ["subject_id", "field_name"], "left_semi").agg(F.count("*").alias("labelled"), F.count_if("correct").alias("correct")))
+        accuracy = rate(F.col("correct"), F.col("labelled"), "no labeled present fields")
+    if candidates is not None and provenance is not None:
+        own = candidates.agg(F.count("*").alias("n1"), F.count_if(F.size("evidence_ids") > 0).alias("b1"))
+        proof = provenance.where(F.size("evidence_ids") > 0).select("provenance_id").distinct().withColumn("_p", F.lit(True))
+        settled = canonicals.join(proof, "provenance_id", "left").agg(F.count("*").alias("n2"), F.count("_p").alias("b2"))
+        out = out.join(own).join(settled)
+        backing = rate(F.col("b1") + F.col("b2"), F.col("n1") + F.col("n2"), "no facts to measure")
     return out.select(
         rate(F.col("covered"), F.col("s") * F.col("f"), "no subject/field slots defined").alias("field_coverage"),
+        accuracy.alias("field_accuracy"),
+        backing.alias("provenance_coverage"),
         rate(F.col("torn"), F.col("evaluated"), "no canonical/conflicting fields evaluated").alias("conflict_rate"),
     )
 

@@ -341,7 +341,7 @@ def directory_seeds(t):
 
 @query()
 def visible_text_blocks(t):
-    return ex.visible_blocks(t.pages).select("page_id", "block", F.size("texts").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"), "error")
+    return ex.visible_blocks(t.pages).select("page_id", "block", "heading", F.size("texts").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"), "error")
 
 
 @query(

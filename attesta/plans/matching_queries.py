@@ -116,7 +116,7 @@ _SWEEP = (0.5, 0.6, 0.7, 0.8, 0.9)
 @query(
     f"""
 {_FEATURES}, s AS (SELECT substr(left_id, 2) = substr(right_id, 2) AS truth, round({_SCORE}, 9) AS score FROM g),
-h AS (SELECT unnest({list(_SWEEP)}) AS threshold)
+h AS (SELECT unnest({list(_SWEEP)}::DOUBLE[]) AS threshold)
 SELECT threshold, count(*) FILTER (truth AND score >= threshold) AS tp, count(*) FILTER (NOT truth AND score >= threshold) AS fp,
   count(*) FILTER (NOT truth AND score < threshold) AS tn, count(*) FILTER (truth AND score < threshold) AS fn FROM s, h GROUP BY threshold
 """

@@ -10,6 +10,7 @@ from attesta.operators import extraction as ex
 from attesta.operators import fusion as fu
 from attesta.operators import gaps as gp
 from attesta.operators import gates as gt
+from attesta.operators import governance as gv
 from attesta.operators import metrics as mt
 from attesta.operators import normalize as nm
 from attesta.operators import people as pp
@@ -136,19 +137,20 @@ def test_corroboration(spark):
 
 
 PAGE = """<html><script>x@hidden.co</script><h2>Office</h2><p>Diretora Comercial</p><p>Maria da Silva</p>
-<a href="mailto:maria%2Bx@acme.co?subject=hi">mail</a><p>Tel: (11) 3333-4444</p><a href="https://br.linkedin.com/in/maria?x=1">in</a>
+<a href="mailto:maria%2Bx@acme.co?subject=hi">mail</a><p>Tel: 11 3333-4444</p><a href="https://br.linkedin.com/in/maria?x=1">in</a>
 <p>Gerente</p><p>sem nome</p><a href="https://wa.me/5511988887777">w</a><a href="/rel">r</a><form></form>
-<h3>Unit</h3><p>CNPJ: 12.345.678/0001-90</p><p>Rua das Flores, 10</p><p>São Paulo / SP</p><p>CEP 01234-567 desde 3/6/1967</p></html>"""
+<h3>Unit</h3><p>CNPJ: 12.345.678/0001-90</p><p>Rua das Flores, 10</p><p>São Paulo / SP</p><p>CEP 01234-567</p><p>Início das Atividades: 3/6/1967</p></html>"""
 
 
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "https://acme.co/p", PAGE, "12345678000190"), (2, "https://acme.co/q", None, "1"), (3, "https://acme.co/r", "<p>nothing</p>", "12345678000190")], "page_id long, url string, html string, expected_key string")
     found = {(r.page_id, r.kind): r.value for r in ex.contacts(pages).collect() if r.error is None}
-    assert found == {(1, "EMAIL"): "maria+x@acme.co", (1, "PHONE"): "(11) 3333-4444", (1, "WHATSAPP"): "+5511988887777", (1, "CONTACT_FORM"): "https://acme.co/p"}
+    assert found == {(1, "EMAIL"): "maria+x@acme.co", (1, "PHONE"): "11 3333-4444", (1, "WHATSAPP"): "+5511988887777", (1, "CONTACT_FORM"): "https://acme.co/p"}
     people = [r for r in ex.people(pages).collect() if r.error is None]
     assert [(r.ordinal, r.name, r.title) for r in people] == [(1, "Maria da Silva", "Diretora Comercial")]
     assert {c.kind for c in people[0].contacts} == {"EMAIL", "PHONE", "PROFESSIONAL_PROFILE"}
-    assert [(r.registry_key, r.city, r.state) for r in ex.seeds(pages).collect() if r.error is None] == [("12345678000190", "São Paulo", "SP")]
+    assert [(r.registry_key, r.label, r.city, r.state) for r in ex.seeds(pages).collect() if r.error is None] == [("12345678000190", "Unit", "São Paulo", "SP")]
+    assert ex.contacts_of("https://acme.co/", "<p>Fone (11) 3333-4444</p>") == []
     facts = {r.field_name: r.raw_value for r in ex.locations(pages).collect() if r.error is None}
     assert facts == {"business_registry_id": "12.345.678/0001-90", "street_address": "Rua das Flores, 10", "city": "São Paulo", "state": "SP", "postal_code": "01234-567", "activity_start_date": "3/6/1967"}
     assert {r.page_id for r in ex.locations(pages).collect() if r.error} == {2, 3}
@@ -272,3 +274,28 @@ def test_lookups(spark):
     assert [r.error is None for r in seen.collect()] == [True, False, False, False, False]
     facts = {r.field_name: r.raw_value for r in cp.lookup_facts(seen).collect()}
     assert facts == {"business_registry_id": "12345678000190", "legal_name": "Acme", "state": "SP"}
+
+
+def test_reference_tables(spark):
+    assert [r.gate_id for r in gv.critical_gates(spark).collect()] == ["EXT-BRASILAPI-001", "EXT-CFO-001", "LEGAL-001", "AUTH-CAMPAIGN-001"]
+    got = {r.blocker: r.owner for r in gv.required_actions(spark.createDataFrame([("LEGAL-001",), ("X",)], "blocker string")).collect()}
+    assert got == {"LEGAL-001": "LEGAL_COMPLIANCE", "X": "NONE"}
+    flags = {c: c != "ci_verified" for c, _ in gv.RELEASE_CHECKS}
+    r = gv.release_candidate(spark.createDataFrame([flags])).first()
+    assert (r.state, r.blockers) == ("BLOCKED", ["CI_UNVERIFIED"])
+    assert gv.sources(spark).count() == 4 and gv.compliance_blockers(spark).count() == 6
+
+
+def test_enrichment_measures(spark):
+    one = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = mt.enrichment(
+        one([("a",), ("b",)], "subject_id string"),
+        one([("f",), ("g",)], "field_name string"),
+        one([("a", "f", "p1"), ("a", "h", "p2")], "subject_id string, field_name string, provenance_id string"),
+        one([("b", "f")], "subject_id string, field_name string"),
+        one([(["e"],), ([],)], "evidence_ids array<string>"),
+        one([("p1", ["e"]), ("p2", [])], "provenance_id string, evidence_ids array<string>"),
+        one([("a", "f", True), ("b", "g", False)], "subject_id string, field_name string, correct boolean"),
+    ).first()
+    assert (got.field_coverage.value, got.field_accuracy.value, got.provenance_coverage.value) == (0.25, 1.0, 0.5)
+    assert got.conflict_rate.value == pytest.approx(1 / 3)
