@@ -3,8 +3,8 @@
 Fixed masks look at some word positions of a window and ignore the rest, so a
 substituted word at an ignored position leaves the seed's hash unchanged. The
 seeds of the benchmark are joined with the seeds of every document; around
-each hit the two texts are laid side by side on the hit's diagonal and the
-best stretch, which may hold substitutions, is found and judged.
+each hit the two texts are laid side by side on the hit's diagonal, and it is
+judged whether any stretch there, which may hold substitutions, meets the rules.
 
 The benchmark is the side that is held in memory. It is read in blocks of
 bounded size, whatever its total size; each block is joined with all documents
@@ -131,12 +131,30 @@ def block_of(rows: list[tuple[int, str]], rules: Rules) -> Block | None:
     return Block(np.array([i for i, _ in items], np.int64), first, np.concatenate([h for _, h in items]), *(tuple(x) for x in zip(*parts)))
 
 
-def _stretch(same: np.ndarray, penalty: float) -> tuple[int, int]:
-    """The stretch of greatest gain, at one for equal and less ``penalty`` for other places."""
-    gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -penalty))])
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    return int(np.argmin(gain[: end + 1])), end
+def _stretch(same: np.ndarray, least: int, rules: Rules) -> tuple[int, int] | None:
+    """A stretch of at least ``least`` equal places, in a share of at least ``min_share``, if there is any.
+
+    That of greatest gain, at one for equal and less ``penalty`` for other
+    places, if it meets both rules; else the one of most equal places that does.
+    """
+    count = np.concatenate([[0], np.cumsum(same)])
+    if count[-1] < least:
+        return None
+    places = np.arange(len(count))
+    gain = count - rules.penalty * (places - count)
+    end = int(np.argmax(gain - np.minimum.accumulate(gain)))
+    start = int(np.argmin(gain[: end + 1]))
+    if count[end] - count[start] >= max(least, rules.min_share * (end - start)):
+        return start, end
+    # a stretch has the share if the sum over it is not negative; the first such start of each end has most equal places
+    over = count - rules.min_share * places
+    first = np.searchsorted(-np.minimum.accumulate(over), -over - 1e-9)
+    end = int(np.argmax(count - count[first]))
+    start = int(first[end])
+    if count[end] - count[start] < least:
+        return None
+    equal = np.flatnonzero(same[start:end])
+    return start + int(equal[0]), start + int(equal[-1]) + 1
 
 
 def _judged(doc: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray, block: Block, rules: Rules):
@@ -145,9 +163,11 @@ def _judged(doc: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray
     for i, shift in np.unique(np.stack([item, at - place], 1), axis=0).tolist():
         h = block.hash[block.first[i] : block.first[i + 1]]
         lo, hi = max(0, -shift), min(len(h), len(doc) - shift)
-        s, e = _stretch(doc[lo + shift : hi + shift] == h[lo:hi], rules.penalty)
-        matched = int(np.count_nonzero(doc[lo + shift + s : lo + shift + e] == h[lo + s : lo + e]))
-        if matched >= min(rules.min_matched, len(h)) and matched >= rules.min_share * (e - s):
+        same = doc[lo + shift : hi + shift] == h[lo:hi]
+        stretch = _stretch(same, min(rules.min_matched, len(h)), rules)
+        if stretch:
+            s, e = stretch
+            matched = int(np.count_nonzero(same[s:e]))
             found[i] = max(found.get(i, (0,)), (matched, -(lo + shift + s), e - s))
     return found
 

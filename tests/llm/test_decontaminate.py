@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from attesta.llm import decontaminate as dc
 
 DOCS = "doc_id long, text string, item_id string"
@@ -60,6 +62,27 @@ def test_clean_keeps_other_columns_and_clean_rows(spark):
     assert sorted(left.collect(), key=str) == sorted(docs.where("doc_id = 2 or doc_id is null").collect(), key=str)
 
 
+def test_any_stretch_of_a_diagonal_may_meet_the_rules(spark):
+    short, long = words(15, 1), words(57, 2)
+    trimmed = ["zzz" if i in (1, 13) else w for i, w in enumerate(short)]
+    diluted = ["zzz" if 15 <= i < 23 or 36 <= i < 44 else w for i, w in enumerate(long)]
+    below = ["zzz" if 11 <= i < 19 else w for i, w in enumerate(long[:30])]
+    docs = [(i, " ".join(words(20, 10 + i) + x + words(20, 20 + i)), None) for i, x in enumerate((trimmed, diluted, below))]
+    got = found(spark, docs, [(5, " ".join(short), None), (6, " ".join(long), None)])
+    assert sorted(got) == [0, 1]
+    assert (got[0].item_id, got[0].start_word, got[0].n_words, got[0].n_matched) == (5, 20, 15, 13)
+    assert (got[1].item_id, got[1].start_word, got[1].n_words, got[1].n_matched) == (6, 20, 36, 28)
+
+
+def test_stretches_are_those_of_all_pairs_of_ends():
+    r = np.random.default_rng(1)
+    for _ in range(2000):
+        same = r.random(r.integers(4, 50)) < r.uniform(0.4, 0.9)
+        some = [(a, b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a:b].sum() >= max(12, 0.75 * (b - a))]
+        got = dc._stretch(same, 12, dc.Rules())
+        assert got in some if some else got is None
+
+
 def test_a_very_long_text(spark):
     item = words(30, 1)
     text = " ".join(words(20, 2) * 20_000 + item)
