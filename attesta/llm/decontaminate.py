@@ -9,7 +9,9 @@ judged whether any stretch there, which may hold substitutions, meets the rules.
 The benchmark is the side that is held in memory. It is read in blocks of
 bounded size, whatever its total size; each block is joined with all documents
 where they are read, so no document text is shuffled, and a passage that a
-third of all documents share is judged in as many tasks as hold them.
+third of all documents share is judged in as many tasks as hold them. Only where
+there are several blocks, their results are merged by document id and a digest
+of the text.
 
 Defined results:
 
@@ -25,8 +27,11 @@ Defined results:
 
 from __future__ import annotations
 
+import hashlib
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +205,7 @@ def scan(batch: pa.RecordBatch, block: Block, rules: Rules, id_col: str, text_co
         if found:
             i, (matched, start, length) = max(found.items(), key=lambda x: (x[1], -x[0]))
             size = int(block.first[i + 1] - block.first[i])
-            out.append((ids[r], int(block.ids[i]), -start, length, matched, size, matched / length, [int(block.ids[k]) for k in sorted(found)]))
+            out.append((ids[r], int(block.ids[i]), -start, length, matched, size, matched / length, sorted({int(block.ids[k]) for k in found})))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ARROW), _ARROW)], schema=_ARROW)
 
 
@@ -221,21 +226,41 @@ def contaminated(
     words, ``item_ids`` every item found. ``block_bytes`` bounds the benchmark
     text that is in memory at once.
     """
-    found = None
-    for block in _blocks(benchmark, item_id, item_text, rules, block_bytes):
-        one = _scanned(docs, block, rules, id_col, text_col)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    found = [_scanned(docs, block, rules, id_col, text_col, k) for k, block in enumerate(_blocks(benchmark, item_id, item_text, rules, block_bytes))]
+    if not found:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    return found
+    if len(found) == 1:
+        return found[0].drop("block", "digest")
+    return _merged(reduce(DataFrame.unionByName, found))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """The blocks' results as one row for each document row.
+
+    Rows of equal id and text have equal results in each block, so they are
+    merged together and then repeated as often as each block found them.
+    """
+    best = F.max(F.struct("n_matched", (-F.col("start_word")).alias("start"), "n_words", (-F.col("item_id")).alias("item"), "item_words", "score"))
+    # an array of each kind of row and block, however often the row is repeated
+    merged = found.groupBy("doc_id", "digest").agg(best.alias("x"), F.collect_set("item_ids").alias("ids"), F.count("*").alias("n"), F.size(F.collect_set("block")).alias("blocks"))
+    copies = F.sequence(F.lit(1), (F.col("n") / F.col("blocks")).cast("long"))
+    return merged.select(
+        *("doc_id", (-F.col("x.item")).alias("item_id"), (-F.col("x.start")).alias("start_word"), "x.n_words", "x.n_matched", "x.item_words", "x.score"),
+        F.array_sort(F.array_distinct(F.flatten("ids"))).alias("item_ids"),
+        F.explode(copies).alias("copy"),
+    ).drop("copy")
 
 
 def _rows_of(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).dropna()
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = -(-total // block_bytes)
+    if blocks > 1:
+        # items with equal words count as one, so they are in one block
+        lower = F.translate("t", string.ascii_uppercase, string.ascii_lowercase)
+        items = items.select("i", F.trim(F.regexp_replace(lower, r"[\x00-\x7F&&[^0-9a-z]]+", " ")).alias("t")).groupBy("t").agg(F.min("i").alias("i"))
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items
+        part = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items
         yield [(r.i, r.t) for r in part.collect()]
 
 
@@ -246,15 +271,21 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, rules: Rules, bl
             yield block
 
 
-def _scanned(docs: DataFrame, block: Block, rules: Rules, id_col: str, text_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, block: Block, rules: Rules, id_col: str, text_col: str, number: int) -> DataFrame:
+    """Results of one block, with its number and a digest of each document's text."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "t"):
-                yield scan(part, sent.value, rules, "i", "t")
-
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(task(run), SCHEMA)
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column("t")], ["i", "t"])
+                got = scan(numbered, sent.value, rules, "i", "t")
+                at = got.column("doc_id")
+                digests = [hashlib.blake2b(t, digest_size=16).digest() for t in part.column("t").take(at).cast(pa.binary()).to_pylist()]
+                columns = [part.column("i").take(at), *got.columns[1:], pa.array(np.full(len(at), number, np.int32)), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*_ARROW.names, "block", "digest"])
+
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(task(run), f"{SCHEMA}, block int, digest binary")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:

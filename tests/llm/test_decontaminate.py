@@ -54,6 +54,18 @@ def test_blocks_find_what_one_block_finds(spark):
     assert sorted(found(spark, docs, items)) == sorted(found(spark, docs, items, block_bytes=500)) == list(range(12))
 
 
+def test_items_of_several_blocks_come_in_one_row(spark):
+    items = [(i, " ".join(words(20 + i, i)), None) for i in range(12)]
+    items += [(20 + i, t.upper().replace(" ", ", "), None) for i, t, _ in items]
+    text = " ".join(t for _, t, _ in items[2:9])
+    docs = [(1, text, None), (1, text, None), (1, items[0][1], None), (None, text, None), (2, items[1][1] + " and " + items[11][1], None), (3, "none of them", None)]
+    docs, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    one = sorted(dc.contaminated(docs, items).collect(), key=str)
+    assert len(one) == 5 and sorted(len(r.item_ids) for r in one) == [1, 2, 7, 7, 7]
+    several = dc.contaminated(docs, items, block_bytes=1000)
+    assert sorted(several.collect(), key=str) == one and several.columns == dc.contaminated(docs, items).columns
+
+
 def test_clean_keeps_other_columns_and_clean_rows(spark):
     item = " ".join(words(20, 1))
     docs = spark.createDataFrame([(1, "x " + item, "a"), (2, "y z", "b"), (None, None, None)], DOCS)
