@@ -6,8 +6,8 @@ hash, which equal windows share and which neighbouring windows mostly share,
 so that one row of the shuffle carries the suffixes of several windows. Groups
 are dealt to as many buckets as the session has shuffle partitions for, so that
 a bucket fits in a task's memory. Where a group is large, its prefix is
-lengthened: within an anchor, suffixes go by the anchor's place and a
-fingerprint of all ``window`` words. That second level is the deep internal
+lengthened: within an anchor, suffixes go by the anchor's place and the
+64-bit hash of all ``window`` words. That second level is the deep internal
 node of the group's subtree; its suffixes are maximal repeats' starts, and
 those of consecutive places join into whole repeats where they are removed.
 
@@ -38,8 +38,6 @@ from . import _packed, _store
 from ._bytes import Words, mix, sliced, task, windows, words
 
 _U = np.uint64
-#: Bytes of a fingerprint, beside the anchor's eight.
-_PRINT = 5
 _COLUMNS = ["anchor", "size", "offset", "doc", "at", "print"]
 
 
@@ -109,7 +107,7 @@ def _mapped(batch: pa.RecordBatch, window: int, gram: int, many: int) -> Iterato
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     member = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
     ends = np.concatenate([[0], np.cumsum(size)])
-    prints = np.ascontiguousarray(key[member]).view(np.uint8).reshape(-1, 8)[:, :_PRINT]
+    prints = key[member]
     columns: dict[str, list] = {c: [] for c in _COLUMNS}
     for a, b in zip(edges[:-1], edges[1:]):
         f = first[a:b]
@@ -159,18 +157,15 @@ def _reduced(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Record
             offsets.append(np.frombuffer(r["offset"], np.uint8))
             docs.append(np.cumsum(_unplaned(r["doc"], np.int64)))
             ats.append(_unplaned(r["at"], np.int32))
-            prints.append(np.frombuffer(r["print"], np.uint8).reshape(-1, _PRINT))
+            prints.append(np.frombuffer(r["print"], _U))
     if not anchors:
         return
     size = np.concatenate(sizes).astype(np.int64)
     group = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
     anchor = np.concatenate(anchors)
-    wide = np.zeros((len(group), 8), np.uint8)
-    wide[:, :_PRINT] = np.concatenate(prints)
-    wide[:, _PRINT] = np.concatenate(offsets)[group] - step
-    deep = wide.view(_U).ravel()
-    del wide, prints
+    deep = np.concatenate(prints)
+    del prints
     key = mix(deep) ^ anchor[group]
     order = np.argsort(key)
     s = key[order]
@@ -180,9 +175,10 @@ def _reduced(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Record
         return
     g = group[twice]
     doc, at = np.concatenate(docs)[g], np.concatenate(ats)[g] + step[twice]
-    order = np.lexsort((doc, deep[twice], anchor[g]))
-    a, d, doc, at = anchor[g][order], deep[twice][order], doc[order], at[order]
-    opens = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
+    place = np.concatenate(offsets)[g] - step[twice]
+    order = np.lexsort((doc, place, deep[twice], anchor[g]))
+    a, d, place, doc, at = anchor[g][order], deep[twice][order], place[order], doc[order], at[order]
+    opens = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1])])
     late = doc > doc[opens][np.cumsum(opens) - 1]
     yield from _covered(doc[late], at[late], many)
 

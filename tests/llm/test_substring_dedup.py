@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from attesta.llm import substring_dedup as sd
@@ -51,3 +53,17 @@ def test_a_very_long_text(spark):
     text = " ".join(f"w{i}" for i in range(200_000))
     rows = got(spark, [(1, text), (2, "start " + text + " end")])
     assert [x[1:3] for x in rows] == [(200_000, 0), (200_002, 200_000)] and rows[1][3] == "start end"
+
+
+def test_windows_whose_hashes_agree_in_five_bytes_differ(monkeypatch):
+    real = sd.windows
+    monkeypatch.setattr(sd, "windows", lambda h, k: real(h, k) & np.uint64(0xFFFFFF << 40) if k == 13 else real(h, k))
+    r = random.Random(1)
+    # a phrase of small hash is the anchor of windows that differ
+    phrase = min((f"a{i} b c d e f" for i in range(200)), key=lambda x: real(sd.words(pa.array([x]), lower=False).hash, 6)[0])
+    other = lambda n: " ".join(str(r.random()) for _ in range(n))
+    texts = [f"{other(12)} {phrase} {other(12)}" for _ in range(40)] + [""]
+    texts[-1] = texts[0]
+    sent = [sd._mapped(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["i", "t"]), 13, 6, 1) for i, t in enumerate(texts)]
+    found = sd._packed.unpack(sd._reduced((x for rows in sent for x in rows), 1), {"doc": np.int64, "at": np.int32})
+    assert set(found["doc"].tolist()) == {40} and len(found["at"]) == 18
