@@ -202,6 +202,18 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(task(run), "doc_id long, n_shingles long, k1 long, k2 long, s array<long>")
 
 
+def _chosen(docs: DataFrame, several: DataFrame, n: int) -> DataFrame:
+    """The rows, but of ids with several sets only those of the chosen one; several has i, k1, k2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
+            keep = [k[0] is None or k == tuple(set_key(ids)) for k, (_, ids) in zip(chosen, _texts(batch, n))]
+            yield batch.select(["i", "t"]).filter(pa.array(keep, pa.bool_()))
+
+    return docs.join(several, "i", "left").select("i", "t", "k1", "k2").mapInArrow(task(run), "i long, t string")
+
+
 def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Packed (signature, document); a task sends equal sets once."""
     many = _packed.buckets(docs.sparkSession)
@@ -407,9 +419,13 @@ def joined(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str = "d
     """
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null")
     seen = _store.kept(summaries(d, n))
-    one = seen.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles", "s")).alias("x")).select("doc_id", "x.*")
+    key = F.struct("k1", "k2")
+    one = seen.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles", "s")).alias("x"), (F.min(key) != F.max(key)).alias("several")).select("doc_id", "x.*", "several")
     reps = one.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    known = _store.written(one.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "s", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    known = _store.written(one.join(reps, ["k1", "k2"], "left").select("doc_id", "n_shingles", "s", F.coalesce("rep", "doc_id").alias("rep"), "k1", "k2", "several"), "members")
+    several = known.where("several").select(F.col("doc_id").alias("i"), "k1", "k2")
+    if several.limit(1).count():
+        d = _chosen(d, F.broadcast(several) if several.count() <= SENT else several, n)
     runs = _store.kept(_runs(_indexed(d, n, p, q)))
     edges = _candidates(runs, known.select(F.col("doc_id").alias("doc"), "rep", F.col("n_shingles").alias("n"), "s"), p, q)
     near = components(edges)

@@ -74,6 +74,17 @@ def test_nulls_empties_short_texts_and_repeats(spark):
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (2, 7), 8: (2, 7)}
 
 
+def test_an_id_with_two_texts_has_the_chosen_one_everywhere(spark):
+    r = random.Random(3)
+    x, y = ([str(r.random()) for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    x, y, nx, ny = " ".join(x), " ".join(y), near(x), near(y)
+    for rows in ([(5, x), (5, y), (7, y), (8, x), (9, ny), (10, nx)], [(5, y), (5, x), (8, x), (7, y), (10, nx), (9, ny)]):
+        got = nj.joined(spark.createDataFrame([(i, t, None) for i, t in rows], SCHEMA).coalesce(1), 3, 4, 5).collect()
+        of = {r.doc_id: r.component_id for r in got}
+        assert of[7] == of[9] and of[8] == of[10] and of[7] != of[8] and of[5] == 5 in of.values()
+
+
 def test_an_empty_table(spark):
     assert joined(spark, [], 5, 4, 5) == {}
 
