@@ -49,7 +49,9 @@ TAG = "spdx license identifier"
 #: Identifiers whose terms let a text be used with no more than a notice.
 PERMISSIVE = {"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "zlib", "cc0-1.0", "cc-by-4.0"}
 
-_TAGGED = re.compile(rb"spdx-license-identifier\s*:?\s*([^\r\n]*)", re.I)
+_SIGNS = rb"[\x00-/:-@\[-`{-\x7f]+"
+#: With other signs than hyphens the three words may be running text, unless a colon or equals sign follows.
+_TAGGED = re.compile(rb"spdx(?:-license-identifier\s*:?|" + _SIGNS + rb"license" + _SIGNS + rb"identifier\s*[:=])\s*([^\r\n]*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 

@@ -72,3 +72,8 @@ def test_bad_expressions(bad):
 
 def test_empty_table(spark):
     assert rows(spark, []) == {}
+
+
+def test_tags_with_other_signs_than_hyphens(spark):
+    got = rows(spark, ["SPDX License Identifier: MIT", "# spdx_license_identifier = Apache-2.0 OR ISC", "SPDX-License-Identifier MIT", "an SPDX license identifier is short"])
+    assert [(got[i].n_tags, got[i].labels, got[i].score) for i in range(4)] == [(1, "mit", 1.0), (1, "apache-2.0,isc", 1.0), (1, "mit", 1.0), (0, "", 0.0)]
