@@ -216,6 +216,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
             here, held = np.unique(leaf, return_inverse=True)
             q = _matrix(right.column("v").combine_chunks()).astype(np.float64)
             scores = q @ v.T
+            long = np.linalg.norm(v, axis=1).max()
             asks = right.column("class").to_pylist()
             for i, own in enumerate(right.column("leaves").to_pylist()):
                 place = np.minimum(np.searchsorted(here, own), len(here) - 1)
@@ -227,8 +228,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
                 if not len(at):
                     continue
                 s = scores[i, at]
-                if len(at) > k + 5:
-                    at = at[np.argpartition(-s, k + 4)[: k + 5]]
+                if len(at) > k + 1:  # all that may tie with the last, as these products are rounded otherwise
+                    rounding = 4 * v.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q[i]) * long
+                    at = at[s >= -np.partition(-s, k)[k] - rounding]
                 s = (v[at] * q[i]).sum(1)
                 best = np.lexsort((names[at], -s))[: k + 1]
                 out.append((asks[i], names[at][best], s[best]))

@@ -43,6 +43,14 @@ def test_equal_vectors_ties_and_ranks(spark):
     assert all(r.rank in range(1, 6) for r in got)
 
 
+def test_many_different_vectors_tie(spark):
+    r = np.random.default_rng(5)
+    rows = [(0, [1.0] + [0.0] * 10)]
+    rows += [(int(i), [float(i % 3 == 1)] + [float(x) for x in np.binary_repr(n + 1, 10)]) for n, i in enumerate(r.permutation(np.arange(1, 1000)))]
+    got = by_query(nearest(spark, rows, k=5, every=1000, settings=ann.Settings(trees=1, leaf=4000, share=50)))
+    assert got == {0: [1, 4, 7, 10, 13]}
+
+
 def test_invalid_vectors_take_no_part(spark):
     good = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(1, 40)]
     bad = [(100, None), (120, []), (140, [0.0, 0.0]), (160, [1.0, None]), (180, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (220, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
