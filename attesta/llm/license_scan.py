@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ALNUM, task, utf8
+from ._bytes import ALNUM, sliced, task, utf8
 
 #: Phrases whose places are counted, with their labels.
 BASE = {
@@ -154,6 +154,7 @@ def scan(text: bytes, automaton: ahocorasick.Automaton) -> Scan:
     out = Scan(n_words=len(words))
     plain = b" " + b" ".join(words) + b" "
     at = word = 0
+    notices: set[str] = set()
     # a byte is one character here, so that places in the two agree
     for end, (kind, label, size) in automaton.iter(plain.decode("latin-1")):
         if kind == "base":
@@ -167,7 +168,7 @@ def scan(text: bytes, automaton: ahocorasick.Automaton) -> Scan:
             out.places.append(place)
             out.base.add(label)
         elif kind == "notice":
-            out.labels.add(label)
+            notices.add(label)
         else:
             out.tags = -1
     if out.tags:
@@ -181,9 +182,11 @@ def scan(text: bytes, automaton: ahocorasick.Automaton) -> Scan:
                 continue
             out.labels |= term.names
             out.permissive = term.permissive if out.permissive is None else out.permissive and term.permissive
-    out.labels |= out.base
-    if out.permissive is None and out.labels:
-        out.permissive = out.labels <= PERMISSIVE
+    # notices and base phrases hold beside the expressions, whatever these allow
+    notices |= out.base
+    out.labels |= notices
+    if notices:
+        out.permissive = notices <= PERMISSIVE and out.permissive is not False
     return out
 
 
@@ -198,7 +201,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch, "t")):
             data, bounds = utf8(batch.column("t"))
             raw = data.tobytes()
             rows = []

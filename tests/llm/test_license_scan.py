@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from attesta.llm import license_scan as ls
@@ -77,3 +80,39 @@ def test_empty_table(spark):
 def test_tags_with_other_signs_than_hyphens(spark):
     got = rows(spark, ["SPDX License Identifier: MIT", "# spdx_license_identifier = Apache-2.0 OR ISC", "SPDX-License-Identifier MIT", "an SPDX license identifier is short"])
     assert [(got[i].n_tags, got[i].labels, got[i].score) for i in range(4)] == [(1, "mit", 1.0), (1, "apache-2.0,isc", 1.0), (1, "mit", 1.0), (0, "", 0.0)]
+
+
+def test_what_is_permissive_in_mixed_texts(spark):
+    got = rows(
+        spark,
+        [
+            "SPDX-License-Identifier: MIT\nalso cc by nc",
+            "SPDX-License-Identifier: MIT\nGNU General Public License version 3",
+            "SPDX-License-Identifier: MIT\nunder the MIT license",
+            "SPDX-License-Identifier: GPL-3.0-only\nunder the MIT license",
+            "under the MIT license",
+        ],
+    )
+    assert [got[i].permissive for i in range(5)] == [False, False, True, False, True]
+
+
+def test_base_places_are_those_of_a_plain_search(spark):
+    r = random.Random(3)
+    words = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "x", "é"]
+    texts = ["".join(r.choice(words) + r.choice([" ", "-", "\n", ", "]) for _ in range(r.randint(0, 80))) for _ in range(300)]
+    texts += ["under the mit license " * 50_000, "x" * 2_000_000]
+    for i, row in rows(spark, texts).items():
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[i]))
+        starts, labels = [], set()
+        for phrase, label in ls.BASE.items():
+            p = phrase.split()
+            here = [k for k in range(len(own)) if own[k : k + len(p)] == p]
+            starts += here
+            labels |= {label} if here else set()
+        assert (row.n_words, row.n_base, row.first_word, row.last_word) == (len(own), len(starts), min(starts, default=None), max(starts, default=None))
+        assert row.base_labels == ",".join(sorted(labels))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    frame = spark.createDataFrame([(None, "cc by nc", "x"), (1, "cc by nc", "x"), (1, "cc by nc", "x")], SCHEMA)
+    assert sorted((r.doc_id or 0, r.n_base) for r in ls.licenses(frame).collect()) == [(0, 1), (1, 1), (1, 1)]
