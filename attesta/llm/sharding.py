@@ -5,9 +5,10 @@ into itself, as many as an even share. There is no ring and no table: the jumps
 are computed from the id by the published linear congruential generator, held
 as two 32-bit halves so that no product overflows.
 
-A document's slot in its shard is its rank by (lane, id), the lane being the
-id modulo a fixed number; ranks are taken within a lane and moved by the counts
-of the lanes before it. So no task ranks a whole shard, and the slots do not
+A document's slot in its shard is its rank by (lane, id), the lane being a hash
+of the id and of the text modulo a fixed number; ranks are taken within a lane
+and moved by the counts of the lanes before it. So no task ranks a whole shard,
+whatever the ids' pattern and how many rows share one, and the slots do not
 depend on the number of partitions.
 
 Defined results: a null id counts as id -1, a null text as no bytes; rows of
@@ -79,7 +80,7 @@ def sharded(docs: DataFrame, shards: int = 16, lanes: int = 1024, id_col: str =
         key.alias("_key"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).select("*", at.alias("shard"), grown.alias("grown_shard"), F.pmod("_key", F.lit(lanes)).alias("_lane"))
+    ).select("*", at.alias("shard"), grown.alias("grown_shard"), F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(lanes)).alias("_lane"))
     rows = _store.kept(rows)
     counts = rows.groupBy("shard", "_lane").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,5 +35,19 @@ def test_slots_are_gapless_and_sizes_are_bytes(spark):
     assert {r.size for r in got if r.doc_id == 20} == {41}
 
 
+def test_ids_in_steps_and_shared_ids_are_in_many_lanes(spark):
+    docs = [(i * 1024, "a") for i in range(300)] + [(None, "b" * i) for i in range(300)]
+    got = rows(spark, docs, shards=2)
+    for s in range(2):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    # within a lane slots ascend with ids, so few lanes would show as long runs
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
+    assert sum(a > b for a, b in zip(order, order[1:])) > 50
+
+
+def test_a_very_long_text(spark):
+    assert {r.size for r in rows(spark, [(1, "é" * 3_000_000)])} == {6_000_001}
+
+
 def test_an_empty_table(spark):
     assert rows(spark, []) == []
