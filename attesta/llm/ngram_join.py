@@ -450,8 +450,9 @@ def distinct(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str =
 
     Rows with a null id stay.
     """
-    gone = joined(docs, n, p, q, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    free = "gone" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    gone = joined(docs, n, p, q, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(free))
     gone = _store.written(gone, "gone")
     if gone.count() <= SENT:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(free), "left_anti")

@@ -112,3 +112,9 @@ def test_bands_hold_every_similar_pair(p, q):
             segments = dict(plan.of(x))[home]
             assert segments % 2 == 0 and segments > differ
             assert home in dict(plan.of(y)), (x, y)
+
+
+def test_distinct_with_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, _gone long, gone long")
+    assert [tuple(r)[2:] for r in nj.distinct(docs).collect()] == [(5, 6)]
