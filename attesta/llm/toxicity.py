@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import task
+from ._bytes import sliced, task
 
 #: What a skipped character costs.
 DECAY = 0.6
@@ -51,6 +51,8 @@ _SIGNS = re.compile(r"[\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_] ){2,}[^\W\d_](?!\S)")
 #: Words whose scores a task remembers.
 REMEMBERED = 250_000
+#: Bytes of the texts that are scored at once.
+TEXTS = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -449,8 +451,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in sliced(batch, "t", TEXTS):
                 yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(_texts_scored(part.column("t"), sent.value, known), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(task(run), "doc_id long, score double")
@@ -463,8 +464,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in sliced(batch, text_col, TEXTS):
                 yield part.filter(pa.array(_texts_scored(part.column(text_col), sent.value, known) < threshold))
 
     return docs.mapInArrow(task(run), docs.schema)
