@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +71,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as read back from entropy-coded files of token ids."""
-    path = f"{_store.shared_folder(spark)}/attesta/tokens-{uuid.uuid4().hex}"
+    path = _store.temporary(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), end_id=2)
     return token_files.read(spark, path, with_ids=False).drop("ids")
 
