@@ -1,19 +1,23 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Every block starts from nothing and is coded by itself, so blocks are coded in
-lockstep: numpy does one step of all blocks at once. A step codes one id.
-
-* Order 2 and order 1 predict an id each, from tables of what followed the last
-  two ids and the last id; order 0 holds the ids seen. Whether the first
-  prediction holds is one binary decision, whose probability mixes three
-  adaptive ones - by the confidence of order 2, by that of order 1 and whether
-  it agrees, and by whether order 0 has seen the id - in the logistic domain,
-  with weights that learn.
-* If not, and order 1 predicts another id, whether that one holds is a second
-  decision; if not, whether order 0 holds the id is a third. Then its place in
-  order 0's table, or the id itself, is coded evenly.
-
-All arithmetic is on integers, so every machine decodes what another encoded.
+lockstep: numpy does one step of all blocks at once. A step codes one id as one
+of four symbols of a range coder, and some of them have an even part.
+
+* Orders 2 and 1 predict an id each, from tables of what followed the last two
+  ids and the last id. Symbol 0: the prediction of order 2 holds, or that of
+  order 1 where order 2 has none. Its probability mixes three predictors in the
+  logistic domain - the confidence of order 2, that of order 1 and whether the
+  two agree, and the symbol before - each of which adds its own adaptive weight
+  of evidence, learned from the error of the mixture.
+* Symbol 1: order 1 predicts another id, which holds. Symbol 2: order 0, a table
+  of the ids seen, holds the id; its place there is the even part. Symbol 3: a
+  new id, which is the even part. Their probabilities adapt to confidence and to
+  how often order 0 had the id.
+
+A block's words are the counts of both kinds of even parts, the range coder's
+words, and the even parts, packed to as many bits as they need. All arithmetic,
+tables included, is on integers, so every machine decodes what another encoded.
 """
 
 from __future__ import annotations
@@ -22,221 +26,290 @@ import numpy as np
 
 #: Ids of a block.
 BLOCK = 4096
-_CONTEXTS = 4096
-_SEEN = 1024
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    """4096 / (1 + e^-x/256), between 1 and 4095."""
-    return np.clip(np.rint(4096 / (1 + np.exp(-x / 256.0))), 1, 4095).astype(np.int64)
-
-
-_SQUASH = _squash(np.arange(-2047, 2048))
-_STRETCH = np.clip(np.rint(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int64)
+#: Contexts of a table, as a power of two, and bits of a place in order 0's table.
+_CONTEXT_BITS, _SEEN_BITS = 11, 10
+_CONTEXTS, _SEEN = 1 << _CONTEXT_BITS, 1 << _SEEN_BITS
+#: An entry of a table of predictions: the id, and above it how sure it is, up to 7.
+_ID_BITS = 20
+_ID, _SURE = (1 << _ID_BITS) - 1, 1 << _ID_BITS
+#: Ids are below this.
+LARGEST = 1 << _ID_BITS
+#: Bounds of the first probability and of the other two, of 65536, so that every symbol has some room.
+_FIRST, _OTHER = (64, 64512), (2048, 61440)
+_K1, _K2, _K0 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
+
+
+def _squash() -> np.ndarray:
+    """65536 / (1 + e^(-x / 256)) for x from -2047 to 2047, from e^(1/256) to 96 bits by whole numbers alone."""
+    bits = 96
+    step, term, n = 0, 1 << bits, 0
+    while term:  # the series of e^(1/256)
+        step += term
+        n += 1
+        term //= 256 * n
+    powers = [1 << bits]
+    for _ in range(2047):
+        powers.append(powers[-1] * step >> bits)
+    upper = [65536 * p // (p + (1 << bits)) for p in powers]
+    return np.clip(np.array([65536 - x for x in upper[:0:-1]] + upper, np.int32), *_FIRST)
+
+
+_SQUASH = _squash()
+#: By symbol: what the three probabilities move towards, and whether it says something of them (all bits or none).
+_AIM0 = np.array([65536, 0, 0, 0], np.int32)
+_AIM1, _ASKED1 = np.array([0, _OTHER[1], _OTHER[0], _OTHER[0]], np.int32), np.array([0, -1, -1, -1], np.int32)
+_AIM2, _ASKED2 = np.array([0, 0, _OTHER[1], _OTHER[0]], np.int32), np.array([0, 0, -1, -1], np.int32)
+#: What each predictor begins with, in 65536ths of a unit of evidence: by confidence; by confidence and agreement; by the symbol before.
+_BY2 = np.array([-96, -32, 16, 48, 64, 80, 96, 112], np.int32) << 10
+_BY1 = np.array([[-64, -48], [-32, 0], [-24, 24], [-16, 40], [-8, 48], [0, 56], [8, 64], [16, 80]], np.int32).ravel() << 10
+_BY0 = np.array([32, 0, -16, -32], np.int32) << 10
 
 
 class _Encoder:
+    """Words are written with their carries, which are settled in the end."""
+
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.int64)
-        self.range = np.full(lanes, (1 << 32) - 1, np.int64)
-        self.words = np.zeros((lanes, BLOCK + 64), np.uint32)
+        self.range = np.full(lanes, (1 << 48) - 1, np.int64)
+        self.words = np.zeros((lanes, 1024), np.uint32)
         self.at = np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
 
-    def room(self) -> None:
-        if int(self.at.max(initial=0)) + 512 > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros((len(self.words), BLOCK), np.uint32)], 1)
-
-    def _put(self, lanes, low: np.ndarray, range_: np.ndarray) -> None:
-        over = low >> 32
-        if over.any():
-            who = self.lane[lanes][over > 0]
-            self.words[who, self.at[who] - 1] += 1  # a word may pass 16 bits until carries are settled
-            low &= 0xFFFFFFFF
-        small = range_ < 65536
-        if small.any():
-            who = self.lane[lanes][small]
-            self.words[who, self.at[who]] = low[small] >> 16
-            self.at[who] += 1
-            low[small] = (low[small] & 0xFFFF) << 16
+    def room(self, steps: int) -> None:
+        if int(self.at.max(initial=0)) + steps + 3 > self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+
+    def code(self, k: int, symbol: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """edges: of symbols 0 to 3 and their end, of 65536, by lanes."""
+        low, range_ = self.low[:k], self.range[:k]
+        at = symbol * k + self.lane[:k]
+        below = edges.ravel().take(at)
+        r = range_ >> 16
+        low += r * below
+        np.multiply(r, edges.ravel().take(at + k) - below, out=range_)
+        small = np.flatnonzero(range_ < 1 << 32)
+        if len(small):
+            x = low[small]
+            self.words[small, self.at[small]] = x >> 32
+            self.at[small] += 1
+            low[small] = (x & 0xFFFFFFFF) << 16
             range_[small] <<= 16
-        self.low[lanes] = low
-        self.range[lanes] = range_
-
-    def bit(self, lanes, one: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] >> 12
-        self._put(lanes, self.low[lanes] + np.where(bit, 0, r * one), r * np.where(bit, one, 4096 - one))
-        return bit
-
-    def even(self, lanes, total: int, symbol: np.ndarray) -> np.ndarray:
-        r = self.range[lanes] // total
-        self._put(lanes, self.low[lanes] + r * symbol, r)
         return symbol
 
     def finish(self) -> list[np.ndarray]:
-        self.room()
-        for part in (self.low >> 16, self.low & 0xFFFF):
-            self.words[self.lane, self.at] = part
+        self.room(3)
+        lane = np.arange(len(self.at))
+        for part in (self.low >> 32, (self.low >> 16) & 0xFFFF, self.low & 0xFFFF):
+            self.words[lane, self.at] = part
             self.at += 1
+        words = np.ascontiguousarray(self.words.T)
         for j in range(int(self.at.max(initial=1)) - 1, 0, -1):
-            self.words[:, j - 1] += self.words[:, j] >> 16
-        return [w[:n].astype("<u2") for w, n in zip(self.words, self.at)]
+            words[j - 1] += words[j] >> 16
+        return [w[:n] for w, n in zip(np.ascontiguousarray(words.T).astype("<u2"), self.at.tolist())]
 
 
 class _Decoder:
-    def __init__(self, payloads: list[np.ndarray]):
-        size = max(map(len, payloads)) + 2
-        self.words = np.zeros((len(payloads), size), np.int64)
-        for w, p in zip(self.words, payloads):
-            w[: len(p)] = p
-        self.code = (self.words[:, 0] << 16) | self.words[:, 1]
-        self.range = np.full(len(payloads), (1 << 32) - 1, np.int64)
-        self.at = np.full(len(payloads), 2, np.int64)
-        self.lane = np.arange(len(payloads))
-
-    def room(self) -> None:
-        pass
-
-    def _take(self, lanes, code: np.ndarray, range_: np.ndarray) -> None:
-        small = range_ < 65536
-        if small.any():
-            who = self.lane[lanes][small]
-            code[small] = (code[small] << 16) | self.words[who, self.at[who]]
-            self.at[who] += 1
+    def __init__(self, words: list[np.ndarray]):
+        size = max(map(len, words)) + 4
+        self.words = np.zeros((len(words), size), np.int64)
+        for w, own in zip(self.words, words):
+            w[: len(own)] = own
+        self.now = (self.words[:, 0] << 32) | (self.words[:, 1] << 16) | self.words[:, 2]
+        self.range = np.full(len(words), (1 << 48) - 1, np.int64)
+        self.at = np.full(len(words), 3, np.int64)
+        self.lane = np.arange(len(words))
+
+    def room(self, steps: int) -> None:
+        if int(self.at.max(initial=0)) + steps > self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros((len(self.words), steps), np.int64)], 1)
+
+    def code(self, k: int, _, edges: np.ndarray) -> np.ndarray:
+        now, range_ = self.now[:k], self.range[:k]
+        r = range_ >> 16
+        scaled = edges * r
+        symbol = (now >= scaled[1]).astype(np.int32)
+        symbol += now >= scaled[2]
+        symbol += now >= scaled[3]
+        at = symbol * k + self.lane[:k]
+        below = scaled.ravel().take(at)
+        now -= below
+        np.subtract(scaled.ravel().take(at + k), below, out=range_)
+        small = np.flatnonzero(range_ < 1 << 32)
+        if len(small):
+            now[small] = (now[small] << 16) | self.words[small, self.at[small]]
+            self.at[small] += 1
             range_[small] <<= 16
-        self.code[lanes] = code
-        self.range[lanes] = range_
-
-    def bit(self, lanes, one: np.ndarray, _) -> np.ndarray:
-        r = self.range[lanes] >> 12
-        code = self.code[lanes]
-        edge = r * one
-        bit = code < edge
-        self._take(lanes, np.where(bit, code, code - edge), np.where(bit, edge, r * (4096 - one)))
-        return bit
-
-    def even(self, lanes, total: int, _) -> np.ndarray:
-        r = self.range[lanes] // total
-        code = self.code[lanes]
-        symbol = np.minimum(code // r, total - 1)
-        self._take(lanes, code - r * symbol, r)
         return symbol
 
 
-def _learn(table: np.ndarray, at: np.ndarray, bit: np.ndarray, rate: int) -> None:
-    p = table[at].astype(np.int64)
-    table[at] = p + ((np.where(bit, 65535, 0) - p) >> rate)
+class _Even:
+    """Even parts of each lane, one after the other."""
 
+    def __init__(self, parts: list[np.ndarray]):
+        self.at = np.cumsum([0, *map(len, parts)])[:-1]
+        self.all = np.concatenate([*parts, np.zeros(1, np.int32)])
 
-#: An entry of a table of predictions: the id, and above it how sure it is.
-_ID, _SURE = (1 << 20) - 1, 20
+    def next(self, lanes: np.ndarray) -> np.ndarray:
+        at = self.at[lanes]
+        self.at[lanes] = at + 1
+        return self.all.take(at, mode="clip")
 
 
-def _follow(table: np.ndarray, at: np.ndarray, said: np.ndarray, conf: np.ndarray, now: np.ndarray) -> None:
+def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, said: np.ndarray, now: np.ndarray) -> None:
     """Strengthen a prediction that held, weaken or replace one that did not."""
-    held = said == now
-    weak = ~held & (conf <= 1)
-    sure = np.where(held, np.minimum(conf + 1, 7), np.where(weak, 1, conf >> 1))
-    table[at] = np.where(weak, now, said) | (sure << _SURE)
+    held = np.minimum(entry + _SURE, said | 7 * _SURE)
+    other = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
+    table[at] = np.where(said == now, held, other)
+
 
+def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] | None) -> np.ndarray:
+    """Code ids (steps by lanes), or decode them into the array if the even parts are known; the symbols of each step.
 
-def _run(coder, sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None) -> np.ndarray:
-    """Code ids (steps by lanes), or decode them if there are none; sizes do not rise."""
+    No size is below the next one.
+    """
     lanes, steps = len(sizes), int(sizes[0])
-    out = np.zeros((steps, lanes), np.int64) if ids is None else ids
-    every = np.arange(lanes)
-    base2 = every * _CONTEXTS
-    base0 = np.arange(lanes) * _SEEN
-    said2, said1 = np.zeros(lanes * _CONTEXTS, np.int32), np.zeros(lanes * _CONTEXTS, np.int32)
-    seen = np.full(lanes * _SEEN, -1, np.int32)
-    by2, by1, by0 = (np.full(lanes * n, 32768, np.uint16) for n in (8, 16, 2))
-    other, old = np.full(lanes * 8, 16384, np.uint16), np.full(lanes, 32768, np.uint16)
-    weight = np.full((3, lanes), 26214, np.int64)  # 0.4 each
-    last, prior = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    active = np.searchsorted(-sizes, -np.arange(steps), "left")
+    said2, said1 = np.zeros(lanes << _CONTEXT_BITS, np.int32), np.zeros(lanes << _CONTEXT_BITS, np.int32)
+    seen = np.full(lanes << _SEEN_BITS, -1, np.int32)
+    by2, by1, by0 = np.tile(_BY2, lanes), np.tile(_BY1, lanes), np.tile(_BY0, lanes)
+    other, old = np.full(lanes * 8, 16384, np.int32), np.full(lanes, 32768, np.int32)
+    last, prior = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    before = np.zeros(lanes, np.int32)
+    symbols = np.zeros((steps, lanes), np.uint8)
+    active = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
+    k, room = -1, 0
     for t in range(steps):
-        k = int(active[t])
-        if t & 63 == 0:
-            coder.room()
-        all_ = slice(0, k)
-        now = out[t, :k]
-        h2 = base2[:k] + (((last[:k] * 0x9E3779B1 + prior[:k] * 0x85EBCA6B) >> 9) & (_CONTEXTS - 1))
-        h1 = base2[:k] + (((last[:k] * 0x9E3779B1) >> 11) & (_CONTEXTS - 1))
-        two, one = said2[h2].astype(np.int64), said1[h1].astype(np.int64)
-        conf2, conf1 = two >> _SURE, one >> _SURE
-        two &= _ID
-        one &= _ID
-        guess = np.where(conf2 > 0, two, one)
-        agree = guess == one
-        lane = every[:k]
-        c2, c1 = lane * 8 + conf2, lane * 16 + conf1 * 2 + agree
-        c0 = lane * 2 + (seen[base0[:k] + _slot(guess)] == guess)
-        s2, s1, s0 = _STRETCH[by2[c2] >> 4], _STRETCH[by1[c1] >> 4], _STRETCH[by0[c0] >> 4]
-        w = weight[:, :k]
-        p = _SQUASH[np.clip((w[0] * s2 + w[1] * s1 + w[2] * s0) >> 16, -2047, 2047) + 2047]
-        hit = coder.bit(all_, p, now == guess)
-        error = (np.where(hit, 4096, 0) - p) * 6
-        w[0] += (s2 * error) >> 10
-        w[1] += (s1 * error) >> 10
-        w[2] += (s0 * error) >> 10
-        _learn(by2, c2, hit, 4)
-        _learn(by1, c1, hit, 4)
-        _learn(by0, c0, hit, 5)
-        if ids is None:
-            now[hit] = guess[hit]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            b = miss[~agree[miss] & (conf1[miss] > 0)]
-            found = np.zeros(k, bool)
-            if len(b):
-                at = b * 8 + conf1[b]
-                right = coder.bit(b, np.clip(other[at].astype(np.int64) >> 4, 1, 4095), now[b] == one[b])
-                _learn(other, at, right, 4)
-                found[b] = right
-                if ids is None:
-                    now[b[right]] = one[b[right]]
-            c = miss[~found[miss]]
-            if len(c):
-                p = np.clip(old[c].astype(np.int64) >> 4, 1, 4095)
-                again = coder.bit(c, p, seen[base0[c] + _slot(now[c])] == now[c])
-                _learn(old, c, again, 5)
-                d, e = c[again], c[~again]
-                if len(d):
-                    place = coder.even(d, _SEEN, _slot(now[d]))
-                    if ids is None:
-                        now[d] = seen[base0[d] + place]
-                if len(e):
-                    symbol = coder.even(e, vocabulary, now[e])
-                    if ids is None:
-                        now[e] = symbol
-        _follow(said2, h2, two, conf2, now)
-        _follow(said1, h1, one, conf1, now)
-        seen[base0[:k] + _slot(now)] = now
-        prior[:k], last[:k] = last[:k], now
-    return out
-
-
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return ((ids * 0x9E3779B1) >> 13) & (_SEEN - 1)
+        if active[t] != k:
+            k = active[t]
+            lane = np.arange(k, dtype=np.int32)
+            base, base0, by8, by16, by4 = lane << _CONTEXT_BITS, lane << _SEEN_BITS, lane * 8, lane * 16, lane * 4
+            last, prior, before, old = last[:k].copy(), prior[:k].copy(), before[:k].copy(), old[:k].copy()
+            edges = np.zeros((5, k), np.int64)
+            edges[4] = 65536
+        if room == 0:
+            room = 64
+            coder.room(room)
+        room -= 1
+        x = last * _K1
+        h1 = (x >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
+        h2 = ((x + prior * _K2) >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
+        two, one = said2.take(h2, mode="clip"), said1.take(h1, mode="clip")
+        conf2, conf1 = two >> _ID_BITS, one >> _ID_BITS
+        id2, id1 = two & _ID, one & _ID
+        guess = np.where(conf2 > 0, id2, id1)
+        agree = guess == id1
+        c2, c1, c0 = by8 + conf2, by16 + (conf1 * 2 + agree), by4 + before
+        v2, v1, v0 = by2.take(c2, mode="clip"), by1.take(c1, mode="clip"), by0.take(c0, mode="clip")
+        p = _SQUASH.take(((v2 + v1 + v0) >> 8) + 2047, mode="clip")
+        o1 = by8 + conf1
+        q1 = other.take(o1, mode="clip")
+        may = ~agree & (conf1 > 0)
+        edges[1] = p
+        rest = 65536 - p
+        part = (rest * (q1 >> 1)) >> 15  # of at most 31 bits
+        part &= np.negative(may, dtype=np.int32, casting="unsafe")
+        np.add(p, part, out=edges[2])
+        rest -= part
+        np.add(edges[2], (rest * (old >> 1)) >> 15, out=edges[3])
+        if known is None:
+            now = ids[t, :k]
+            at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
+            symbol = np.where(guess == now, 0, np.where((id1 == now) & may, 1, np.where(seen.take(at0, mode="clip") == now, 2, 3))).astype(np.int32)
+            coder.code(k, symbol, edges)
+        else:
+            symbol = coder.code(k, None, edges)
+            now = np.where(symbol == 0, guess, id1)
+            which = np.flatnonzero(symbol == 2)
+            now[which] = seen[base0[which] + known[0].next(which)]
+            which = np.flatnonzero(symbol == 3)
+            now[which] = known[1].next(which)
+            ids[t, :k] = now
+            at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
+        symbols[t, :k] = symbol
+        error = _AIM0.take(symbol)
+        error -= p
+        by2[c2] = v2 + (error >> 3)
+        by1[c1] = v1 + (error >> 4)
+        by0[c0] = v0 + (error >> 5)
+        # towards a bound, so never beyond it; towards itself where the symbol says nothing
+        aim = _AIM1.take(symbol)
+        aim -= q1
+        aim >>= 4
+        aim &= _ASKED1.take(symbol)
+        aim &= np.negative(may, dtype=np.int32, casting="unsafe")
+        aim += q1
+        other[o1] = aim
+        aim = _AIM2.take(symbol)
+        aim -= old
+        aim >>= 5
+        aim &= _ASKED2.take(symbol)
+        old += aim
+        _followed(said2, h2, two, id2, now)
+        _followed(said1, h1, one, id1, now)
+        seen[at0] = now
+        prior, last, before = last, now.view(np.uint32), symbol
+    return symbols
+
+
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Values of so many bits, one after the other, as whole words."""
+    flat = ((values[:, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8).ravel()
+    raw = np.packbits(np.concatenate([flat, np.zeros(-len(flat) % 16, np.uint8)]))
+    return raw.view("<u2")
+
+
+def _unpacked(words: np.ndarray, many: int, bits: int) -> np.ndarray:
+    flat = np.unpackbits(np.ascontiguousarray(words, "<u2").view(np.uint8))[: many * bits].reshape(many, bits)
+    return flat.astype(np.int32) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int32))
+
+
+def _words_of(many: int, bits: int) -> int:
+    return -(-many * bits // 16)
+
+
+def _bits(vocabulary: int) -> int:
+    if not 0 < vocabulary <= LARGEST:
+        raise ValueError(f"a vocabulary of {vocabulary} ids; at most {LARGEST} can be coded")
+    return max(1, (vocabulary - 1).bit_length())
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Blocks of ids below the vocabulary's size, of at most 65536: their sizes, and their 16-bit words."""
+    """Blocks of ids below the vocabulary's size: their sizes, and their 16-bit words."""
+    bits = _bits(vocabulary)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < vocabulary:
+        raise ValueError("an id is not in the vocabulary")
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return np.zeros(0, np.int64), []
     sizes = np.full(blocks, BLOCK, np.int64)
     sizes[-1] = len(ids) - BLOCK * (blocks - 1)
-    whole = np.zeros(blocks * BLOCK, np.int64)
+    whole = np.zeros(blocks * BLOCK, np.int32)
     whole[: len(ids)] = ids
+    whole = whole.reshape(blocks, BLOCK)
     coder = _Encoder(blocks)
-    _run(coder, sizes, vocabulary, np.ascontiguousarray(whole.reshape(blocks, BLOCK).T)[: sizes[0]])
-    return sizes, coder.finish()
+    symbols = _run(coder, sizes, np.ascontiguousarray(whole.T)[: sizes[0]], None).T
+    out = []
+    for own, kind, size, words in zip(whole, symbols, sizes.tolist(), coder.finish()):
+        own, kind = own[:size], kind[:size]
+        places = (own[kind == 2].view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)
+        fresh = own[kind == 3]
+        head = np.array([len(places), len(fresh)], "<u2")
+        out.append(np.concatenate([head, words, _packed(places, _SEEN_BITS), _packed(fresh, bits)]))
+    return sizes, out
 
 
 def decode(sizes: np.ndarray, payloads: list[np.ndarray], vocabulary: int) -> np.ndarray:
+    bits = _bits(vocabulary)
     if not len(sizes):
         return np.zeros(0, np.int64)
-    out = _run(_Decoder(payloads), np.asarray(sizes, np.int64), vocabulary, None)
+    words, places, fresh = [], [], []
+    for own in payloads:
+        n, m = int(own[0]), int(own[1])
+        to, from_ = len(own) - _words_of(m, bits), len(own) - _words_of(m, bits) - _words_of(n, _SEEN_BITS)
+        words.append(own[2:from_])
+        places.append(_unpacked(own[from_:to], n, _SEEN_BITS))
+        fresh.append(_unpacked(own[to:], m, bits))
+    sizes = np.asarray(sizes, np.int64)
+    out = np.zeros((int(sizes[0]), len(sizes)), np.int32)
+    _run(_Decoder(words), sizes, out, (_Even(places), _Even(fresh)))
     flat = out.T.reshape(-1)
-    return flat[: int(sizes.sum())] if len(sizes) == 1 or out.shape[0] == BLOCK else flat
+    return flat[: int(sizes.sum())].astype(np.int64)

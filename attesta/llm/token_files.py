@@ -19,8 +19,8 @@ count of tokens, so files can be in any store that Spark writes to. Files are
 ranges of ids, dealt out by sampled bounds, so none grows with the input.
 
 Defined results: a null text counts as empty; a null id stands before all
-others; repeated rows are documents of their own, in the order of their texts;
-an empty table gives no segments; other columns are not stored.
+others; repeated rows are documents of their own, in the order of a hash of
+their texts; an empty table gives no segments; other columns are not stored.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, each followed by ``end_id``."""
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    ordered = d.repartitionByRange(_store.partitions(docs.sparkSession), "i").sortWithinPartitions("i", "t")
+    # ids first; rows that share an id, or have none, are dealt by their texts, in whose order they stand
+    ordered = d.withColumn("h", F.xxhash64("t")).repartitionByRange(_store.partitions(docs.sparkSession), "i", "h").sortWithinPartitions("i", "h", "t").select("i", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _tokens.encoder(tokenizer)
@@ -135,7 +136,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     place = files.select("part", "number", "tokens").withColumn("within", F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = place.join(before, "part").select("part", "number", (F.col("before") + F.col("within")).alias("start"))
     # a row for each segment of millions of tokens
-    placed = files.join(F.broadcast(place), ["part", "number"]).select("start", "segment")
+    placed = files.join(place, ["part", "number"]).select("start", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,6 +28,22 @@ def test_blocks_of_all_sizes_round_trip():
             assert np.array_equal(_coder.decode(sizes, payloads, 65536), ids)
 
 
+def test_large_vocabularies_round_trip_and_others_are_refused():
+    r = np.random.default_rng(2)
+    for size in (1, 2, 100_000, 128_256, 256_000, _coder.LARGEST):
+        ids = np.concatenate([r.integers(0, size, 6000), np.minimum(r.zipf(1.5, 6000), size) - 1, [size - 1] * 9])
+        sizes, payloads = _coder.encode(ids, size)
+        assert np.array_equal(_coder.decode(sizes, payloads, size), ids)
+    for ids, size in (([0], 0), ([0], _coder.LARGEST + 1), ([5], 5), ([-1], 5)):
+        with pytest.raises(ValueError):
+            _coder.encode(np.array(ids), size)
+
+
+def test_tables_are_the_rounded_logistic_function():
+    x = np.arange(-2047, 2048)
+    assert np.abs(_coder._SQUASH - np.clip(65536 / (1 + np.exp(-x / 256)), 64, 64512)).max() < 1.01
+
+
 def test_repeating_text_is_smaller():
     ids = np.tile(np.arange(40), 500)
     _, payloads = _coder.encode(ids, 50257)
@@ -54,12 +70,23 @@ def test_files_give_back_every_document(spark, tmp_path):
     token_files.write(frame, path, PATH, 2)
     rows = token_files.read(spark, path).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    start, expected = 0, []
-    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")):
-        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()
-        expected.append((i, start, len(ids) // 4, zlib.crc32(ids), ids))
-        start += len(ids) // 4
-    assert sorted(map(tuple, rows), key=lambda r: r[1]) == expected
+    own = [(i, np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in docs]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.ids) for r in rows), key=key) == sorted(own, key=key)
+    start, before = 0, (False, 0)
+    for r in sorted(rows, key=lambda r: r.start):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(r.ids) // 4, zlib.crc32(r.ids))
+        assert before <= (before := (r.doc_id is not None, r.doc_id or 0))
+        start += r.n_tokens
+
+
+def test_a_very_long_text(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60_000))
+    path = str(tmp_path / "long")
+    token_files.write(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), path, PATH, 2)
+    rows = {r.doc_id: r for r in token_files.read(spark, path).collect()}
+    assert np.frombuffer(rows[1].ids, "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids + [2]
+    assert rows[2].start == rows[1].n_tokens
 
 
 def test_an_empty_table(spark, tmp_path):
