@@ -36,30 +36,36 @@ from pyspark.sql import functions as F
 from . import _store, _tokens
 from ._bytes import sliced, task
 
-#: Lanes in which the ranks of a length are counted.
-LANES = 256
+#: Pieces for which there is a lane, and lanes at least, in which the ranks of a length are counted.
+LANE, LANES = 1 << 20, 256
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, lane) of every piece."""
+    """(doc_id, piece, start, length, ids_crc32) of every piece."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokens.encoder(tokenizer).encode
-        end = np.array([end_id], "<u4").tobytes()
+        found = _tokens.encoder(tokenizer)
         for batch in batches:
             for part in sliced(batch, "t", 4 << 20):
-                rows = []
-                for doc, ids in zip(part.column("i").to_pylist(), encode(part.column("t").to_pylist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        one = ids[at : at + 4 * capacity]
-                        # the lane is dealt by document, so copies are in many
-                        rows.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one), zlib.crc32(b"%d %d" % (doc or 0, k)) % LANES))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "lane"])
+                own, counts = found.flat(part.column("t"))
+                counts += 1
+                ends = np.cumsum(counts)
+                ids = np.full(int(counts.sum()), end_id, "<u4")
+                last = np.zeros(len(ids), bool)
+                last[ends - 1] = True
+                ids[~last] = own
+                many = -(-counts // capacity)
+                row = np.repeat(np.arange(len(counts)), many)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = number * capacity
+                length = np.minimum(capacity, counts[row] - start)
+                raw, at = memoryview(ids.tobytes()), 4 * (np.repeat(ends - counts, many) + start)
+                crc = [zlib.crc32(raw[a : a + n]) for a, n in zip(at.tolist(), (4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("i").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names)
 
     d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return d.mapInArrow(task(run), "doc_id long, piece int, start long, length long, ids_crc32 long, lane int")
+    return d.mapInArrow(task(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Plan:
@@ -123,6 +129,8 @@ class Plan:
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece with its sequence and its offset there."""
     cut = _store.kept(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
+    # the lane is dealt by document, so copies are in many
+    cut = cut.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(LANES, cut.count() // LANE))))
     lanes = cut.groupBy("length", "lane").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in lanes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     plan = docs.sparkSession.sparkContext.broadcast(Plan(counts, capacity))
