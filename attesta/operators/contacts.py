@@ -93,6 +93,11 @@ def first_by_key(found: DataFrame, partition: list[str], order: list[str]) -> Da
 
 
 def of_relationship(contacts: DataFrame, links: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Contacts linked to a relationship, owned by its person; links to no contact are dropped."""
+    """Contacts linked to a relationship, owned by its person; :func:`unlinked` names links to no contact."""
     own = relationships.select("relationship_id", "person_id")
     return links.join(own, "relationship_id").join(contacts.drop("owner_id"), "contact_id").withColumnRenamed("person_id", "owner_id")
+
+
+def unlinked(contacts: DataFrame, links: DataFrame) -> DataFrame:
+    """Links whose contact is not there, which no assembly accepts."""
+    return links.join(contacts.select("contact_id"), "contact_id", "left_anti")

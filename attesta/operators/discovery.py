@@ -100,3 +100,8 @@ def acquired(seeds: DataFrame, responses: DataFrame, key: str) -> DataFrame:
     out = seeds.join(responses.withColumn("_there", F.lit(True)), key, "left")
     ok = F.col("_there").isNotNull() & F.col("error_type").isNull() if "error_type" in responses.columns else F.col("_there").isNotNull()
     return out.withColumn("succeeded", ok).drop("_there")
+
+
+def acquisition_counts(rows: DataFrame) -> DataFrame:
+    """Seeds tried, acquired and not, of rows as from :func:`acquired`."""
+    return rows.agg(F.count("*").alias("attempted"), F.count_if("succeeded").alias("succeeded"), F.count_if(~F.col("succeeded")).alias("failed"))

@@ -204,3 +204,14 @@ def split_people(people: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def people_of_company(relationships: DataFrame) -> DataFrame:
     return relationships.groupBy("company_id").agg(F.array_sort(F.collect_set("person_id")).alias("person_ids"))
+
+
+def with_registrations(relationships: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Relationships whose evidence is joined by that of their person's registrations.
+
+    registrations: person_id, evidence_ids. Their ids are united for each person
+    before the join, so a person's many registrations multiply no row.
+    """
+    own = registrations.select("person_id", F.explode("evidence_ids").alias("_e")).groupBy("person_id").agg(F.collect_set("_e").alias("_more"))
+    both = F.array_union("relationship_evidence_ids", F.coalesce("_more", F.array().cast("array<string>")))
+    return relationships.join(own, "person_id", "left").withColumn("relationship_evidence_ids", F.array_sort(both)).select(*relationships.columns)

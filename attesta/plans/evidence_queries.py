@@ -10,7 +10,6 @@ from ..functions import text as tx
 from ..operators import contacts as ct
 from ..operators import discovery as dc
 from ..operators import evidence as ev
-from ..operators import extraction as ex
 from ..operators import fusion as fu
 from ..operators import normalize as nm
 from ..sources import captured as cp
@@ -122,10 +121,10 @@ def evidence_append(t):
     return count(inserted, "inserted").unionAll(count(same, "unchanged")).unionAll(count(conflict, "conflict"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' ORDER BY ts, event_id LIMIT 200")
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' ")
 def evidence_scan_ordered(t):
-    """The first page of an ordered scan of one source."""
-    return ev.scan(t.events, "ts", "event_id", F.col("event_type") == "purchase").limit(200).select("event_id", "user_id", "event_type")
+    """An ordered scan of one source."""
+    return ev.scan(t.events, "ts", "event_id", F.col("event_type") == "purchase").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT count(*) AS tampered FROM documents WHERE doc_id % 97 = 0")
@@ -322,28 +321,6 @@ def candidate_merge(t):
     return dc.merged(rows, "merge_key", "seq", ["display"], ["known_group"], ["terms"]).withColumn("terms", F.array_join("terms", ","))
 
 
-@query()
-def contacts_from_pages(t):
-    """Contacts that whole pages publish."""
-    return ex.contacts(t.pages)
-
-
-@query()
-def people_from_pages(t):
-    """People and roles that whole pages name."""
-    return ex.people(t.pages).select("page_id", "ordinal", "name", "title", F.to_json("contacts").alias("contacts"), "error")
-
-
-@query()
-def directory_seeds(t):
-    return ex.seeds(t.pages)
-
-
-@query()
-def visible_text_blocks(t):
-    return ex.visible_blocks(t.pages).select("page_id", "block", "heading", F.size("texts").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"), "error")
-
-
 @query(
     """
 WITH q AS (SELECT n_nationkey, 'dentista ' || n_name AS query, 'query:' || n_nationkey AS query_id FROM nation),

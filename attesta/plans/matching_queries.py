@@ -9,29 +9,29 @@ from ..operators import people as pp
 from ..operators import resolution as rs
 from .catalog import query
 
-#: Customers and suppliers as company records: their number is their name, phone and key, their nation their place.
+#: Customers and suppliers as company records; neighbouring keys share name, domain and phone, so blocks stay small at any size.
 RECORDS = """
 r AS (
-  SELECT 'c' || c_custkey AS id, 'acme ' || (c_custkey % 97) || ' ' || lower(c_mktsegment) AS name, 'd' || (c_custkey % 211) || '.example.com' AS domain,
-    CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey % 401 AS VARCHAR), 9, '1') END AS phone, 'city ' || c_nationkey AS city, 'xx' AS state, lpad(CAST(c_custkey % 7 AS VARCHAR), 7, '0') AS cnae FROM customer
+  SELECT 'c' || c_custkey AS id, lpad(CAST(c_custkey // 5 AS VARCHAR), 6, '0') || ' ' || lower(c_mktsegment) AS name, 'd' || (c_custkey // 3) || '.example.com' AS domain,
+    CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST(c_custkey // 7 AS VARCHAR), 9, '1') END AS phone, 'city ' || c_nationkey AS city, 'xx' AS state, lpad(CAST(c_custkey % 7 AS VARCHAR), 7, '0') AS cnae FROM customer
   UNION ALL
-  SELECT 's' || s_suppkey, 'acme ' || (s_suppkey % 97) || ' machinery', 'd' || (s_suppkey % 211) || '.example.com',
-    CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey % 401 AS VARCHAR), 9, '1') END, 'city ' || s_nationkey, 'xx', lpad(CAST(s_suppkey % 7 AS VARCHAR), 7, '0') FROM supplier
+  SELECT 's' || s_suppkey, lpad(CAST(s_suppkey // 5 AS VARCHAR), 6, '0') || ' machinery', 'd' || (s_suppkey // 3) || '.example.com',
+    CASE WHEN s_suppkey % 3 = 0 THEN lpad(CAST(s_suppkey // 7 AS VARCHAR), 9, '1') END, 'city ' || s_nationkey, 'xx', lpad(CAST(s_suppkey % 7 AS VARCHAR), 7, '0') FROM supplier
 )"""
-_KEYS = "k AS (SELECT id, unnest(['domain:' || domain, 'phone:' || phone, 'name0_city:' || left(string_split(name, ' ')[1] || string_split(name, ' ')[2], 6) || ':' || city]) AS key FROM r)"
+_KEYS = "k AS (SELECT id, unnest(['domain:' || domain, 'phone:' || phone, 'name0:' || left(name, 6), 'name0_city:' || left(name, 6) || ':' || city]) AS key FROM r)"
 _PAIRS = "p AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM k a JOIN k b ON a.key = b.key AND a.id < b.id)"
 
 
 def _records(t):
-    """The records of RECORDS; the first word of a name is joined to the second, so blocks stay small."""
+    """The records of RECORDS."""
 
     def one(rows, letter, key, nation, segment):
         k = F.col(key)
         return rows.select(
             F.concat(F.lit(letter), k).alias("record_id"),
-            F.concat(F.lit("acme "), k % 97, F.lit(" "), segment).alias("name"),
-            F.concat(F.lit("d"), k % 211, F.lit(".example.com")).alias("domain"),
-            F.when(k % 3 == 0, F.lpad((k % 401).cast("string"), 9, "1")).alias("phone"),
+            F.concat(F.lpad(F.floor(k / 5).cast("string"), 6, "0"), F.lit(" "), segment).alias("name"),
+            F.concat(F.lit("d"), F.floor(k / 3), F.lit(".example.com")).alias("domain"),
+            F.when(k % 3 == 0, F.lpad(F.floor(k / 7).cast("string"), 9, "1")).alias("phone"),
             F.concat(F.lit("City "), F.col(nation)).alias("city"),
             F.lit("XX").alias("state"),
             F.lpad((k % 7).cast("string"), 7, "0").alias("cnae"),
@@ -42,10 +42,7 @@ def _records(t):
 
 
 def _keyed(records):
-    words = tx.tokens(F.col("name"))
-    prefix = F.substring(F.concat(F.get(words, 0), F.get(words, 1)), 1, 6)
-    some = (F.concat(F.lit("domain:"), "domain"), F.concat(F.lit("phone:"), "phone"), F.concat(F.lit("name0_city:"), prefix, F.lit(":"), "city"))
-    return records.withColumn("keys", F.array_compact(F.array(*some)))
+    return records.withColumn("keys", rs.keys())
 
 
 def _pairs(t):
@@ -147,19 +144,19 @@ def er_confusion(t):
 @query(
     """
 WITH a AS (SELECT user_id, list_sort(list_distinct(list('k' || (event_id % 40)) FILTER (event_type = 'view'))) AS v,
-  list_sort(list_distinct(list('k' || (event_id % 40)) FILTER (event_type = 'click'))) AS c FROM events WHERE value > 90 GROUP BY 1)
+  list_sort(list_distinct(list('k' || (event_id % 40)) FILTER (event_type = 'click'))) AS c FROM events GROUP BY 1)
 SELECT l.user_id AS left_id, r.user_id AS right_id,
   CASE WHEN len(l.v) > 0 AND len(r.v) > 0 THEN list_has_any(l.v, r.v) END AS name_exact,
   CASE WHEN len(l.c) > 0 AND len(r.c) > 0 THEN list_has_any(l.c, r.c) END AS role_exact
-FROM a l JOIN a r ON l.user_id % 10 = r.user_id % 10 AND l.user_id < r.user_id
+FROM a l JOIN a r ON l.user_id // 10 = r.user_id // 10 AND l.user_id < r.user_id
 """
 )
 def person_overlap(t):
-    """Three-valued overlaps of sets, within blocks."""
+    """Three-valued overlaps of sets, within blocks of ten neighbouring ids, however many there are."""
     own = lambda kind: F.array_compact(F.array_sort(F.collect_set(F.when(F.col("event_type") == kind, F.concat(F.lit("k"), F.col("event_id") % 40)))))
-    people = t.events.where("value > 90").groupBy("user_id").agg(own("view").alias("names"), own("click").alias("roles"))
+    people = t.events.groupBy("user_id").agg(own("view").alias("names"), own("click").alias("roles"))
     none = F.array().cast("array<string>")
-    sides = people.select("user_id", (F.col("user_id") % 10).alias("block"), F.struct(F.lit("c").alias("company_id"), "names", "roles", *[none.alias(c) for c in ("emails", "phones", "profiles", "relationship_evidence_ids")]).alias("x"))
+    sides = people.select("user_id", F.floor(F.col("user_id") / 10).alias("block"), F.struct(F.lit("c").alias("company_id"), "names", "roles", *[none.alias(c) for c in ("emails", "phones", "profiles", "relationship_evidence_ids")]).alias("x"))
     left = sides.select(F.col("user_id").alias("left_id"), "block", F.col("x").alias("l"))
     right = sides.select(F.col("user_id").alias("right_id"), "block", F.col("x").alias("r"))
     return pp.features(left.join(right, "block").where("left_id < right_id")).select("left_id", "right_id", "name_exact", "role_exact")

@@ -199,12 +199,12 @@ def preflight_blockers(t):
 
 @query(
     """
-WITH b AS (SELECT o_orderkey, unnest(['LEGAL-001', 'X-' || o_orderstatus]) AS blocker FROM orders WHERE o_orderkey % 50 = 0)
+WITH b AS (SELECT o_orderkey, unnest(['LEGAL-001', 'X-' || o_orderstatus]) AS blocker FROM orders)
 SELECT o_orderkey, blocker, CASE blocker WHEN 'LEGAL-001' THEN 'obtain sign-off' WHEN 'X-F' THEN 'close' ELSE 'review' END AS required_action FROM b
 """
 )
 def pilot_release_actions(t):
-    rows = t.orders.where("o_orderkey % 50 = 0").select("o_orderkey", F.explode(F.array(F.lit("LEGAL-001"), F.concat(F.lit("X-"), "o_orderstatus"))).alias("blocker"))
+    rows = t.orders.select("o_orderkey", F.explode(F.array(F.lit("LEGAL-001"), F.concat(F.lit("X-"), "o_orderstatus"))).alias("blocker"))
     actions = t.spark.createDataFrame([("LEGAL-001", "obtain sign-off"), ("X-F", "close")], "blocker string, required_action string")
     return gt.release(rows, actions, "review").select("o_orderkey", "blocker", "required_action")
 
