@@ -8,7 +8,8 @@ one leaf of each tree. A query goes through all trees at once by one priority
 queue, ordered by the smallest margin on the way, and takes the leaves that come
 off first until their share of the rows is reached. Vectors and queries that
 share a leaf meet by a shuffle on buckets of leaves; there candidates are scored
-exactly, and each bucket sends a query's best.
+exactly, in tiles of bounded size, and each bucket sends a query's best. Vectors
+of doubles stay doubles, and products are taken in double precision.
 
 Equal vectors are one candidate with its smallest ids, and one query, so a
 vector that a third of all rows hold is no hot leaf.
@@ -34,6 +35,10 @@ from . import _store
 from ._bytes import task
 
 
+#: Products of queries and vectors that are in memory at once.
+TILE = 8 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     trees: int = 6
@@ -131,12 +136,17 @@ def visited(forest: list[Tree], q: np.ndarray, wanted: float) -> list[list[tuple
     return out
 
 
-def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
+def _kind(rows: DataFrame, vector_col: str) -> str:
+    """float for vectors of floats, double for all other numbers."""
+    return "float" if rows.select(F.col(f"`{vector_col}`")).schema[0].dataType.simpleString() == "array<float>" else "double"
+
+
+def _valid(rows: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where("id is not null and v is not null")
     v = F.col("v")
     rows = rows.where(F.size(v) > 0).where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))).where(F.exists(v, lambda x: x != 0))
     # minus zero is zero
-    return rows.select("id", F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("v"))
+    return rows.select("id", F.transform(v, lambda x: x + F.lit(0.0).cast(kind)).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -147,7 +157,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     spark = rows.sparkSession
-    valid = _valid(rows, id_col, vector_col)
+    kind = _kind(rows, vector_col)
+    valid = _valid(rows, id_col, vector_col, kind)
     sizes = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -181,7 +192,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _matrix(batch.column("v"))
-            q = np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1)
+            q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
             rows = []
             for i, own in enumerate(visited(sent.value, q, wanted)):
                 tree, leaf = np.array(own, np.int64).T
@@ -198,9 +209,9 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
     queries = _store.kept(queries)
     asking = classes.join(queries.select("class").distinct(), "class", "left_semi").select("class", "v")
     blocks = max(1, -(-asking.count() // settings.block))
-    v_rows = classes.select("class", "v").mapInArrow(task(dealt), "bucket long, leaf long, class long, v array<float>")
+    v_rows = classes.select("class", "v").mapInArrow(task(dealt), f"bucket long, leaf long, class long, v array<{kind}>")
     v_rows = v_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q_rows = asking.mapInArrow(task(asked), "bucket long, leaves array<long>, class long, v array<float>").withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
+    q_rows = asking.mapInArrow(task(asked), f"bucket long, leaves array<long>, class long, v array<{kind}>").withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
 
     def met(left, right):
         v, ids, leaf = _matrix(left.column("v").combine_chunks()).astype(np.float64), left.column("class").to_numpy(), left.column("leaf").to_numpy()
@@ -215,10 +226,14 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
             v, names = v[one], ids[one]
             here, held = np.unique(leaf, return_inverse=True)
             q = _matrix(right.column("v").combine_chunks()).astype(np.float64)
-            scores = q @ v.T
+            tile, done = max(1, TILE // len(v)), 0
+            scores = np.zeros((0, len(v)))
             long = np.linalg.norm(v, axis=1).max()
             asks = right.column("class").to_pylist()
             for i, own in enumerate(right.column("leaves").to_pylist()):
+                if i >= done + len(scores):
+                    done = i
+                    scores = q[i : i + tile] @ v.T
                 place = np.minimum(np.searchsorted(here, own), len(here) - 1)
                 taken = np.zeros(len(here), bool)
                 taken[place[here[place] == own]] = True
@@ -227,7 +242,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
                 at = np.flatnonzero(some)
                 if not len(at):
                     continue
-                s = scores[i, at]
+                s = scores[i - done, at]
                 if len(at) > k + 1:  # all that may tie with the last, as these products are rounded otherwise
                     rounding = 4 * v.shape[1] * np.finfo(np.float64).eps * np.linalg.norm(q[i]) * long
                     at = at[s >= -np.partition(-s, k)[k] - rounding]

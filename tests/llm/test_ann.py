@@ -62,3 +62,14 @@ def test_invalid_vectors_take_no_part(spark):
 def test_empty_and_single(spark):
     assert nearest(spark, []) == []
     assert nearest(spark, [(20, [1.0, 2.0])]) == []
+
+
+def test_doubles_stay_doubles_and_tiles_do_not_matter(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((200, 3)) / 3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, k=4, every=20, settings=ann.Settings(share=50)).collect()
+    for row in got:
+        assert row.score == float((x[row.query_id] * x[row.vec_id]).sum())
+    for q, found in by_query(got).items():
+        assert found == [j for _, j in sorted((-float((x[q] * x[j]).sum()), j) for j in range(200) if j != q)[:4]]
