@@ -48,8 +48,11 @@ class Settings:
     #: Rows of a leaf that the trees aim at, and sample rows that a leaf has at least.
     leaf: int = 64
     least: int = 8
-    #: Share of a tree's rows that a query takes, over all trees together.
+    #: Share of a tree's rows that a query takes, over all trees together, for so many rows or fewer,
     share: float = 1.6
+    rows: int = 2_000
+    #: and the power of the rows by which it falls beyond, so that candidates grow slower than the table.
+    fall: float = 0.2
     #: Queries that meet a bucket's vectors at once.
     block: int = 20_000
     seed: int = 11
@@ -178,7 +181,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, settings: Settings =
     limit = max(settings.least, round(settings.leaf * len(sample) / n))
     sent = spark.sparkContext.broadcast([_grown(sample, limit, rng) for _ in range(settings.trees)])
     buckets = max(_store.partitions(spark), -(-n * settings.trees * d * 4 // (32 << 20)))
-    wanted = settings.share * len(sample)
+    wanted = settings.share * min(1.0, (settings.rows / n) ** settings.fall) * len(sample)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
