@@ -27,7 +27,7 @@ import numpy as np
 #: Ids of a block.
 BLOCK = 4096
 #: Contexts of a table, as a power of two, and bits of a place in order 0's table.
-_CONTEXT_BITS, _SEEN_BITS = 11, 10
+_CONTEXT_BITS, _SEEN_BITS = 10, 9
 _CONTEXTS, _SEEN = 1 << _CONTEXT_BITS, 1 << _SEEN_BITS
 #: An entry of a table of predictions: the id, and above it how sure it is, up to 7.
 _ID_BITS = 20
@@ -55,6 +55,8 @@ def _squash() -> np.ndarray:
 
 
 _SQUASH = _squash()
+#: How slowly each predictor learns from an error, as shifts.
+_RATES = np.array([[3], [4], [5]], np.int32)
 #: By symbol: what the three probabilities move towards, and whether it says something of them (all bits or none).
 _AIM0 = np.array([65536, 0, 0, 0], np.int32)
 _AIM1, _ASKED1 = np.array([0, _OTHER[1], _OTHER[0], _OTHER[0]], np.int32), np.array([0, -1, -1, -1], np.int32)
@@ -155,22 +157,16 @@ class _Even:
         return self.all.take(at, mode="clip")
 
 
-def _followed(table: np.ndarray, at: np.ndarray, entry: np.ndarray, said: np.ndarray, now: np.ndarray) -> None:
-    """Strengthen a prediction that held, weaken or replace one that did not."""
-    held = np.minimum(entry + _SURE, said | 7 * _SURE)
-    other = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
-    table[at] = np.where(said == now, held, other)
-
-
 def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] | None) -> np.ndarray:
     """Code ids (steps by lanes), or decode them into the array if the even parts are known; the symbols of each step.
 
     No size is below the next one.
     """
     lanes, steps = len(sizes), int(sizes[0])
-    said2, said1 = np.zeros(lanes << _CONTEXT_BITS, np.int32), np.zeros(lanes << _CONTEXT_BITS, np.int32)
+    # of order 2, then of order 1; and the weights of evidence of the three predictors
+    said = np.zeros(2 * lanes << _CONTEXT_BITS, np.int32)
     seen = np.full(lanes << _SEEN_BITS, -1, np.int32)
-    by2, by1, by0 = np.tile(_BY2, lanes), np.tile(_BY1, lanes), np.tile(_BY0, lanes)
+    by = np.concatenate([np.tile(_BY2, lanes), np.tile(_BY1, lanes), np.tile(_BY0, lanes)])
     other, old = np.full(lanes * 8, 16384, np.int32), np.full(lanes, 32768, np.int32)
     last, prior = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     before = np.zeros(lanes, np.int32)
@@ -181,7 +177,10 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         if active[t] != k:
             k = active[t]
             lane = np.arange(k, dtype=np.int32)
-            base, base0, by8, by16, by4 = lane << _CONTEXT_BITS, lane << _SEEN_BITS, lane * 8, lane * 16, lane * 4
+            base = np.stack([lane, lanes + lane]) << _CONTEXT_BITS
+            base0, by8 = lane << _SEEN_BITS, lane * 8
+            by16, by4 = 8 * lanes + lane * 16, 24 * lanes + lane * 4
+            at, hashed = np.zeros((3, k), np.int32), np.zeros((2, k), np.uint32)
             last, prior, before, old = last[:k].copy(), prior[:k].copy(), before[:k].copy(), old[:k].copy()
             edges = np.zeros((5, k), np.int64)
             edges[4] = 65536
@@ -189,17 +188,19 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
             room = 64
             coder.room(room)
         room -= 1
-        x = last * _K1
-        h1 = (x >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
-        h2 = ((x + prior * _K2) >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
-        two, one = said2.take(h2, mode="clip"), said1.take(h1, mode="clip")
-        conf2, conf1 = two >> _ID_BITS, one >> _ID_BITS
-        id2, id1 = two & _ID, one & _ID
-        guess = np.where(conf2 > 0, id2, id1)
+        np.multiply(last, _K1, out=hashed[1])
+        np.add(hashed[1], prior * _K2, out=hashed[0])
+        h = (hashed >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
+        entry = said.take(h, mode="clip")
+        sure, named = entry >> _ID_BITS, entry & _ID
+        conf1, id1 = sure[1], named[1]
+        guess = np.where(sure[0] > 0, named[0], id1)
         agree = guess == id1
-        c2, c1, c0 = by8 + conf2, by16 + (conf1 * 2 + agree), by4 + before
-        v2, v1, v0 = by2.take(c2, mode="clip"), by1.take(c1, mode="clip"), by0.take(c0, mode="clip")
-        p = _SQUASH.take(((v2 + v1 + v0) >> 8) + 2047, mode="clip")
+        np.add(by8, sure[0], out=at[0])
+        np.add(by16, conf1 * 2 + agree, out=at[1])
+        np.add(by4, before, out=at[2])
+        weights = by.take(at, mode="clip")
+        p = _SQUASH.take((weights.sum(0, dtype=np.int32) >> 8) + 2047, mode="clip")
         o1 = by8 + conf1
         q1 = other.take(o1, mode="clip")
         may = ~agree & (conf1 > 0)
@@ -227,9 +228,8 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         symbols[t, :k] = symbol
         error = _AIM0.take(symbol)
         error -= p
-        by2[c2] = v2 + (error >> 3)
-        by1[c1] = v1 + (error >> 4)
-        by0[c0] = v0 + (error >> 5)
+        weights += error >> _RATES
+        by[at] = weights
         # towards a bound, so never beyond it; towards itself where the symbol says nothing
         aim = _AIM1.take(symbol)
         aim -= q1
@@ -243,27 +243,38 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         aim >>= 5
         aim &= _ASKED2.take(symbol)
         old += aim
-        _followed(said2, h2, two, id2, now)
-        _followed(said1, h1, one, id1, now)
+        # strengthen a prediction that held, weaken or replace one that did not
+        held = np.minimum(entry + _SURE, named | 7 * _SURE)
+        missed = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
+        said[h] = np.where(named == now, held, missed)
         seen[at0] = now
         prior, last, before = last, now.view(np.uint32), symbol
     return symbols
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
-    """Values of so many bits, one after the other, as whole words."""
-    flat = ((values[:, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8).ravel()
-    raw = np.packbits(np.concatenate([flat, np.zeros(-len(flat) % 16, np.uint8)]))
-    return raw.view("<u2")
+    """Values of so many bits: their whole bytes, low ones first, then what is left of each, as whole words."""
+    whole, rest = divmod(bits, 8)
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    left = planes[whole, :, None] >> np.arange(rest - 1, -1, -1, dtype=np.uint8) & 1 if rest else planes[:0]
+    raw = np.concatenate([planes[:whole].ravel(), np.packbits(left.ravel()), np.zeros(1, np.uint8)])
+    return raw[: len(raw) // 2 * 2].view("<u2")
 
 
 def _unpacked(words: np.ndarray, many: int, bits: int) -> np.ndarray:
-    flat = np.unpackbits(np.ascontiguousarray(words, "<u2").view(np.uint8))[: many * bits].reshape(many, bits)
-    return flat.astype(np.int32) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int32))
+    whole, rest = divmod(bits, 8)
+    raw = np.ascontiguousarray(words, "<u2").view(np.uint8)
+    planes = np.zeros((4, many), np.uint8)
+    planes[:whole] = raw[: whole * many].reshape(whole, many)
+    if rest:
+        left = np.unpackbits(raw[whole * many :], count=rest * many).reshape(many, rest)
+        planes[whole] = left @ (1 << np.arange(rest - 1, -1, -1, dtype=np.uint8))
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _words_of(many: int, bits: int) -> int:
-    return -(-many * bits // 16)
+    whole, rest = divmod(bits, 8)
+    return (whole * many + -(-rest * many // 8) + 1) // 2
 
 
 def _bits(vocabulary: int) -> int:
@@ -286,7 +297,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, list[np.ndarra
     whole[: len(ids)] = ids
     whole = whole.reshape(blocks, BLOCK)
     coder = _Encoder(blocks)
-    symbols = _run(coder, sizes, np.ascontiguousarray(whole.T)[: sizes[0]], None).T
+    symbols = np.ascontiguousarray(_run(coder, sizes, np.ascontiguousarray(whole.T)[: sizes[0]], None).T)
     out = []
     for own, kind, size, words in zip(whole, symbols, sizes.tolist(), coder.finish()):
         own, kind = own[:size], kind[:size]
