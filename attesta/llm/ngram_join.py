@@ -215,14 +215,14 @@ def _chosen(docs: DataFrame, several: DataFrame, n: int) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """Packed (signature, document); a task sends equal sets once."""
+    """Packed (signature, first half of the set's key): copies are one, wherever they are."""
     many = _packed.buckets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, seen = _Plan(p, q), set()
         for batch in batches:
             sigs, homes, owner, held = [], [], [], 0
-            for doc, ids in _texts(batch, n):
+            for _, ids in _texts(batch, n):
                 key = set_key(ids)
                 if not len(ids) or key in seen:
                     continue
@@ -230,7 +230,7 @@ def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
                 s, home = signatures(ids, plan)
                 sigs.append(s)
                 homes.append(home)
-                owner.append(np.full(len(s), doc, np.int64))
+                owner.append(np.full(len(s), key[0], np.int64))
                 held += len(s)
                 if held > 1 << 20:
                     yield _sent(sigs, homes, owner, many)
@@ -238,21 +238,21 @@ def _indexed(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
             if held:
                 yield _sent(sigs, homes, owner, many)
 
-    return docs.mapInArrow(task(run), _packed.schema(["sig", "doc", "home"]))
+    return docs.mapInArrow(task(run), _packed.schema(["sig", "set", "home"]))
 
 
 def _sent(sigs: list, homes: list, owner: list, many: int) -> pa.RecordBatch:
     sig = np.concatenate(sigs)
-    return _packed.pack((sig % _U(many)).astype(np.int32), {"sig": sig, "doc": np.concatenate(owner), "home": np.concatenate(homes)})
+    return _packed.pack((sig % _U(many)).astype(np.int32), {"sig": sig, "set": np.concatenate(owner), "home": np.concatenate(homes)})
 
 
 def _runs(packed: DataFrame) -> DataFrame:
-    """Of signatures that several documents have: pairs (null, a, b) of short runs, members (sig, a, null) of others."""
+    """Of signatures that several sets have: pairs (null, a, b) of short runs, members (sig, a, null) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _packed.unpack(batches, {"sig": _U, "doc": np.int64, "home": np.uint8})
-        order = np.lexsort((got["doc"], got["sig"]))
-        sig, doc, home = got["sig"][order], got["doc"][order], got["home"][order]
+        got = _packed.unpack(batches, {"sig": _U, "set": np.int64, "home": np.uint8})
+        order = np.lexsort((got["set"], got["sig"]))
+        sig, doc, home = got["sig"][order], got["set"][order], got["home"][order]
         if len(sig) < 2:
             return
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])])
@@ -318,11 +318,15 @@ def _thinned(rows: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _candidates(runs: DataFrame, known: DataFrame, p: int, q: int) -> DataFrame:
-    """Edges whose components hold every similar pair; runs as from _runs, known has doc, rep, n, s."""
+    """Edges whose components hold every similar pair; runs as from _runs, known has set, rep, n, s.
+
+    Where different sets share the first half of their keys, known has a row for
+    each, so all of them are candidates.
+    """
     pairs = runs.where("sig is null").select("a", "b").distinct()
-    side = lambda x: known.select(F.col("doc").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    side = lambda x: known.select(F.col("set").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
     short = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").where(_possible(p, q)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    rows = runs.where("sig is not null").select("sig", F.col("a").alias("doc")).join(known, "doc").select("sig", F.col("rep").alias("doc"), "n", "s").dropDuplicates(["sig", "doc"])
+    rows = runs.where("sig is not null").select("sig", F.col("a").alias("set")).join(known, "set").select("sig", F.col("rep").alias("doc"), "n", "s").dropDuplicates(["sig", "doc"])
     sizes = rows.groupBy("sig").agg(F.count("doc").alias("size"), F.min("doc").alias("least"))
     sized = rows.join(sizes, "sig")
     star = sized.where(F.col("size") > THINNED).select(F.col("least").alias("a"), F.col("doc").alias("b"))
@@ -427,7 +431,7 @@ def joined(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str = "d
     if several.limit(1).count():
         d = _chosen(d, F.broadcast(several) if several.count() <= SENT else several, n)
     runs = _store.kept(_runs(_indexed(d, n, p, q)))
-    edges = _candidates(runs, known.select(F.col("doc_id").alias("doc"), "rep", F.col("n_shingles").alias("n"), "s"), p, q)
+    edges = _candidates(runs, known.where("doc_id = rep").select(F.col("k1").alias("set"), "rep", F.col("n_shingles").alias("n"), "s"), p, q)
     near = components(edges)
     runs.unpersist()
     seen.unpersist()
