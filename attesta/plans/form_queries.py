@@ -318,6 +318,8 @@ WITH c AS (SELECT page_id, unnest([
   {'kind': 'WHATSAPP', 'value': '+55119' || (1000000 + page_id), 'k': '55119' || (1000000 + page_id)}, {'kind': 'LINKEDIN', 'value': 'https://linkedin.com/company/Acme/', 'k': 'https://linkedin.com/company/acme'},
   {'kind': 'CONTACT_FORM', 'value': 'F', 'k': 'F'}]) AS c, regexp_replace(url, '#.*', '') AS own FROM pages)
 SELECT page_id, c.kind AS kind, CASE WHEN c.kind = 'CONTACT_FORM' THEN own ELSE c.value END AS value, CASE WHEN c.kind = 'CONTACT_FORM' THEN lower(rtrim(own, '/')) ELSE c.k END AS contact_key, NULL AS error FROM c
+UNION ALL SELECT DISTINCT page_id, 'EMAIL', e, lower(e), NULL FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_.+À-ÿ-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,})(?:[^A-Za-z0-9_.-]|$)', 1)) AS e FROM pages)
 """
 )
 def contacts_from_pages(t):
