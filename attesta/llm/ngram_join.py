@@ -57,7 +57,7 @@ BLOCK, BLOCK_NGRAMS = 1024, 1 << 19
 DEALS = 3
 #: Documents of a run of one subset up to which all its pairs are candidates one by one,
 RUN = 12
-#: and up to which a run is thinned in one task; a longer run is a star of candidates.
+#: and up to which a run is thinned in one task; the parts of a longer run meet two by two.
 THINNED = 4096
 #: Rows up to which the candidates' ids are sent to all executors rather than shuffled.
 SENT = 500_000
@@ -247,7 +247,7 @@ def _sent(sigs: list, homes: list, owner: list, many: int) -> pa.RecordBatch:
 
 
 def _runs(packed: DataFrame) -> DataFrame:
-    """Of signatures that several sets have: pairs (null, a, b) of short runs, members (sig, a, null) of others."""
+    """Of signatures that several sets have: pairs (null, a, b) of short runs, (sig, first member, member) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _packed.unpack(batches, {"sig": _U, "set": np.int64, "home": np.uint8})
@@ -268,10 +268,10 @@ def _runs(packed: DataFrame) -> DataFrame:
                     pairs.append(np.stack([doc[own + x], doc[own + y]], 1))
         found = np.unique(np.concatenate(pairs), axis=0)
         long = np.repeat(size > RUN, np.diff(first))
-        nothing = pa.nulls(int(long.sum()), pa.int64())
+        leader = np.repeat(doc[first[:-1]], np.diff(first))
         for columns in (
             [pa.nulls(len(found), pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1])],
-            [pa.array(sig[long].view(np.int64)), pa.array(doc[long]), nothing],
+            [pa.array(sig[long].view(np.int64)), pa.array(leader[long]), pa.array(doc[long])],
         ):
             whole = pa.RecordBatch.from_arrays(columns, ["sig", "a", "b"])
             for at in range(0, whole.num_rows, 1 << 16):
@@ -293,7 +293,7 @@ def _possible(p: int, q: int):
 
 
 def _thinned(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """A spanning forest of the possible pairs of each run; rows has sig, doc, n, s."""
+    """A spanning forest of the possible pairs of each run's cells; rows has sig, x, y, doc, n, s."""
 
     def run(key, table):
         doc, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
@@ -314,23 +314,53 @@ def _thinned(rows: DataFrame, p: int, q: int) -> DataFrame:
                 queue, left = np.concatenate([queue, left[near]]), left[~near]
         return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.groupBy("sig").applyInArrow(run, "a long, b long")
+    return rows.groupBy("sig", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (sig, doc, n, s) of long runs in cells (x, y) of at most some THINNED rows.
+
+    A longer run is dealt into parts, and every two parts meet in a cell, so no
+    pair of a run is left out and no cell grows with the run.
+    """
+    many = rows.groupBy("sig").agg(F.ceil(F.count("doc") / F.lit(THINNED)).alias("many"))
+    many = many.select("sig", F.when(F.col("many") == 1, 1).otherwise(2 * F.col("many")).alias("many"))
+    own = F.pmod(F.xxhash64("doc"), "many")
+    last = F.col("many") - 1
+    # a part alone is no cell of its own: its pairs meet in all cells of the part
+    others = F.when(last == 0, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), last), lambda k: k != F.col("own")))
+    met = rows.join(many, "sig").withColumn("own", own).withColumn("other", F.explode(others))
+    return met.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "n", "s")
 
 
 def _candidates(runs: DataFrame, known: DataFrame, p: int, q: int) -> DataFrame:
     """Edges whose components hold every similar pair; runs as from _runs, known has set, rep, n, s.
 
+    Pairs of short runs, and each member of a long run with its first one, are
+    judged by their sketches. That joins most groups of near copies, which share
+    many subsets, by one row for each set. The sketches then go to the members
+    of those long runs alone in which some member is not yet in the class of
+    the first one.
+
     Where different sets share the first half of their keys, known has a row for
     each, so all of them are candidates.
     """
-    pairs = runs.where("sig is null").select("a", "b").distinct()
+    long = runs.where("sig is not null")
+    pairs = runs.groupBy("a", "b").agg(F.max(F.col("sig").isNotNull()).alias("long"))
     side = lambda x: known.select(F.col("set").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    short = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").where(_possible(p, q)).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    rows = runs.where("sig is not null").select("sig", F.col("a").alias("set")).join(known, "set").select("sig", F.col("rep").alias("doc"), "n", "s").dropDuplicates(["sig", "doc"])
-    sizes = rows.groupBy("sig").agg(F.count("doc").alias("size"), F.min("doc").alias("least"))
-    sized = rows.join(sizes, "sig")
-    star = sized.where(F.col("size") > THINNED).select(F.col("least").alias("a"), F.col("doc").alias("b"))
-    return short.unionAll(_thinned(sized.where(F.col("size") <= THINNED), p, q)).unionAll(star)
+    judged = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b", "ra", "rb", "long", _possible(p, q).alias("possible"))
+    judged = _store.written(judged.where("long or possible"), "judged")
+    near = judged.where("possible").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    apart = judged.where("not possible")
+    if not apart.limit(1).count():
+        return near
+    classes = components(near)
+    of = lambda x: classes.select(F.col("node").alias(f"r{x}"), F.col("component").alias(f"c{x}"))
+    apart = apart.join(of("a"), "ra", "left").join(of("b"), "rb", "left").where("coalesce(ca, ra) <> coalesce(cb, rb)").select("a", "b").distinct()
+    mixed = long.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
+    members = long.join(mixed, "sig", "left_semi").select("sig", F.col("b").alias("set"))
+    rows = members.join(known, "set").select("sig", F.col("rep").alias("doc"), "n", "s").dropDuplicates(["sig", "doc"])
+    return near.unionAll(_thinned(_cells(rows), p, q))
 
 
 def _links(rows: list[tuple[int, np.ndarray]], p: int, q: int, against: set[int] | None = None) -> list[tuple[int, int]]:

@@ -118,3 +118,29 @@ def test_distinct_with_columns_of_any_name(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8)], "doc_id long, text string, _gone long, gone long")
     assert [tuple(r)[2:] for r in nj.distinct(docs).collect()] == [(5, 6)]
+
+
+def test_every_two_members_of_a_long_run_meet_in_a_bounded_cell(spark, monkeypatch):
+    monkeypatch.setattr(nj, "THINNED", 50)
+    rows = [(s, d, 1, [0]) for s, size in ((1, 50), (2, 51), (3, 400)) for d in range(size)]
+    met = {}
+    for r in nj._cells(spark.createDataFrame(rows, "sig long, doc long, n long, s array<long>")).collect():
+        met.setdefault((r.sig, r.x, r.y), []).append(r.doc)
+    assert max(map(len, met.values())) < 2 * 50
+    for s, size in ((1, 50), (2, 51), (3, 400)):
+        pairs = {(a, b) for (sig, _, _), docs in met.items() if sig == s for a in docs for b in docs if a < b}
+        assert len(pairs) == size * (size - 1) // 2
+
+
+def test_long_runs_of_unlike_sets_make_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(nj, "THINNED", 20)
+    r = random.Random(5)
+    texts = [" ".join(str(r.random()) for _ in range(60)) for _ in range(100)]
+    texts += [" ".join([*texts[0].split()[:-1], str(i)]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    seen = nj.summaries(docs, 3)
+    known = seen.selectExpr("k1 as set", "doc_id as rep", "n_shingles as n", "s")
+    ids = [x.set for x in known.collect()]
+    run = spark.createDataFrame([(9, min(ids), x) for x in ids], "sig long, a long, b long")
+    near = nj._candidates(run, known, 4, 5).where("a <> b").collect()
+    assert {x for e in near for x in (e.a, e.b)} == {0, *range(100, 140)}
