@@ -31,4 +31,27 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word,
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_ngram_join": OP2, "op7_substring_dedup": OP7, "op9_line_dedup": OP9}
+#: The unsigned crc32 of a decimal id, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP13 = rf"""
+WITH c AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, {_CRC32} AS h FROM documents),
+m AS (SELECT doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+  lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM m),
+e AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS pos FROM d),
+p AS (SELECT a.doc_id, b.pos - a.pos AS q, a.pos AS i FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.word = b.word AND b.pos > a.pos AND 4 * (b.pos - a.pos) <= a.n),
+g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM p),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM g GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM s GROUP BY doc_id, s, l),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) AS nth FROM r),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS pos FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM e ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE nth = 1) USING (doc_id)
+"""
+
+ORACLES = {"op2_ngram_join": OP2, "op7_substring_dedup": OP7, "op9_line_dedup": OP9, "op13_periodic_runs": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, oracles, packing, sharding, substring_dedup, token_files, toxicity
+from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, oracles, packing, periodic_runs, sharding, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False).drop("ids")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods in every document, and its text without their repeats."""
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_periods(_table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +104,7 @@ QUERIES = {
         op8_sharding,
         op9_line_dedup,
         op10_token_files,
+        op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
