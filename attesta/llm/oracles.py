@@ -31,6 +31,26 @@ k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word,
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
+#: Vectors of whole numbers; a vector that is null or holds null or non-finite components takes no part.
+_WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: floor({} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+OP11 = f"""
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_WHOLE.format(256)}) WHERE label IS NOT NULL),
+s AS (SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS r FROM s WHERE same QUALIFY r <= 5),
+n AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other)::INT AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+OP12 = f"""
+WITH e AS ({_WHOLE.format(1024)}),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+"""
+
 #: The unsigned crc32 of a decimal id, bit by bit.
 _CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
   lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
@@ -54,4 +74,4 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS pe
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE nth = 1) USING (doc_id)
 """
 
-ORACLES = {"op2_ngram_join": OP2, "op7_substring_dedup": OP7, "op9_line_dedup": OP9, "op13_periodic_runs": OP13}
+ORACLES = {"op2_ngram_join": OP2, "op7_substring_dedup": OP7, "op9_line_dedup": OP9, "op11_hard_negatives": OP11, "op12_exact_top_k": OP12, "op13_periodic_runs": OP13}

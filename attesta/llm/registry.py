@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, ann, decontaminate, license_scan, line_dedup, ngram_join, oracles, packing, periodic_runs, sharding, substring_dedup, token_files, toxicity
+from . import _store, ann, decontaminate, distance_keys, license_scan, line_dedup, metric_tree, ngram_join, oracles, packing, periodic_runs, sharding, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, with_ids=False).drop("ids")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its positives, with every seventh label off by one."""
+    noisy = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return distance_keys.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", noisy))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of every hundredth vector among all others."""
+    return metric_tree.nearest(_table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024).drop("distances")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of at least four periods in every document, and its text without their repeats."""
     found = periodic_runs.periodic_runs(periodic_runs.with_planted_periods(_table(spark, sf_dir, "documents")))
@@ -104,6 +115,8 @@ QUERIES = {
         op8_sharding,
         op9_line_dedup,
         op10_token_files,
+        op11_hard_negatives,
+        op12_exact_top_k,
         op13_periodic_runs,
     )
 }
