@@ -1,16 +1,19 @@
 """Streaming forms of the evidence store, beyond what the batch engine asks for.
 
 A stream of captured pages is made unique by content within a watermark, or
-appended to a table exactly once by an anti-join in each micro-batch.
+appended exactly once to a ledger, whose manifest names each micro-batch.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import derived_id
+from ..sources.ledger import Ledger
 
 
 def captured(spark: SparkSession, path: str, schema, files: int = 16) -> DataFrame:
@@ -32,15 +35,17 @@ def counted(stream: DataFrame, time: str, delay: str, width: str, *by: str) -> D
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))
 
 
-def appended(stream: DataFrame, table: str, checkpoint: str, key: str = "evidence_id") -> StreamingQuery:
-    """Append what the Parquet table does not hold yet; a replayed micro-batch adds nothing."""
+def appended(stream: DataFrame, ledger: Ledger, checkpoint: str, by: str | None = None) -> StreamingQuery:
+    """Append to a ledger what it does not hold yet.
+
+    A micro-batch reads only the buckets that its keys fall into. One that is run
+    again after a failure has the id of the first try, and adds nothing if that was
+    committed. ``by`` names the stream, where several share a ledger.
+    """
+    name = by or uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    key = ledger.manifest().key
 
-    def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            fresh = fresh.join(spark.read.parquet(table).select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(table)
+    def add(batch: DataFrame, number: int) -> None:
+        Ledger(batch.sparkSession, ledger.folder).append(batch.dropDuplicates([key]), f"{name}-{number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

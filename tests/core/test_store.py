@@ -1,9 +1,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta import schemas
-from attesta.sources.store import Conflict, Store
+from attesta.sources.store import Conflict, Damaged, Store
 
 NOW = datetime(2026, 1, 1)
 
@@ -35,10 +36,29 @@ def test_scans_backups_and_references(spark, tmp_path):
     assert [r.evidence_id for r in store.scan("s").collect()] == ["z", "a", "b"] and store.scan("t").count() == 0
     store.backup(str(tmp_path / "copy"))
     assert Store(spark, str(tmp_path / "copy")).table("evidence").count() == 3
+    assert Store.restored(spark, str(tmp_path / "copy"), str(tmp_path / "again")).load("evidence", "a").count() == 1
+    with pytest.raises(FileNotFoundError):
+        Store.restored(spark, str(tmp_path / "nothing"), str(tmp_path / "other"))
+    assert sorted(r.evidence_id for r in store.loaded("evidence", spark.createDataFrame([("a",), ("q",), ("z",)], "k string")).collect()) == ["a", "z"]
     missing = {r.check: r.violations for r in store.missing_references().collect()}
     assert missing["evidence.source"] == 3 and missing["lead.company"] == 0
 
 
+def test_plain_tables_are_carried_forward(spark, tmp_path):
+    old = str(tmp_path / "old")
+    rows(spark, "evidence", evidence("e1"), evidence("e2", "y")).write.parquet(f"{old}/evidence")
+    new = Store.upgraded(spark, old, str(tmp_path / "new"))
+    assert len(new.load("evidence", "e2").first().content_digest) == 64 and new.problems() == []
+    second = schemas.with_defaults(rows(spark, "evidence", evidence("e1"), evidence("e2", "y")), "evidence")
+    own = [f.name for f in schemas.schema("evidence")]
+    sealed = second.withColumn("record_digest", F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256))
+    sealed.write.parquet(str(tmp_path / "second/evidence"))
+    assert Store.upgraded(spark, str(tmp_path / "second"), str(tmp_path / "three")).table("evidence").count() == 2
+    sealed.withColumn("raw_payload", F.lit("forged")).write.parquet(str(tmp_path / "forged/evidence"))
+    with pytest.raises(Damaged):
+        Store.upgraded(spark, str(tmp_path / "forged"), str(tmp_path / "four"))
+
+
 @pytest.mark.parametrize(
     "record,row,broken",
     [

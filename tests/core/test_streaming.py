@@ -1,3 +1,4 @@
+from attesta.sources.ledger import Ledger
 from attesta.streaming import evidence as se
 
 
@@ -5,11 +6,14 @@ def test_a_replayed_stream_adds_nothing(spark, tmp_path):
     schema = "url string, html string"
     source = str(tmp_path / "in")
     spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b")], schema).write.parquet(source)
-    table = str(tmp_path / "table")
+    ledger = Ledger.made(spark, str(tmp_path / "table"), "evidence_id", schema + ", evidence_id string", buckets=4)
     for turn in ("one", "two"):  # the second starts anew and sees all files again
         stream = se.addressed(se.captured(spark, source, schema))
-        se.appended(stream, table, str(tmp_path / turn)).awaitTermination()
-        assert spark.read.parquet(table).count() == 2
+        se.appended(stream, ledger, str(tmp_path / turn)).awaitTermination()
+        assert ledger.rows().count() == 2 and ledger.versions() == [0, 1]
+    spark.createDataFrame([("u", "c"), ("u", "b")], schema).write.mode("append").parquet(source)
+    se.appended(se.addressed(se.captured(spark, source, schema)), ledger, str(tmp_path / "two")).awaitTermination()
+    assert sorted(r.html for r in ledger.rows().collect()) == ["a", "b", "c"] and ledger.problems() == []
 
 
 def test_counts_by_window(spark, tmp_path):
