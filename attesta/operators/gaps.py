@@ -1,9 +1,7 @@
-"""Gaps of a company's record, the actions that could fill them, and bounded runs."""
+"""Gaps of a company's record, and the actions that could fill them. Runs are in ``gap_runs``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,71 +125,3 @@ def status(plan: DataFrame, state: DataFrame, now: Column, handled: list[str]) -
         .otherwise("DUE")
     )
     return s.withColumn("status", outcome).withColumn("next_eligible_at", F.when(F.col("status") == "SCHEDULED", eligible))
-
-
-Handler = Callable[[dict], None]
-
-
-def executed(plan: list[dict], state: dict[str, dict], handlers: Mapping[str, Handler], now) -> list[dict]:
-    """Run one planned batch in order, with bounded attempts; ``state`` is changed.
-
-    A batch is what one company needs, so it is a list; which actions are due for
-    all companies is :func:`status`.
-    """
-    from datetime import timedelta
-
-    out = []
-    for a in plan:
-        known = state.get(a.get("cache_key") or "", {})
-        wait = timedelta(seconds=a["min_interval_seconds"])
-        handler = handlers.get(a["action_kind"] or "")
-        record = {"action_id": a["action_id"], "status": "BLOCKED", "attempts": 0, "next_eligible_at": None}
-        if a["disposition"] == "READY":
-            last = known.get("last_attempt_at")
-            if known.get("succeeded"):
-                record["status"] = "CACHE_HIT"
-            elif last is not None and wait and now < last + wait:
-                record |= {"status": "SCHEDULED", "next_eligible_at": last + wait}
-            elif handler is not None:
-                own = state.setdefault(a["cache_key"], {})
-                own["last_attempt_at"] = now
-                record["status"] = "FAILED"
-                while record["attempts"] < a["max_attempts"] and record["status"] == "FAILED":
-                    record["attempts"] += 1
-                    try:
-                        handler(a)
-                    except Exception as e:  # noqa: BLE001  a handler may fail in any way
-                        record["error"] = str(e)
-                    else:
-                        record["status"] = "SUCCEEDED"
-                        own["succeeded"] = True
-                if record["status"] == "FAILED" and wait:
-                    record["next_eligible_at"] = now + wait
-        out.append(record)
-    return out
-
-
-def run_until_stable(plan: Callable[[], tuple[list[dict], list[dict]]], handlers: Mapping[str, Handler], clock: Callable[[], object], state: dict | None = None, cycles: int = 3, after: Callable[[], None] | None = None) -> dict:
-    """Repeat plan and batch until no gap is left, nothing moves, or the cycles are used.
-
-    ``plan`` gives (gaps, ordered actions). The stop reason is NO_GAPS,
-    GAPS_RESOLVED, NO_PROGRESS_OR_SCHEDULED or MAX_CYCLES_REACHED.
-    """
-    if cycles < 1:
-        raise ValueError("at least one cycle")
-    state = {} if state is None else state
-    records: list[list[dict]] = []
-    for _ in range(cycles):
-        gaps, todo = plan()
-        if not gaps:
-            return {"records": records, "gaps": gaps, "stop": "NO_GAPS"}
-        records.append(executed(todo, state, handlers, clock()))
-        done = any(r["status"] == "SUCCEEDED" for r in records[-1])
-        if done and after is not None:
-            after()
-        left, _ = plan()
-        if not left:
-            return {"records": records, "gaps": left, "stop": "GAPS_RESOLVED"}
-        if not done:
-            return {"records": records, "gaps": left, "stop": "NO_PROGRESS_OR_SCHEDULED"}
-    return {"records": records, "gaps": plan()[0], "stop": "MAX_CYCLES_REACHED"}

@@ -41,4 +41,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import decision_queries, evidence_queries, form_queries, matching_queries, measure_queries, rule_queries  # noqa: E402, F401  they register themselves
+from . import decision_queries, evidence_queries, form_queries, ledger_queries, matching_queries, measure_queries, rule_queries  # noqa: E402, F401  they register themselves

@@ -23,7 +23,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark import SparkContext
+from pyspark import SparkContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,6 +215,8 @@ class Ledger:
 
     def _within(self, m: Manifest, rows: DataFrame) -> DataFrame:
         """What is held in the buckets of some rows; there are no more buckets than the manifest says."""
+        if not m.batches:
+            return self._read(m, ())
         touched = sorted(r.b for r in rows.select(self.bucket(F.col(m.key), m.buckets).alias("b")).distinct().collect() if r.b is not None)
         held = self._read(m, m.batches)
         return held.where(F.col("bucket").isin(touched)) if len(touched) < m.buckets else held
@@ -241,29 +243,42 @@ class Ledger:
         that a version knows adds nothing.
         """
         batch = batch or uuid.uuid4().hex
-        for _ in range(TRIES):
-            m = self.manifest()
-            if batch in m.known:
-                return 0
-            new = sealed(rows.select(*T.StructType.fromJson(json.loads(m.schema)).names))
-            held = self._within(m, new).select(m.key, DIGEST)
-            fresh, _, conflicts = ev.append(held, new, m.key, DIGEST)
-            clash = conflicts.select(m.key).first()
-            if clash is not None:
-                raise Conflict(f"{clash[0]} is there with other content")
-            path = uuid.uuid4().hex
-            self._write(fresh, m, path)
-            one = Batch(batch, path, 0, 0)
-            if not self.files.names(f"{self.folder}/data/batch={path}")[1:]:  # _SUCCESS alone
-                self.files.delete(f"{self.folder}/data/batch={path}")
-                return 0
-            n, check, _ = self._summed(m, (one,))[path]
-            if self._put(self._next(m, batches=(*m.batches, Batch(batch, path, n, check)))):
-                return n
-            # another writer was first: what it added must be seen
-            self.files.delete(f"{self.folder}/data/batch={path}")
+        m = self.manifest()
+        if batch in m.known:
+            return 0
+        # kept on the executors' disks, so what makes the rows runs once
+        new = sealed(rows.select(*T.StructType.fromJson(json.loads(m.schema)).names)).persist(StorageLevel.DISK_ONLY)
+        try:
+            for _ in range(TRIES):
+                n = self._tried(m, new, batch)
+                if n is not None:
+                    return n
+                # another writer was first: what it added must be seen
+                m = self.manifest()
+                if batch in m.known:
+                    return 0
+        finally:
+            new.unpersist()
         raise RuntimeError(f"{self.folder}: no commit in {TRIES} tries")
 
+    def _tried(self, m: Manifest, new: DataFrame, batch: str) -> int | None:
+        """One try to append; None if another writer was first."""
+        held = self._within(m, new).select(m.key, DIGEST)
+        fresh, _, conflicts = ev.append(held, new, m.key, DIGEST)
+        clash = conflicts.select(m.key).first()
+        if clash is not None:
+            raise Conflict(f"{clash[0]} is there with other content")
+        path = uuid.uuid4().hex
+        self._write(fresh, m, path)
+        if not self.files.names(f"{self.folder}/data/batch={path}")[1:]:  # _SUCCESS alone
+            self.files.delete(f"{self.folder}/data/batch={path}")
+            return 0
+        n, check, _ = self._summed(m, (Batch(batch, path, 0, 0),))[path]
+        if self._put(self._next(m, batches=(*m.batches, Batch(batch, path, n, check)))):
+            return n
+        self.files.delete(f"{self.folder}/data/batch={path}")
+        return None
+
     def compact(self) -> int:
         """Merge all batches into one and say how many there were; their ids stay known."""
         m = self.manifest()
