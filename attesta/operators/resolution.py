@@ -52,11 +52,29 @@ def keys() -> Column:
     return F.array_distinct(F.array_compact(some))
 
 
-def blocked_pairs(records: DataFrame, id_col: str = "record_id", keys_col: str = "keys") -> DataFrame:
-    """(left_id, right_id) of records that share a key, each pair once."""
-    each = records.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key"))
-    a, b = each.select("key", F.col("id").alias("left_id")), each.select("key", F.col("id").alias("right_id"))
-    return a.join(b, "key").where("left_id < right_id").select("left_id", "right_id").distinct()
+#: Records of one key that meet in one cell; a key with more has a square of cells.
+CELL = 512
+
+
+def blocked_pairs(records: DataFrame, id_col: str = "record_id", keys_col: str = "keys", cell: int = CELL) -> DataFrame:
+    """(left_id, right_id) of records that share a key, each pair once, however large a key is.
+
+    Keys are counted first. The n records of a large key are dealt to c cells by
+    a hash of their id, and every two cells meet under a key of their own, so no
+    task has more than some cell * cell pairs, and a record is sent c times. A pair
+    comes from the smallest key that it shares, so pairs need no distinct. Rows that
+    repeat an id are one record with the keys of all.
+    """
+    each = records.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).where("id is not null and key is not null")
+    each = each.groupBy("id").agg(F.collect_set("key").alias("keys")).select("id", "keys", F.explode("keys").alias("key"))
+    large = each.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > cell).select("key", F.ceil(F.col("_n") / cell).cast("int").alias("cells"))
+    placed = each.join(large, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    # the pair of cells (i, j) with i <= j
+    a = placed.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cells") - 1)).alias("j"), F.col("id").alias("a"), F.col("keys").alias("ka"))
+    b = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("keys").alias("kb"))
+    both = a.join(b, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
+    both = both.where(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
 
 
 def with_sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -136,6 +154,28 @@ def triage() -> Column:
     return _decided(rule, out("DISTINCT", "registry_conflict"), out("AUTO_MATCH", "registry_exact"))
 
 
+def triaged(pairs: DataFrame) -> DataFrame:
+    """Pairs (with l and r) with their features, ``disposition``, ``reasons`` and ``verified``.
+
+    The sequence ratio is computed for those pairs alone whose disposition it can
+    still change: no registry decides, some other field is equal, and what the
+    lengths and letters of both names allow reaches the threshold. The name
+    similarity of the others is null.
+    """
+    known = features(pairs, similarity=False).withColumnRenamed("name_similarity", "name_overlap")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    two = sum((yes(c).cast("int") for c in ("domain_exact", "phone_exact", "location_exact")), F.lit(0)) >= 2
+    least = F.least(F.when(yes("domain_exact"), NAME_WITH_DOMAIN), F.when(yes("phone_exact"), NAME_WITH_PHONE), F.when(two, NAME_WITH_TWO))
+    open_ = ~yes("registry_conflict") & ~yes("registry_exact")
+    l, r = F.col("l.name"), F.col("r.name")
+    # letters are counted only where lengths leave it open
+    reach = F.coalesce(tx.similarity_bound(l, r, F.col("name_overlap"), least) >= least, F.lit(False))
+    known = known.withColumn("verified", open_ & F.coalesce(least, F.lit(9.0)).between(0, 1) & reach)
+    one = F.when(F.col("verified"), l), F.when(F.col("verified"), r)
+    found = known.withColumn("name_similarity", tx.name_similarity(*one)).withColumn("_t", triage())
+    return found.select("*", "_t.disposition", "_t.reasons").drop("_t")
+
+
 # --- evaluation --------------------------------------------------------------
 
 

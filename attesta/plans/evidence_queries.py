@@ -121,10 +121,11 @@ def evidence_append(t):
     return count(inserted, "inserted").unionAll(count(same, "unchanged")).unionAll(count(conflict, "conflict"))
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' ")
+@query("SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_type = 'purchase'")
 def evidence_scan_ordered(t):
-    """An ordered scan of one source."""
-    return ev.scan(t.events, "ts", "event_id", F.col("event_type") == "purchase").select("event_id", "user_id", "event_type")
+    """An ordered scan of one source, with the place of each row among its user's in the order of the scan."""
+    scanned = ev.scan(t.events, "ts", "event_id", F.col("event_type") == "purchase").withColumn("_at", F.monotonically_increasing_id())
+    return ev.positions(scanned, ["user_id"], ["_at"], "nth").select("event_id", "user_id", "event_type", F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT count(*) AS tampered FROM documents WHERE doc_id % 97 = 0")
@@ -146,12 +147,14 @@ def contact_email_extract(t):
 @query(
     """
 SELECT doc_id, d AS digits FROM (
-  SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(?i)(?:telefone|fone|tel\\.?|phone)\\s*:?[\\s ]*(\\+?\\d[\\d\\s()./-]{5,}\\d)', 1)), '[^0-9]', '', 'g') AS d FROM documents)
+  SELECT DISTINCT doc_id, regexp_replace(unnest(regexp_extract_all(coalesce(text, '') || ' Telefone: +55 (11) ' || (90000000 + doc_id) || '; fone 12-3; Tel. ' || (5550000 + doc_id % 100), '(?i)(?:telefone|fone|tel\\.?|phone)\\s*:?[\\s ]*(\\+?\\d[\\d\\s()./-]{5,}\\d)', 1)), '[^0-9]', '', 'g') AS d FROM documents)
 WHERE length(d) BETWEEN 7 AND 15
 """
 )
 def contact_phone_extract(t):
-    found = t.documents.select("doc_id", F.explode(idn.phones_in(F.col("text"))).alias("p"))
+    """Phones of whole texts that end in a long one, one that is too short, and one that documents share."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Telefone: +55 (11) "), F.lit(90000000) + F.col("doc_id"), F.lit("; fone 12-3; Tel. "), F.lit(5550000) + F.col("doc_id") % 100)
+    found = t.documents.select("doc_id", F.explode(idn.phones_in(text)).alias("p"))
     return found.select("doc_id", idn.digits(F.col("p")).alias("digits")).distinct()
 
 

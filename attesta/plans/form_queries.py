@@ -387,16 +387,21 @@ def location_facts(t):
     return ex.locations(pages).select("page_id", "field_name", "raw_value", F.col("error").isNotNull().alias("refused"))
 
 
+#: Texts of a page as parsers see them: between tags, without scripts and styles, entities as signs, white space collapsed.
+_TEXTS = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '<x>', 'g'), '<[^>]*>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '')"""
+
+
 @query(
-    """
+    f"""
 SELECT page_id, b.i AS block, b.h AS heading, b.n AS texts, sha256(b.t) AS sha256 FROM (
-  SELECT page_id, unnest([{'i': 0, 'h': NULL, 'n': 1, 't': 'before & ' || page_id}, {'i': 1, 'h': 'One two', 'n': 2, 't': 'a b' || chr(10) || 'c'}, {'i': 2, 'h': 'Empty', 'n': 0, 't': ''}, {'i': 3, 'h': NULL, 'n': 1, 't': 'after'}]) AS b FROM pages)
+  SELECT page_id, unnest([{{'i': 0, 'h': NULL, 'n': len(x) + 1, 't': array_to_string(list_append(x, 'before & ' || page_id), chr(10))}}, {{'i': 1, 'h': 'One two', 'n': 2, 't': 'a b' || chr(10) || 'c'}},
+    {{'i': 2, 'h': 'Empty', 'n': 0, 't': ''}}, {{'i': 3, 'h': NULL, 'n': 1, 't': 'after'}}]) AS b FROM (SELECT page_id, {_TEXTS} AS x FROM pages))
 """
 )
 def visible_text_blocks(t):
-    """Visible texts under each heading; hidden elements and nested tags do not count."""
-    made = F.concat(
-        F.lit("<style>p{}</style><p>before &amp; "), "page_id", F.lit("</p><h2>One <i>two</i></h2><p>a\n  b</p><noscript>x</noscript><template><h2>no</h2></template><b>c</b><h3>Empty</h3><h4> </h4><p>after</p><script>z</script>")
+    """Visible texts of whole pages under each heading; hidden elements and nested tags do not count."""
+    found = ex.visible_blocks(
+        _with(t, "<style>p{}</style><p>before &amp; ", F.col("page_id"), "</p><h2>One <i>two</i></h2><p>a\n  b</p><noscript>x</noscript><template><h2>no</h2></template><b>c</b><h3>Empty</h3><h4> </h4><p>after</p><script>z</script>")
     )
-    found = ex.visible_blocks(t.pages.select("page_id", made.alias("html")))
-    return found.select("page_id", "block", "heading", F.size("texts").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"))
+    return found.select("page_id", "block", "heading", F.size("texts").cast("long").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"))

@@ -99,11 +99,47 @@ def er_features(t):
     return found.select("left_id", "right_id", "domain_exact", "phone_exact", "location_exact", "cnae_exact", F.round("name_similarity", 9).alias("name_overlap"))
 
 
-@query()
+#: The sequence ratio of names: the longest common part, the first of equal ones, then what is left and right of it.
+_LONGEST = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+  1000000 * len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k))) - 1000 * i - j))))"""
+_RATIO = f"""
+n AS (SELECT DISTINCT a.name AS a, b.name AS b FROM p JOIN r a ON a.id = left_id JOIN r b ON b.id = right_id),
+q AS (SELECT a, b, 0::BIGINT AS alo, len(a) AS ahi, 0::BIGINT AS blo, len(b) AS bhi, 0::BIGINT AS size, 0 AS step FROM n
+  UNION ALL SELECT a, b, s.alo, s.ahi, s.blo, s.bhi, CASE WHEN s.first THEN k ELSE 0 END, step + 1 FROM (
+    SELECT a, b, step, k, unnest([{{'first': true, 'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}}, {{'first': false, 'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi}}]) AS s FROM (
+      SELECT *, (best + 999999) // 1000000 AS k, (((best + 999999) // 1000000) * 1000000 - best) // 1000 AS i, (((best + 999999) // 1000000) * 1000000 - best) % 1000 AS j FROM (
+        SELECT *, {_LONGEST} AS best FROM q WHERE ahi > alo AND bhi > blo)) WHERE k > 0)),
+o AS (SELECT a, b, 2.0::DOUBLE * sum(size) / (len(a) + len(b)) AS ratio FROM q GROUP BY a, b)"""
+
+
+@query(
+    f"""
+WITH RECURSIVE {RECORDS}, {_KEYS}, {_PAIRS}, {_RATIO},
+f AS (SELECT left_id, right_id, a.domain = b.domain AS d, coalesce(a.phone = b.phone, false) AS ph, a.city = b.city AS ci,
+  greatest(ratio, len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' '))) / len(list_distinct(list_concat(string_split(a.name, ' '), string_split(b.name, ' '))))) AS name
+  FROM p JOIN r a ON a.id = left_id JOIN r b ON b.id = right_id JOIN o ON o.a = a.name AND o.b = b.name),
+e AS (SELECT *, (d AND name >= 0.72) OR (ph AND name >= 0.78) OR (d::INT + ph::INT + ci::INT >= 2 AND name >= 0.62) AS good FROM f)
+SELECT left_id, right_id, CASE WHEN good THEN 'REVIEW' ELSE 'INSUFFICIENT_EVIDENCE' END AS disposition,
+  CASE WHEN good THEN concat_ws(';', CASE WHEN d THEN 'domain_exact' END, CASE WHEN ph THEN 'phone_exact' END, CASE WHEN ci THEN 'location_exact' END, CASE WHEN name > 0 THEN 'name=' || printf('%.3f', round(name, 3)) END)
+    ELSE 'no_v1_auto_match_or_review_rule' END AS reasons FROM e
+"""
+)
 def er_triage(t):
-    """Operational triage with the full name similarity."""
-    found = rs.features(_pairs(t)).withColumn("t", rs.triage())
-    return found.select("left_id", "right_id", "t.disposition", F.array_join("t.reasons", ";").alias("reasons"))
+    """Operational triage with the full name similarity, computed where it can matter."""
+    return rs.triaged(_pairs(t)).select("left_id", "right_id", "disposition", F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(
+    f"""
+WITH {RECORDS}, h AS (SELECT id, CASE WHEN CAST(substr(id, 2) AS INT) % 10 = 0 THEN 'all.example.com' ELSE domain END AS domain, name, phone FROM r),
+k AS (SELECT id, unnest(['domain:' || domain, 'phone:' || phone, 'name0:' || left(name, 6)]) AS key FROM h), {_PAIRS}
+SELECT left_id, count(*) AS partners, min(right_id) AS first_partner, max(right_id) AS last_partner FROM p GROUP BY left_id
+"""
+)
+def blocking_hot_key(t):
+    """Partners of each record where a tenth of all records shares one domain."""
+    records = _records(t).withColumn("domain", F.when(F.substring("record_id", 2, 20).cast("long") % 10 == 0, "all.example.com").otherwise(F.col("domain"))).withColumn("city", F.lit(None).cast("string"))
+    return rs.blocked_pairs(_keyed(records)).groupBy("left_id").agg(F.count("*").alias("partners"), F.min("right_id").alias("first_partner"), F.max("right_id").alias("last_partner"))
 
 
 _SCORE = "(0.4 * name_overlap + 0.25 * domain_exact::INT + coalesce(0.15 * phone_exact::INT, 0) + 0.05 * location_exact::INT + 0.05 * cnae_exact::INT) / (0.75 + CASE WHEN phone_exact IS NULL THEN 0 ELSE 0.15 END)"
@@ -121,9 +157,11 @@ SELECT threshold, count(*) FILTER (truth AND score >= threshold) AS tp, count(*)
 def er_weighted_sweep(t):
     """Confusion counts of the weighted score at several thresholds, with token overlap as similarity."""
     found = rs.features(_pairs(t), similarity=False).select((F.expr("substr(left_id, 2)") == F.expr("substr(right_id, 2)")).alias("truth"), F.round(rs.weighted(), 9).alias("score"))
-    swept = found.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in _SWEEP])))
-    counted = rs.confusion(swept, F.col("truth"), F.col("score") >= F.col("threshold"), ["threshold"])
-    return counted.select("threshold", "tp", "fp", "tn", "fn")
+    truth, over = F.col("truth"), lambda x: F.col("score") >= x
+    counts = lambda x: F.struct(
+        F.lit(x).alias("threshold"), F.count_if(truth & over(x)).alias("tp"), F.count_if(~truth & over(x)).alias("fp"), F.count_if(~truth & ~over(x)).alias("tn"), F.count_if(truth & ~over(x)).alias("fn")
+    )
+    return found.agg(F.array(*map(counts, _SWEEP)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 @query(
