@@ -19,8 +19,9 @@ document.
 Defined results: words are runs of other bytes than white space, unchanged; a
 null text has none; a text with fewer than ``window`` words loses none. A row
 with a null id neither loses words nor covers others' words. Rows that repeat
-an id must repeat its text: they count as one document and lose the same
-words. Other columns are ignored.
+an id are documents of their own: each loses the passages that start under a
+smaller id, and none because of another row of its own id. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from . import _packed, _store
 from ._bytes import Words, mix, sliced, task, windows, words
 
 _U = np.uint64
-_COLUMNS = ["anchor", "size", "offset", "doc", "at", "print"]
+_COLUMNS = ["anchor", "size", "offset", "doc", "own", "at", "print"]
+#: Ids with several texts that are sent to every task; beyond, they are joined by a shuffle.
+_SENT = 100_000
 
 
 def _starts(got: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +82,12 @@ def _mapped(batch: pa.RecordBatch, window: int, gram: int, many: int) -> Iterato
     """Rows for the buckets, and rows with what is decided here (bucket, null, ..., doc, at)."""
     batch = batch.take(pc.sort_indices(batch.column("i")))
     got = words(batch.column("t"), lower=False)
-    ids = batch.column("i").to_numpy()
+    ids, owns = batch.column("i").to_numpy(), batch.column("o").to_numpy()
     row, start = _starts(got, window)
     if not len(start):
         return
     w = windows(got.hash, window)[start]
-    doc, at = ids[row], start - got.first[row]
+    doc, own, at = ids[row], owns[row], start - got.first[row]
     order = np.argsort(w, kind="stable")  # rows are in order of ids
     s = w[order]
     opens = np.concatenate([[True], s[1:] != s[:-1]])
@@ -94,11 +97,11 @@ def _mapped(batch: pa.RecordBatch, window: int, gram: int, many: int) -> Iterato
     sent = np.zeros(len(w), bool)
     sent[order[opens]] = True
     if known.any():
-        yield from _decided(doc[known], at[known], many)
+        yield from _decided(doc[known], own[known], at[known], many)
     anchor, place = _anchors(got.hash, start[sent], window, gram)
-    doc, at, key = doc[sent], at[sent], w[sent]
+    doc, own, at, key = doc[sent], own[sent], at[sent], w[sent]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] - 1)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1] - 1)
     first = np.flatnonzero(fresh)
     size = np.diff(np.concatenate([first, [len(key)]]))
     bucket = (anchor[first] % _U(many)).astype(np.int32)
@@ -115,47 +118,50 @@ def _mapped(batch: pa.RecordBatch, window: int, gram: int, many: int) -> Iterato
         columns["size"].append(size[a:b].astype(np.uint8).tobytes())
         columns["offset"].append(place[f].tobytes())
         columns["doc"].append(_planes(_deltas(doc[f])))
+        columns["own"].append(_planes(own[f]))
         columns["at"].append(_planes(at[f].astype(np.int32)))
         columns["print"].append(prints[ends[a] : ends[b]].tobytes())
     yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *(pa.array(c, pa.binary()) for c in columns.values())], ["bucket", *_COLUMNS])
 
 
-def _grouped(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order].astype(np.int32)
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
-    return doc[edges[:-1]], [_planes(_deltas(at[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+def _grouped(doc: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    order = np.lexsort((at, own, doc))
+    doc, own, at = doc[order], own[order], at[order].astype(np.int32)
+    edges = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(own) != 0)) + 1, [len(doc)]])
+    return doc[edges[:-1]], own[edges[:-1]], [_planes(_deltas(at[a:b])) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _decided(doc: np.ndarray, at: np.ndarray, many: int) -> Iterator[pa.RecordBatch]:
-    docs, places = _grouped(doc, at)
+def _decided(doc: np.ndarray, own: np.ndarray, at: np.ndarray, many: int) -> Iterator[pa.RecordBatch]:
+    docs, owns, places = _grouped(doc, own, at)
     bucket = pa.array((mix(docs.view(_U)) % _U(many)).astype(np.int32))
     empty = pa.nulls(len(docs), pa.binary())
-    values = {"doc": pa.array([d.tobytes() for d in docs], pa.binary()), "at": pa.array(places, pa.binary())}
+    values = {"doc": pa.array([d.tobytes() for d in docs], pa.binary()), "own": pa.array([d.tobytes() for d in owns], pa.binary()), "at": pa.array(places, pa.binary())}
     yield pa.RecordBatch.from_arrays([bucket, *(values.get(c, empty) for c in _COLUMNS)], ["bucket", *_COLUMNS])
 
 
-def _covered(docs: np.ndarray, places: np.ndarray, many: int) -> Iterator[pa.RecordBatch]:
-    packed = _packed.pack((mix(docs.view(_U)) % _U(many)).astype(np.int32), {"doc": docs, "at": places.astype(np.int32)})
+def _covered(docs: np.ndarray, owns: np.ndarray, places: np.ndarray, many: int) -> Iterator[pa.RecordBatch]:
+    packed = _packed.pack((mix(docs.view(_U) ^ mix(owns.view(_U))) % _U(many)).astype(np.int32), {"doc": docs, "own": owns, "at": places.astype(np.int32)})
     if packed:
         yield packed
 
 
 def _reduced(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.RecordBatch]:
-    """Packed (doc, at): places of windows that start in a smaller id, too."""
-    anchors, sizes, offsets, docs, ats, prints = [], [], [], [], [], []
+    """Packed (doc, own, at): places of windows that start in a smaller id, too."""
+    anchors, sizes, offsets, docs, owns, ats, prints = [], [], [], [], [], [], []
     for batch in batches:
         passed = batch.column("anchor").is_null().to_numpy(False)
         mine = batch.filter(pa.array(passed))
         if mine.num_rows:
-            own = [np.cumsum(_unplaned(x.as_buffer(), np.int32), dtype=np.int32) for x in mine.column("at")]
-            ids = np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in mine.column("doc")])
-            yield from _covered(np.repeat(ids, [len(x) for x in own]), np.concatenate(own), many)
+            places = [np.cumsum(_unplaned(x.as_buffer(), np.int32), dtype=np.int32) for x in mine.column("at")]
+            ids, own = (np.array([np.frombuffer(x.as_buffer(), np.int64)[0] for x in mine.column(c)]) for c in ("doc", "own"))
+            sizes_ = [len(x) for x in places]
+            yield from _covered(np.repeat(ids, sizes_), np.repeat(own, sizes_), np.concatenate(places), many)
         for r in batch.filter(pa.array(~passed)).to_pylist():
             anchors.append(np.frombuffer(r["anchor"], _U))
             sizes.append(np.frombuffer(r["size"], np.uint8))
             offsets.append(np.frombuffer(r["offset"], np.uint8))
             docs.append(np.cumsum(_unplaned(r["doc"], np.int64)))
+            owns.append(_unplaned(r["own"], np.int64))
             ats.append(_unplaned(r["at"], np.int32))
             prints.append(np.frombuffer(r["print"], _U))
     if not anchors:
@@ -174,22 +180,22 @@ def _reduced(batches: Iterator[pa.RecordBatch], many: int) -> Iterator[pa.Record
     if not len(twice):
         return
     g = group[twice]
-    doc, at = np.concatenate(docs)[g], np.concatenate(ats)[g] + step[twice]
+    doc, own, at = np.concatenate(docs)[g], np.concatenate(owns)[g], np.concatenate(ats)[g] + step[twice]
     place = np.concatenate(offsets)[g] - step[twice]
     order = np.lexsort((doc, place, deep[twice], anchor[g]))
-    a, d, place, doc, at = anchor[g][order], deep[twice][order], place[order], doc[order], at[order]
+    a, d, place, doc, own, at = anchor[g][order], deep[twice][order], place[order], doc[order], own[order], at[order]
     opens = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (place[1:] != place[:-1])])
     late = doc > doc[opens][np.cumsum(opens) - 1]
-    yield from _covered(doc[late], at[late], many)
+    yield from _covered(doc[late], own[late], at[late], many)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i, at) of every document that loses words."""
-    got = _packed.unpack(batches, {"doc": np.int64, "at": np.int32})
+    """(i, o, at) of every document that loses words."""
+    got = _packed.unpack(batches, {"doc": np.int64, "own": np.int64, "at": np.int32})
     if len(got["doc"]):
-        docs, places = _grouped(got["doc"], got["at"])
+        docs, owns, places = _grouped(got["doc"], got["own"], got["at"])
         for at in range(0, len(docs), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 10_000]), pa.array(places[at : at + 10_000], pa.binary())], ["i", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 10_000]), pa.array(owns[at : at + 10_000]), pa.array(places[at : at + 10_000], pa.binary())], ["i", "o", "at"])
 
 
 def _removed(got: Words, row: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -228,11 +234,23 @@ def _final(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     )
 
 
+def _told_apart(d: DataFrame) -> DataFrame:
+    """Rows (i, t) with a column o: 0, or for ids with several texts a digest of the text."""
+    own = F.xxhash64(F.coalesce("t", F.lit("")))
+    several = d.where("i is not null").groupBy("i").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("i", F.lit(True).alias("_several"))
+    several = _store.written(several, "substring-ids")
+    n = several.count()
+    if not n:
+        return d.withColumn("o", F.lit(0).cast("long"))
+    marked = d.join(F.broadcast(several) if n <= _SENT else several, "i", "left")
+    return marked.select("i", "t", F.when(F.col("_several"), own).otherwise(0).cast("long").alias("o"))
+
+
 def repeats_removed(docs: DataFrame, window: int = 13, gram: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans, kept): the words' count, the word ranges that go, and the rest joined by spaces."""
     if not 1 <= gram <= window <= 255:
         raise ValueError("1 <= gram <= window <= 255")
-    d = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    d = _told_apart(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")))
     many, few = _packed.buckets(docs.sparkSession), _store.partitions(docs.sparkSession)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +264,6 @@ def repeats_removed(docs: DataFrame, window: int = 13, gram: int = 6, id_col: st
                 yield _final(part, window)
 
     sent = d.where("i is not null").mapInArrow(task(mapped), _packed.schema(_COLUMNS))
-    covered = _packed.dealt(sent).mapInArrow(task(lambda batches: _reduced(batches, few)), _packed.schema(["doc", "at"]))
-    covered = _packed.dealt(covered).mapInArrow(task(_by_document), "i long, at binary")
-    return d.join(covered, "i", "left").mapInArrow(task(final), "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
+    covered = _packed.dealt(sent).mapInArrow(task(lambda batches: _reduced(batches, few)), _packed.schema(["doc", "own", "at"]))
+    covered = _packed.dealt(covered).mapInArrow(task(_by_document), "i long, o long, at binary")
+    return d.join(covered, ["i", "o"], "left").mapInArrow(task(final), "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")

@@ -8,11 +8,11 @@ from attesta.llm import substring_dedup as sd
 
 
 def plain(docs, window):
-    words = {i: (t or "").split() for i, t in docs if i is not None}
     first = {}
-    for i in sorted(words):
-        for k in range(len(words[i]) - window + 1):
-            first.setdefault(tuple(words[i][k : k + window]), i)
+    for i, t in sorted(((i, t or "") for i, t in docs if i is not None), key=lambda d: d[0]):
+        words = t.split()
+        for k in range(len(words) - window + 1):
+            first.setdefault(tuple(words[k : k + window]), i)
     out = []
     for i, t in docs:
         own = (t or "").split()
@@ -45,6 +45,17 @@ def test_words_go_as_in_plain_python(spark, window, gram, letters):
     assert got(spark, docs, window=window, gram=gram) == plain(docs, window)
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_an_id_with_several_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(sd, "_SENT", sent)
+    r = random.Random(8)
+    line = lambda n: " ".join(str(r.random()) for _ in range(n))
+    shared, late = line(40), line(30)
+    docs = [(1, shared), (2, f"{line(60)} {shared} {line(5)}"), (2, "short"), (2, f"{late} {line(3)}"), (2, f"{line(9)} {late}"), (2, None), (2, ""), (3, f"{late} end"), (3, f"{late} end")]
+    docs += [(7, f"{shared} {line(2)} {i}") for i in range(30)]
+    assert got(spark, docs) == plain(docs, 13)
+
+
 def test_an_empty_table(spark):
     assert got(spark, []) == []
 
@@ -64,6 +75,6 @@ def test_windows_whose_hashes_agree_in_five_bytes_differ(monkeypatch):
     other = lambda n: " ".join(str(r.random()) for _ in range(n))
     texts = [f"{other(12)} {phrase} {other(12)}" for _ in range(40)] + [""]
     texts[-1] = texts[0]
-    sent = [sd._mapped(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["i", "t"]), 13, 6, 1) for i, t in enumerate(texts)]
+    sent = [sd._mapped(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0]), pa.array([t])], ["i", "o", "t"]), 13, 6, 1) for i, t in enumerate(texts)]
     found = sd._packed.unpack(sd._reduced((x for rows in sent for x in rows), 1), {"doc": np.int64, "at": np.int32})
     assert set(found["doc"].tolist()) == {40} and len(found["at"]) == 18
