@@ -96,6 +96,8 @@ def _mapped(batch: pa.RecordBatch, window: int, gram: int, many: int) -> Iterato
     known[order] = doc[order] > least
     sent = np.zeros(len(w), bool)
     sent[order[opens]] = True
+    # rows of an id with several texts each have their own places
+    sent |= ~known & (own != 0)
     if known.any():
         yield from _decided(doc[known], own[known], at[known], many)
     anchor, place = _anchors(got.hash, start[sent], window, gram)
