@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as idn
 from ..functions import text as tx
 from ..functions.hashing import digest
+from .bounds import at_most, while_at_most
 
 #: What is searched for each group.
 TEMPLATES = {
@@ -38,6 +39,12 @@ def observed(items: DataFrame, queries: DataFrame, items_query: str = "query", r
     return hits.join(known, "_k", "left").drop("_k", results)
 
 
+def answered(items: DataFrame, queries: DataFrame, max_queries: int, max_items: int, results: str = "organic_results") -> DataFrame:
+    """As :func:`observed` for one batch of a provider, whose bounds fail the query and never cut it."""
+    bounded = while_at_most(at_most(items, max_items, "max_dataset_items"), queries, max_queries, "max_queries")
+    return observed(bounded, queries, results=results)
+
+
 def candidates(observations: DataFrame, recipe: str, title: str = "title", snippet: str = "snippet", url: str = "url") -> DataFrame:
     """Observations with a registration, a group or a facial term; others are left out."""
     text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")))

@@ -6,9 +6,10 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
+from ..functions import typed as ty
 from ..functions.hashing import digest
 from ..operators import gap_runs as gr
-from ..sources import scratch
+from ..sources import readers, scratch
 from ..sources.ledger import Ledger
 from .catalog import query
 
@@ -95,3 +96,53 @@ def gap_runs(t):
     spent = runs.records().groupBy("company_id").agg(F.sum("attempts").alias("attempts"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return stops.join(open_, "company_id", "left").join(spent, "company_id", "left").select("company_id", "stop", "cycles", zero("open_gaps"), zero("attempts"))
+
+
+@query(
+    """
+WITH k AS (SELECT c_custkey AS k, c_name, c_nationkey AS n FROM customer),
+r AS (SELECT k, 'v' || k AS verification_id, CASE k % 7 WHEN 1 THEN 'person_id is required' WHEN 2 THEN 'verified_at must be timezone-aware' WHEN 3 THEN 'evidence_refs must be a non-empty list of non-blank strings'
+  WHEN 4 THEN 'decision must be one of: CONFLICT, NOT_FOUND, VERIFIED_ACTIVE, VERIFIED_INACTIVE' WHEN 5 THEN 'payload must be an object' END AS reason, c_name, n FROM k)
+SELECT k AS c_custkey, reason, CASE WHEN reason IS NULL THEN verification_id END AS verification_id, CASE WHEN reason IS NULL THEN c_name END AS person_id,
+  CASE WHEN reason IS NULL THEN TIMESTAMP '2026-01-01 03:00:00' + to_days(n::INT) END AS verified_at, CASE WHEN reason IS NULL THEN 1 + n % 2 END::BIGINT AS refs FROM r
+"""
+)
+def payload_reads(t):
+    """Verification payloads made of customers, read into typed records or refused with a reason."""
+    k = F.col("c_custkey")
+    fault = k % 7
+    body = F.struct(
+        F.concat(F.lit(" v"), k).alias("verification_id"),
+        F.when(fault == 1, "  ").otherwise(F.col("c_name")).alias("person_id"),
+        F.lit("CRO").alias("council"),
+        F.lit("1").alias("registration_number"),
+        F.lit("r").alias("reviewer_reference"),
+        F.concat(F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), F.col("c_nationkey").cast("int")), "yyyy-MM-dd"), F.when(fault == 2, "T00:00:00").otherwise("T00:00:00-03:00")).alias("verified_at"),
+        F.when(fault == 3, F.array(F.lit(""))).when(F.col("c_nationkey") % 2 == 1, F.array(F.lit("e1"), F.lit(" e2 "))).otherwise(F.array(F.lit("e1"))).alias("evidence_refs"),
+        F.when(fault == 4, "MAYBE").otherwise("VERIFIED_ACTIVE").alias("decision"),
+    )
+    payloads = t.customer.select("c_custkey", F.when(fault == 5, "[1]").otherwise(F.to_json(body)).alias("body"))
+    read = readers.parsed(payloads, readers.VERIFICATION)
+    fine = F.size("reasons") == 0
+    own = lambda c: F.when(fine, F.col(f"record.{c}"))
+    refs = F.when(fine, F.size("record.evidence_refs").cast("long"))
+    return read.select("c_custkey", F.nullif(F.array_join("reasons", ";"), F.lit("")).alias("reason"), own("verification_id").alias("verification_id"), own("person_id").alias("person_id"), own("verified_at").cast("timestamp_ntz").alias("verified_at"), refs.alias("refs"))
+
+
+@query(
+    """
+SELECT o_orderkey, '["dict",[[["str","at"],["datetime","' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '"]],[["str","key"],["int",' || o_orderkey || ']],[["str","parts"],["tuple",[["bytes","' || lower(hex(o_orderpriority)) || '"],["NoneType",null]]]],'
+  || '[["str","price"],["float",' || o_totalprice || ']],[["str","tags"],["dict",[[["str","' || o_orderstatus || '"],["list",[["bool",' || (o_orderkey % 2 = 0) || '],["bool",true]]]]]]]]]' AS typed_key FROM orders
+"""
+)
+def typed_row_keys(t):
+    """Typed keys of nested values of all kinds, made of each order."""
+    value = F.struct(
+        F.col("o_orderkey").alias("key"),
+        F.col("o_totalprice").alias("price"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("at"),
+        F.create_map(F.col("o_orderstatus"), F.array(F.col("o_orderkey") % 2 == 0, F.lit(True))).alias("tags"),
+        F.struct(F.col("o_orderpriority").cast("binary").alias("_1"), F.lit(None).cast("string").alias("_2")).alias("parts"),
+    )
+    rows = t.orders.select("o_orderkey", value.alias("v"))
+    return rows.select("o_orderkey", ty.key(F.col("v"), rows.schema["v"].dataType).alias("typed_key"))
