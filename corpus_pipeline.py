@@ -12,8 +12,6 @@ read again. The stages call the operators of ``attesta.llm``:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm import _store, decontaminate, line_dedup, ngram_join, packing, toxicity
@@ -59,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other; the last one's rows."""
-    now = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{_store.shared_folder(spark)}/attesta/pipeline-{uuid.uuid4().hex}"
+    """All stages, one after the other; the last one's rows.
+
+    A stage's table goes once the next one is written; the last one's goes with
+    the session.
+    """
+    now, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, now, sf_dir).write.parquet(f"{folder}/{name}")
-        now = spark.read.parquet(f"{folder}/{name}")
+        path = _store.temporary(spark, f"pipeline-{name}")
+        stage(spark, now, sf_dir).write.parquet(path)
+        if before:
+            _store.delete(spark, before)
+        now, before = spark.read.parquet(path), path
     return now
