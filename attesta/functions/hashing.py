@@ -47,7 +47,7 @@ def json_text(text: Column) -> Column:
 
 
 def tagged(item: object) -> object:
-    """A nested value with the name of each part's type."""
+    """A nested value with the name of each part's type; a fixed format, as ids are made from it."""
     if item is None or isinstance(item, (str, bool, int, float)):
         return [type(item).__name__, item]
     if isinstance(item, list):

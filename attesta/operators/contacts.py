@@ -99,5 +99,5 @@ def of_relationship(contacts: DataFrame, links: DataFrame, relationships: DataFr
 
 
 def unlinked(contacts: DataFrame, links: DataFrame) -> DataFrame:
-    """Links whose contact is not there, which no assembly accepts."""
+    """Links whose contact is not there; an assembly leaves them out."""
     return links.join(contacts.select("contact_id"), "contact_id", "left_anti")
