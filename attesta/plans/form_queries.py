@@ -405,3 +405,22 @@ def visible_text_blocks(t):
         _with(t, "<style>p{}</style><p>before &amp; ", F.col("page_id"), "</p><h2>One <i>two</i></h2><p>a\n  b</p><noscript>x</noscript><template><h2>no</h2></template><b>c</b><h3>Empty</h3><h4> </h4><p>after</p><script>z</script>")
     )
     return found.select("page_id", "block", "heading", F.size("texts").cast("long").alias("texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("sha256"))
+
+
+@query(
+    rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM documents),
+a AS (SELECT doc_id, w, rtrim(ltrim(w, '(<,;'), ').,;>') AS e FROM w WHERE contains(w, '@'))
+SELECT doc_id, count(*) AS words, count(*) FILTER (regexp_full_match(w, '[A-Za-z0-9._%+-]{{1,64}}@({_LABEL}\.)+{_LABEL}')) AS whole,
+  count(*) FILTER (regexp_full_match(e, '[A-Za-z0-9._%+-]{{1,64}}@({_LABEL}\.)+{_LABEL}')) AS bare, count(DISTINCT lower(e)) FILTER (regexp_full_match(lower(e), '[^@]+@[^@.][^@]*\.[^@]*[^@.]')) AS email_keys FROM a GROUP BY doc_id
+"""
+)
+def emails_of_texts(t):
+    """Of the words of whole texts that hold an @, how many are addresses by the rules for pages and for people, and their keys."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    each = t.documents.select("doc_id", F.explode(F.filter(words, lambda w: w.contains("@"))).alias("w"))
+    each = each.withColumn("e", F.rtrim(F.ltrim("w", F.lit("(<,;")), F.lit(").,;>")))
+    valid = lambda c, rule: F.count_if(idn.email_valid(F.col(c), rule))
+    return each.groupBy("doc_id").agg(
+        F.count("*").alias("words"), valid("w", idn.PAGE_EMAIL).alias("whole"), valid("e", idn.PEOPLE_EMAIL).alias("bare"), F.count_distinct(idn.email_key(F.col("e"))).alias("email_keys")
+    )

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import typed as ty
 from ..functions.hashing import digest
+from ..operators import evidence as ev
 from ..operators import gap_runs as gr
+from ..operators import gaps as gp
 from ..sources import readers, scratch
 from ..sources.ledger import Ledger
 from .catalog import query
@@ -146,3 +148,25 @@ def typed_row_keys(t):
     )
     rows = t.orders.select("o_orderkey", value.alias("v"))
     return rows.select("o_orderkey", ty.key(F.col("v"), rows.schema["v"].dataType).alias("typed_key"))
+
+
+@query(
+    """
+WITH p AS (SELECT 'g' || l_orderkey % 100 AS gap_id, CASE WHEN l_linenumber % 3 = 0 THEN 'BLOCKED' ELSE 'READY' END AS disposition, CASE WHEN l_linenumber % 3 > 0 THEN l_linestatus END AS kind,
+  CASE WHEN l_linenumber % 3 = 1 THEN l_returnflag END AS locator, l_orderkey || '/' || l_linenumber || '/' || l_partkey AS action_id, l_suppkey FROM lineitem)
+SELECT action_id, l_suppkey AS company_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY gap_id, disposition, coalesce(kind, ''), coalesce(locator, ''), action_id) AS nth FROM p
+"""
+)
+def action_order(t):
+    """The place of each planned action among its company's, in the order of the whole plan."""
+    line = F.col("l_linenumber")
+    plan = t.lineitem.select(
+        F.col("l_suppkey").alias("company_id"),
+        F.concat(F.lit("g"), F.col("l_orderkey") % 100).alias("gap_id"),
+        F.when(line % 3 == 0, "BLOCKED").otherwise("READY").alias("disposition"),
+        F.when(line % 3 > 0, F.col("l_linestatus")).alias("action_kind"),
+        F.when(line % 3 == 1, F.col("l_returnflag")).alias("locator"),
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("action_id"),
+    )
+    placed = gp.ordered(plan).withColumn("_at", F.monotonically_increasing_id())
+    return ev.positions(placed, ["company_id"], ["_at"], "nth").select("action_id", "company_id", F.col("nth").cast("long").alias("nth"))
