@@ -11,6 +11,7 @@ from ..functions.hashing import digest
 from ..operators import evidence as ev
 from ..operators import gap_runs as gr
 from ..operators import gaps as gp
+from ..sources import acquired as aq
 from ..sources import readers, scratch
 from ..sources.ledger import Ledger
 from .catalog import query
@@ -170,3 +171,20 @@ def action_order(t):
     )
     placed = gp.ordered(plan).withColumn("_at", F.monotonically_increasing_id())
     return ev.positions(placed, ["company_id"], ["_at"], "nth").select("action_id", "company_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query(
+    """
+SELECT 'evidence:p' || page_id AS evidence_id, regexp_extract(url, '^https?://([^/]+)', 1) AS source_id, url AS locator, 200 + page_id % 300 AS http_status, sha256(html) AS payload_digest,
+  'refresh ' || page_id AS purpose, '[["a","' || page_id || '"],["content-type","text/html"]]' AS headers FROM pages WHERE page_id % 5 > 0
+"""
+)
+def request_evidence(t):
+    """Evidence of the responses to requests for pages; every fifth request has none."""
+    key = F.concat(F.lit("p"), "page_id")
+    source = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    requests = t.pages.select(key.alias("request_id"), source.alias("source_id"), "url", F.concat(F.lit("refresh "), "page_id").alias("purpose"))
+    headers = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("a"), F.col("page_id").cast("string"))
+    responses = t.pages.where("page_id % 5 > 0").select(key.alias("request_id"), "url", (200 + F.col("page_id") % 300).alias("status_code"), F.col("html").alias("raw_payload"), F.lit("2026-01-01").cast("timestamp").alias("captured_at"), headers.alias("headers"))
+    found = aq.materialized(requests, responses)
+    return found.select("evidence_id", "source_id", "locator", "http_status", digest(F.col("raw_payload")).alias("payload_digest"), F.col("metadata")["purpose"].alias("purpose"), F.col("metadata")["headers"].alias("headers"))

@@ -1,10 +1,12 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import bounds as bd
 from attesta.operators import discovery as dc
+from attesta.sources import acquired as aq
 from attesta.sources import readers as rd
 
 GOOD = {"authorization_id": " a1 ", "campaign_id": "c", "policy_id": "p", "policy_version": "1", "authorizer_reference": "r", "authorized_at": "2026-01-01T00:00:00Z"}
@@ -96,3 +98,22 @@ def test_plans_results_and_batches_keep_their_rules(spark):
     fails(hits(("q", "t", "u", 1, "f")), "same batch: f")
     fails(hits(("q", "t", "u", 0, "e")), "position")
     fails(hits(("q", " ", "u", 1, "e")), "title")
+
+
+def test_evidence_carries_the_id_of_its_request(spark):
+    asked = lambda *r: spark.createDataFrame(list(r), aq.REQUEST)
+    answered = lambda *r: spark.createDataFrame(list(r), aq.RESPONSE)
+    now = datetime(2026, 1, 1)
+    one, two = ("r1", "s", "u1", "look"), ("r2", "s", "u2", "look")
+    reply = ("r1", "u1/", 404, "x", now, {"B": "2", "A": "1"})
+    got = aq.materialized(asked(one, two), answered(reply)).collect()
+    assert [(r.evidence_id, r.source_id, r.locator, r.http_status, r.raw_payload) for r in got] == [("evidence:r1", "s", "u1/", 404, "x")]
+    assert got[0].metadata == {"purpose": "look", "request_id": "r1", "status_code": "404", "headers": '[["A","1"],["B","2"]]'}
+    assert [r.request_id for r in aq.unanswered(asked(one, two), answered(reply)).collect()] == ["r2"]
+    fails(aq.materialized(asked(two), answered(reply)), "share the same request_id: r1")
+    fails(aq.materialized(asked(one, one), answered(reply)), "a request id is used twice: r1")
+    fails(aq.materialized(asked(one), answered(reply, reply)), "a request is answered twice: r1")
+    fails(aq.materialized(asked(one), answered(("r1", "u", 99, "x", now, None))), "HTTP status: r1")
+    fails(aq.materialized(asked(one), answered(("r1", " ", 200, "x", now, None))), "url must not be blank")
+    fails(aq.of_source(asked(one, ("r3", "t", "u", None)), "s"), "configured source: r3")
+    assert aq.materialized(asked(one), answered(("r1", "u", 200, None, now, None))).first().metadata["headers"] == "[]"
