@@ -5,19 +5,25 @@ lockstep: numpy does one step of all blocks at once. A step codes one id as one
 of four symbols of a range coder, and some of them have an even part.
 
 * Orders 2 and 1 predict an id each, from tables of what followed the last two
-  ids and the last id. Symbol 0: the prediction of order 2 holds, or that of
-  order 1 where order 2 has none. Its probability mixes three predictors in the
-  logistic domain - the confidence of order 2, that of order 1 and whether the
-  two agree, and the symbol before - each of which adds its own adaptive weight
-  of evidence, learned from the error of the mixture.
-* Symbol 1: order 1 predicts another id, which holds. Symbol 2: order 0, a table
-  of the ids seen, holds the id; its place there is the even part. Symbol 3: a
-  new id, which is the even part. Their probabilities adapt to confidence and to
-  how often order 0 had the id.
-
-A block's words are the counts of both kinds of even parts, the range coder's
-words, and the even parts, packed to as many bits as they need. All arithmetic,
-tables included, is on integers, so every machine decodes what another encoded.
+  ids and the last id; order 0 counts the ids of the block, whatever was before
+  them. Symbol 0: the prediction of order 2 holds, or that of order 1 where
+  order 2 has none. Its probability mixes the three orders in the logistic
+  domain - the confidence of order 2, that of order 1 and whether the two agree,
+  and how often order 0 has counted the predicted id - each of which adds its
+  own adaptive weight of evidence, learned from the error of the mixture.
+* Symbol 1: order 1 predicts another id, which holds. Symbol 2: order 0 knows
+  the id, and its counts code it: a second step of the range coder, in which an
+  id has the share of its place's count. Symbol 3: a new id, which is written as
+  it is, beside the coder. The probabilities of these three adapt to confidence
+  and to how often order 0 had the id.
+
+Order 0 has places by a hash of the id; the latest id of a place has it. Its
+counts are kept as running sums, of 32 groups and of the 16 places in each, so
+that a place's bounds are read and not summed.
+
+A block's words are the count of its new ids, the range coder's words, and the
+new ids, packed to as many bits as they need. All arithmetic, tables included,
+is on integers, so every machine decodes what another encoded.
 """
 
 from __future__ import annotations
@@ -26,9 +32,9 @@ import numpy as np
 
 #: Ids of a block.
 BLOCK = 4096
-#: Contexts of a table, as a power of two, and bits of a place in order 0's table.
-_CONTEXT_BITS, _SEEN_BITS = 10, 9
-_CONTEXTS, _SEEN = 1 << _CONTEXT_BITS, 1 << _SEEN_BITS
+#: Contexts of a table, as a power of two; bits of a place in order 0's table, and those of a place in its group.
+_CONTEXT_BITS, _SEEN_BITS, _IN_GROUP = 10, 9, 4
+_GROUPS, _PLACES = 1 << (_SEEN_BITS - _IN_GROUP), 1 << _IN_GROUP
 #: An entry of a table of predictions: the id, and above it how sure it is, up to 7.
 _ID_BITS = 20
 _ID, _SURE = (1 << _ID_BITS) - 1, 1 << _ID_BITS
@@ -61,10 +67,14 @@ _RATES = np.array([[3], [4], [5]], np.int32)
 _AIM0 = np.array([65536, 0, 0, 0], np.int32)
 _AIM1, _ASKED1 = np.array([0, _OTHER[1], _OTHER[0], _OTHER[0]], np.int32), np.array([0, -1, -1, -1], np.int32)
 _AIM2, _ASKED2 = np.array([0, 0, _OTHER[1], _OTHER[0]], np.int32), np.array([0, 0, -1, -1], np.int32)
-#: What each predictor begins with, in 65536ths of a unit of evidence: by confidence; by confidence and agreement; by the symbol before.
+#: What each order begins with, in 65536ths of a unit of evidence: by confidence; by confidence and agreement; by order 0's count and the symbol before.
 _BY2 = np.array([-96, -32, 16, 48, 64, 80, 96, 112], np.int32) << 10
 _BY1 = np.array([[-64, -48], [-32, 0], [-24, 24], [-16, 40], [-8, 48], [0, 56], [8, 64], [16, 80]], np.int32).ravel() << 10
-_BY0 = np.array([32, 0, -16, -32], np.int32) << 10
+_BY0 = np.add.outer([-16, -8, 0, 8], [32, 0, -16, -32]).astype(np.int32).ravel() << 10
+#: By order 0's count of an id: none, one, a few, many; already as rows of the table above.
+_OFTEN = (4 * np.searchsorted([1, 2, 6], np.arange(BLOCK + 1), "right")).astype(np.int32)
+#: What one more of a group, or of a place in its group, adds to the running sums.
+_MORE_GROUPS, _MORE_PLACES = (np.triu(np.ones((n, n + 1), np.int16), 1) for n in (_GROUPS, _PLACES))
 
 
 class _Encoder:
@@ -98,6 +108,23 @@ class _Encoder:
             range_[small] <<= 16
         return symbol
 
+    def place(self, lanes: np.ndarray, zero: "_Counts", places: np.ndarray) -> np.ndarray:
+        """Code places of some lanes by order 0's counts."""
+        below, own, total = zero.bounds(lanes, places)
+        low, range_ = self.low[lanes], self.range[lanes]
+        range_ //= total
+        low += range_ * below
+        range_ *= own
+        small = np.flatnonzero(range_ < 1 << 32)
+        if len(small):
+            x, which = low[small], lanes[small]
+            self.words[which, self.at[which]] = x >> 32
+            self.at[which] += 1
+            low[small] = (x & 0xFFFFFFFF) << 16
+            range_[small] <<= 16
+        self.low[lanes], self.range[lanes] = low, range_
+        return places
+
     def finish(self) -> list[np.ndarray]:
         self.room(3)
         lane = np.arange(len(self.at))
@@ -143,6 +170,61 @@ class _Decoder:
             range_[small] <<= 16
         return symbol
 
+    def place(self, lanes: np.ndarray, zero: "_Counts", _) -> np.ndarray:
+        now, range_ = self.now[lanes], self.range[lanes]
+        range_ //= zero.total(lanes)
+        places = zero.holding(lanes, now // range_)
+        below, own, _ = zero.bounds(lanes, places)
+        now -= range_ * below
+        range_ *= own
+        small = np.flatnonzero(range_ < 1 << 32)
+        if len(small):
+            which = lanes[small]
+            now[small] = (now[small] << 16) | self.words[which, self.at[which]]
+            self.at[which] += 1
+            range_[small] <<= 16
+        self.now[lanes], self.range[lanes] = now, range_
+        return places
+
+
+class _Counts:
+    """Order 0 of each lane: how often each place was used, and running sums of that."""
+
+    def __init__(self, lanes: int):
+        self.own = np.zeros(lanes << _SEEN_BITS, np.int32)
+        self.groups = np.zeros((lanes, _GROUPS + 1), np.int16)
+        self.places = np.zeros((lanes * _GROUPS, _PLACES + 1), np.int16)
+
+    def total(self, lanes: np.ndarray) -> np.ndarray:
+        return self.groups[:, _GROUPS].take(lanes, mode="clip").astype(np.int64)
+
+    def bounds(self, lanes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of the places before, own count, sum of all)."""
+        group = places >> _IN_GROUP
+        below = self.groups.ravel().take(lanes * (_GROUPS + 1) + group, mode="clip").astype(np.int64)
+        below += self.places.ravel().take((lanes * _GROUPS + group) * (_PLACES + 1) + (places & (_PLACES - 1)), mode="clip")
+        return below, self.own.take((lanes << _SEEN_BITS) + places, mode="clip").astype(np.int64), self.total(lanes)
+
+    def holding(self, lanes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The place within whose bounds x is."""
+        rows = self.groups.take(lanes, 0, mode="clip")
+        x = x.astype(np.int16)  # below the sum of all, which is at most BLOCK
+        group = (rows[:, 1:] <= x[:, None]).sum(1, dtype=np.int32)
+        x -= rows.ravel().take(np.arange(len(lanes)) * (_GROUPS + 1) + group, mode="clip")
+        within = self.places.take(lanes * _GROUPS + group, 0, mode="clip")
+        return (group << _IN_GROUP) + (within[:, 1:] <= x[:, None]).sum(1, dtype=np.int32)
+
+    def add(self, lanes: np.ndarray, places: np.ndarray) -> None:
+        group = places >> _IN_GROUP
+        self.own[(lanes << _SEEN_BITS) + places] += 1
+        rows = self.groups.take(lanes, 0, mode="clip")
+        rows += _MORE_GROUPS.take(group, 0, mode="clip")
+        self.groups[lanes] = rows
+        at = lanes * _GROUPS + group
+        rows = self.places.take(at, 0, mode="clip")
+        rows += _MORE_PLACES.take(places & (_PLACES - 1), 0, mode="clip")
+        self.places[at] = rows
+
 
 class _Even:
     """Even parts of each lane, one after the other."""
@@ -157,15 +239,15 @@ class _Even:
         return self.all.take(at, mode="clip")
 
 
-def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] | None) -> np.ndarray:
-    """Code ids (steps by lanes), or decode them into the array if the even parts are known; the symbols of each step.
+def _run(coder, sizes: np.ndarray, ids: np.ndarray, fresh: _Even | None) -> np.ndarray:
+    """Code ids (steps by lanes), or decode them into the array if the new ids are known; the symbols of each step.
 
     No size is below the next one.
     """
     lanes, steps = len(sizes), int(sizes[0])
-    # of order 2, then of order 1; and the weights of evidence of the three predictors
+    # of order 2, then of order 1; the ids of order 0's places; and the weights of evidence of the three orders
     said = np.zeros(2 * lanes << _CONTEXT_BITS, np.int32)
-    seen = np.full(lanes << _SEEN_BITS, -1, np.int32)
+    seen, zero = np.full(lanes << _SEEN_BITS, -1, np.int32), _Counts(lanes)
     by = np.concatenate([np.tile(_BY2, lanes), np.tile(_BY1, lanes), np.tile(_BY0, lanes)])
     other, old = np.full(lanes * 8, 16384, np.int32), np.full(lanes, 32768, np.int32)
     last, prior = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
@@ -179,14 +261,14 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
             lane = np.arange(k, dtype=np.int32)
             base = np.stack([lane, lanes + lane]) << _CONTEXT_BITS
             base0, by8 = lane << _SEEN_BITS, lane * 8
-            by16, by4 = 8 * lanes + lane * 16, 24 * lanes + lane * 4
+            by16, by0 = 8 * lanes + lane * 16, 24 * lanes + lane * 16
             at, hashed = np.zeros((3, k), np.int32), np.zeros((2, k), np.uint32)
             last, prior, before, old = last[:k].copy(), prior[:k].copy(), before[:k].copy(), old[:k].copy()
             edges = np.zeros((5, k), np.int64)
             edges[4] = 65536
         if room == 0:
             room = 64
-            coder.room(room)
+            coder.room(2 * room)
         room -= 1
         np.multiply(last, _K1, out=hashed[1])
         np.add(hashed[1], prior * _K2, out=hashed[0])
@@ -198,7 +280,11 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         agree = guess == id1
         np.add(by8, sure[0], out=at[0])
         np.add(by16, conf1 * 2 + agree, out=at[1])
-        np.add(by4, before, out=at[2])
+        place = ((guess.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
+        often = _OFTEN.take(zero.own.take(place, mode="clip"), mode="clip")
+        often *= seen.take(place, mode="clip") == guess
+        often += by0
+        np.add(often, before, out=at[2])
         weights = by.take(at, mode="clip")
         p = _SQUASH.take((weights.sum(0, dtype=np.int32) >> 8) + 2047, mode="clip")
         o1 = by8 + conf1
@@ -211,20 +297,24 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         np.add(p, part, out=edges[2])
         rest -= part
         np.add(edges[2], (rest * (old >> 1)) >> 15, out=edges[3])
-        if known is None:
+        if fresh is None:
             now = ids[t, :k]
             at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
-            symbol = np.where(guess == now, 0, np.where((id1 == now) & may, 1, np.where(seen.take(at0, mode="clip") == now, 2, 3))).astype(np.int32)
+            held0 = seen.take(at0, mode="clip") == now
+            symbol = np.where(guess == now, 0, np.where((id1 == now) & may, 1, np.where(held0, 2, 3))).astype(np.int32)
             coder.code(k, symbol, edges)
+            which = np.flatnonzero(symbol == 2)
+            coder.place(which, zero, at0.take(which, mode="clip") - base0.take(which, mode="clip"))
         else:
             symbol = coder.code(k, None, edges)
             now = np.where(symbol == 0, guess, id1)
             which = np.flatnonzero(symbol == 2)
-            now[which] = seen[base0[which] + known[0].next(which)]
+            now[which] = seen.take(base0.take(which, mode="clip") + coder.place(which, zero, None), mode="clip")
             which = np.flatnonzero(symbol == 3)
-            now[which] = known[1].next(which)
+            now[which] = fresh.next(which)
             ids[t, :k] = now
             at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
+            held0 = seen.take(at0, mode="clip") == now
         symbols[t, :k] = symbol
         error = _AIM0.take(symbol)
         error -= p
@@ -247,6 +337,9 @@ def _run(coder, sizes: np.ndarray, ids: np.ndarray, known: tuple[_Even, _Even] |
         held = np.minimum(entry + _SURE, named | 7 * _SURE)
         missed = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
         said[h] = np.where(named == now, held, missed)
+        # order 0 counts what it coded, and what comes to a place; so no place in use has a count of 0
+        which = np.flatnonzero((symbol >= 2) | ~held0)
+        zero.add(which, at0.take(which, mode="clip") - base0.take(which, mode="clip"))
         seen[at0] = now
         prior, last, before = last, now.view(np.uint32), symbol
     return symbols
@@ -301,10 +394,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, list[np.ndarra
     out = []
     for own, kind, size, words in zip(whole, symbols, sizes.tolist(), coder.finish()):
         own, kind = own[:size], kind[:size]
-        places = (own[kind == 2].view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)
         fresh = own[kind == 3]
-        head = np.array([len(places), len(fresh)], "<u2")
-        out.append(np.concatenate([head, words, _packed(places, _SEEN_BITS), _packed(fresh, bits)]))
+        out.append(np.concatenate([np.array([len(fresh)], "<u2"), words, _packed(fresh, bits)]))
     return sizes, out
 
 
@@ -312,15 +403,14 @@ def decode(sizes: np.ndarray, payloads: list[np.ndarray], vocabulary: int) -> np
     bits = _bits(vocabulary)
     if not len(sizes):
         return np.zeros(0, np.int64)
-    words, places, fresh = [], [], []
+    words, fresh = [], []
     for own in payloads:
-        n, m = int(own[0]), int(own[1])
-        to, from_ = len(own) - _words_of(m, bits), len(own) - _words_of(m, bits) - _words_of(n, _SEEN_BITS)
-        words.append(own[2:from_])
-        places.append(_unpacked(own[from_:to], n, _SEEN_BITS))
-        fresh.append(_unpacked(own[to:], m, bits))
+        n = int(own[0])
+        to = len(own) - _words_of(n, bits)
+        words.append(own[1:to])
+        fresh.append(_unpacked(own[to:], n, bits))
     sizes = np.asarray(sizes, np.int64)
     out = np.zeros((int(sizes[0]), len(sizes)), np.int32)
-    _run(_Decoder(words), sizes, out, (_Even(places), _Even(fresh)))
+    _run(_Decoder(words), sizes, out, _Even(fresh))
     flat = out.T.reshape(-1)
     return flat[: int(sizes.sum())].astype(np.int64)

@@ -50,6 +50,38 @@ def test_repeating_text_is_smaller():
     assert sum(map(len, payloads)) * 16 < 2 * len(ids)
 
 
+def test_order_0_alone_comes_near_the_entropy():
+    """Ids that nothing before them tells of, so only their counts can help."""
+    r = np.random.default_rng(5)
+    shares = 1 / np.arange(1, 201)
+    shares /= shares.sum()
+    ids = r.choice(r.permutation(50_000)[:200], 8 * _coder.BLOCK, p=shares).astype(np.int64)
+    sizes, payloads = _coder.encode(ids, 50257)
+    assert np.array_equal(_coder.decode(sizes, payloads, 50257), ids)
+    entropy = -(shares * np.log2(shares)).sum()
+    assert sum(map(len, payloads)) * 16 < (entropy + 2.2) * len(ids)  # 200 new ids of 16 bits in each block are 0.8 of it
+
+
+def test_ids_of_one_place_take_turns():
+    """Ids that share a place of order 0 push each other out, and are coded as new ones then."""
+    place = lambda x: (x * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - _coder._SEEN_BITS)
+    own = [x for x in range(50_000) if place(x) == place(0)][:5]
+    ids = np.random.default_rng(6).choice(own, 6000)
+    sizes, payloads = _coder.encode(ids, 50257)
+    assert len(own) == 5 and np.array_equal(_coder.decode(sizes, payloads, 50257), ids)
+
+
+def test_fewer_bits_than_zlib_on_the_same_blocks():
+    words = [f"{a}{b}" for a in ("run", "stone", "light", "water", "green") for b in ("s", "ed", "ing", " of", "ness", "er")]
+    r = np.random.default_rng(7)
+    text = " ".join(r.choice(words, 20_000, p=(lambda p: p / p.sum())(1 / np.arange(1, len(words) + 1))))
+    ids = np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids)
+    _, payloads = _coder.encode(ids, 50257)
+    raw = ids.astype("<u2").tobytes()
+    deflated = sum(len(zlib.compress(raw[i : i + 2 * _coder.BLOCK], 9)) for i in range(0, len(raw), 2 * _coder.BLOCK))
+    assert 2 * sum(map(len, payloads)) < deflated
+
+
 def test_segments_show_damage():
     docs = [3, None, 5]
     ids = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [], [4] * 5000)]
