@@ -13,6 +13,31 @@ GATES = (
     ("LEGAL-001", "LEGAL_REVIEW", "REVIEW_REQUIRED", "CONTROLLER_LEGAL_BASIS_AND_BALANCING_DECISION_REQUIRED", ["campaign purpose", "contact class", "channel", "minimization rationale", "suppression/opt-out controls", "retention policy"], ["AUTH-LGPD-001", "AUTH-ANPD-001"]),
     ("AUTH-CAMPAIGN-001", "CAMPAIGN_OWNER", "BLOCKED", "MANUAL_AUTHORIZATION_NOT_GRANTED", ["approved policy version", "approved bounded audience", "authorization timestamp", "authorizer identity"], []),
 )
+#: Authorities that gates refer to: issuer, title, address and jurisdiction.
+AUTHORITIES = (
+    ("AUTH-LGPD-001", "Presidencia da Republica / Planalto", "Lei 13.709/2018 - LGPD, texto compilado", "https://www.planalto.gov.br/ccivil_03/_ato2015-2018/2018/lei/l13709compilado.htm", "BR"),
+    ("AUTH-ANPD-001", "Autoridade Nacional de Protecao de Dados", "Guia Orientativo - Hipoteses Legais de Tratamento de Dados Pessoais - Legitimo Interesse", "https://www.gov.br/anpd/pt-br/centrais-de-conteudo/materiais-educativos-e-publicacoes/guia_orientativo_hipoteses_legais_tratamento_de_dados_pessoais_legitimo_interesse", "BR"),
+    ("AUTH-CFO-001", "Conselho Federal de Odontologia", "Consulta de Profissionais", "https://website.cfo.org.br/busca-profissionais/", "BR"),
+    ("AUTH-SERPRO-001", "Servico Federal de Processamento de Dados - SERPRO", "Consulta CNPJ - Servico Serpro API", "https://www.serpro.gov.br/menu/suporte/css", "BR"),
+)
+#: What a legal review is asked, and under which authorities.
+LEGAL_PACKET = {
+    "packet_id": "legal-review:commercial-pilot:v1",
+    "jurisdiction": "BR",
+    "campaign_purpose": "bounded B2B dental lead outreach",
+    "contact_class": "published corporate or business-personalized contact",
+    "channel": "email",
+    "decision": "REVIEW_REQUIRED",
+    "reason": "LEGAL_REVIEW_REQUIRED",
+    "questions": [
+        "Which LGPD legal basis is approved for this exact campaign purpose and contact class?",
+        "If legitimate interest is relied upon, is the documented purpose/necessity/balancing analysis sufficient for the controller?",
+        "What notice, opposition, suppression and opt-out controls are required before first contact?",
+        "What retention/deletion period is approved for contact data and raw evidence?",
+        "Are any contact classes, source classes or professional-registration uses prohibited or review-only?",
+    ],
+    "authorities": ["AUTH-LGPD-001", "AUTH-ANPD-001"],
+}
 #: Who clears a blocker, and how.
 ACTIONS = (
     ("LEGAL-001", "LEGAL_COMPLIANCE", "record a scoped legal/compliance decision for the exact campaign policy, jurisdiction, channel and campaign"),
@@ -62,6 +87,23 @@ def gates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(GATES), "gate_id string, authority string, decision string, reason string, required_evidence array<string>, authorities array<string>")
 
 
+def authorities(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(AUTHORITIES), "authority_id string, issuer string, title string, url string, jurisdiction string")
+
+
+def legal_packet(spark: SparkSession) -> DataFrame:
+    """One row: what a legal review decides on. It never allows anything by itself."""
+    kinds = ", ".join(f"{c} {'array<string>' if isinstance(v, list) else 'string'}" for c, v in LEGAL_PACKET.items())
+    return spark.createDataFrame([tuple(LEGAL_PACKET.values())], kinds)
+
+
+def referred(blockers: DataFrame) -> DataFrame:
+    """Blockers (blocker) with the authorities of their gate, a row for each; those of no gate, or without authorities, have null."""
+    known = gates(blockers.sparkSession).select(F.col("gate_id").alias("blocker"), F.explode("authorities").alias("authority_id"))
+    known = known.join(F.broadcast(authorities(blockers.sparkSession)), "authority_id")
+    return blockers.join(F.broadcast(known), "blocker", "left")
+
+
 def critical_gates(spark: SparkSession) -> DataFrame:
     return gates(spark).where("decision <> 'NOT_REQUIRED'").select("gate_id")
 

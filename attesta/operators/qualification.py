@@ -215,3 +215,81 @@ def with_registrations(relationships: DataFrame, registrations: DataFrame) -> Da
     own = registrations.select("person_id", F.explode("evidence_ids").alias("_e")).groupBy("person_id").agg(F.collect_set("_e").alias("_more"))
     both = F.array_union("relationship_evidence_ids", F.coalesce("_more", F.array().cast("array<string>")))
     return relationships.join(own, "person_id", "left").withColumn("relationship_evidence_ids", F.array_sort(both)).select(*relationships.columns)
+
+
+def of_relationships(
+    relationships: DataFrame,
+    policy: str,
+    candidates: DataFrame,
+    canonicals: DataFrame,
+    conflicts: DataFrame,
+    contacts: DataFrame,
+    links: DataFrame,
+    registrations: DataFrame,
+) -> DataFrame:
+    """A decision for each relationship of a person and a company, with the evidence behind it.
+
+    relationships: relationship_id, person_id, company_id, offer_track,
+    require_validated_contact, relationship_evidence_ids. Facts, candidate
+    (fact_id and evidence_ids too) and canonical (canonical_fact_id and
+    candidate_fact_ids too), are about the relationship, its person or its
+    company; those of another relationship of the same person say nothing here.
+    Conflicts (conflict_id and candidate_fact_ids too) are about the person or the
+    company. Contacts count where a link leads to them, whoever owns them.
+    Registrations: person_id, evidence_ids. Evidence is that of the relationship,
+    the registrations and all facts asked, be it through a canonical fact or a
+    conflict.
+
+    The relationship stands for its person while the cascade runs, so what was
+    said of the person comes to each of their relationships.
+    """
+    own = relationships.select("relationship_id", "person_id")
+
+    def scoped(rows: DataFrame) -> DataFrame:
+        """What is said of a person, at each of their relationships; other rows as they are."""
+        met = rows.join(own.withColumnRenamed("person_id", "subject_id"), "subject_id", "left")
+        return met.withColumn("subject_id", F.coalesce("relationship_id", "subject_id")).drop("relationship_id")
+
+    people = relationships.select(
+        F.col("relationship_id").alias("person_id"), "company_id", "offer_track", "require_validated_contact", F.col("person_id").alias("_person")
+    )
+    # a conflict about a relationship itself is not asked for
+    opened = scoped(conflicts.join(own.select(F.col("relationship_id").alias("subject_id")), "subject_id", "left_anti"))
+    linked = links.join(own, "relationship_id").join(contacts.drop("owner_id"), "contact_id").select(F.col("relationship_id").alias("owner_id"), "contact_id", "status")
+    facts, settled = scoped(candidates), scoped(canonicals)
+    out = decided(profiles(people, chosen(facts, settled), opened, linked))
+
+    subjects = relationships.select("relationship_id", F.explode(F.array_distinct(F.array("relationship_id", "company_id"))).alias("subject_id"))
+
+    def asked(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows of the fields that count, at each relationship whose subjects they are about."""
+        return subjects.join(rows.where(F.col("field_name").isin(*FIELDS)).select("subject_id", *columns), "subject_id")
+
+    def named(rows: DataFrame, key: str, into: str) -> DataFrame:
+        return rows.groupBy("relationship_id").agg(F.array_sort(F.collect_set(key)).alias(into))
+
+    known = subjects.join(facts.select("subject_id", "fact_id", "evidence_ids", F.col("field_name").isin(*FIELDS).alias("_counts")), "subject_id")
+    held, torn = asked(settled, "canonical_fact_id", "candidate_fact_ids"), asked(opened.where("status = 'OPEN'"), "conflict_id", "candidate_fact_ids")
+    behind = lambda rows, listed: rows.select("relationship_id", F.explode("candidate_fact_ids").alias("fact_id"), F.lit(listed).alias("_listed"))
+    # facts behind a conflict are listed, those behind a canonical fact give evidence only
+    tagged = behind(held, False).unionAll(behind(torn, True)).groupBy("relationship_id", "fact_id").agg(F.bool_or("_listed").alias("_listed"))
+    met = known.join(tagged, ["relationship_id", "fact_id"], "left").where(F.col("_counts") | F.col("_listed").isNotNull())
+    proof = met.groupBy("relationship_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_counts") | F.col("_listed"), F.col("fact_id")))).alias("candidate_fact_ids"),
+        F.array_distinct(F.flatten(F.collect_list("evidence_ids"))).alias("_evidence"),
+    )
+    used = [
+        proof,
+        named(held, "canonical_fact_id", "canonical_fact_ids"),
+        named(torn, "conflict_id", "conflict_ids"),
+        named(linked.withColumnRenamed("owner_id", "relationship_id"), "contact_id", "contact_ids"),
+        with_registrations(relationships, registrations).select("relationship_id", "relationship_evidence_ids"),
+    ]
+    names = ("candidate_fact_ids", "canonical_fact_ids", "conflict_ids", "contact_ids", "evidence_ids")
+    out = out.withColumnRenamed("person_id", "relationship_id").withColumnRenamed("_person", "person_id")
+    for more in used:
+        out = out.join(more, "relationship_id", "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("evidence_ids", F.array_sort(F.array_union(F.coalesce("relationship_evidence_ids", none), F.coalesce("_evidence", none))))
+    out = out.drop("relationship_evidence_ids", "_evidence").withColumns({c: F.coalesce(c, none) for c in names})
+    return out.withColumn("decision_id", decision_id(F.lit(policy), *map(F.col, names)))

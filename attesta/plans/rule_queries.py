@@ -181,6 +181,60 @@ def qualify_cascade(t):
     return out.select("person_id", "qualification_status", "fit", "intent", "priority")
 
 
+@query(
+    """
+WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS company, CAST(substr(o_orderpriority, 1, 1) AS INT) AS g, o_orderstatus = 'P' AS settled, o_custkey % 13 = 0 AS torn, o_custkey % 11 AS i,
+  o_orderkey % 6 = 0 AS rv, o_orderkey % 9 = 0 AS comp, o_orderkey % 2 = 0 AS linked, o_custkey % 3 = 0 AS valid, o_orderkey % 7 AS t FROM orders),
+q AS (SELECT *, g = 2 AS outside, g = 3 AS geo_unknown, (NOT settled AND t = 6) AS no_title, (NOT settled AND t = 5) AS other_title, (settled OR t IN (0, 1, 2)) AS special, (settled OR t = 0) AS ceof,
+  CASE WHEN i = 0 THEN 'HIGH' WHEN i = 1 THEN 'MEDIUM' WHEN i = 2 THEN 'LOW' ELSE 'UNKNOWN' END AS intent FROM r),
+s AS (SELECT *, CASE WHEN geo_unknown OR no_title OR torn THEN 'UNKNOWN' WHEN outside OR other_title OR (rv AND NOT (linked AND valid)) THEN 'NOT_QUALIFIED' ELSE 'QUALIFIED' END AS before FROM q),
+u AS (SELECT *, CASE WHEN comp AND before = 'QUALIFIED' AND NOT ceof THEN 'NOT_QUALIFIED' ELSE before END AS status FROM s),
+v AS (SELECT *, CASE status WHEN 'UNKNOWN' THEN 'UNKNOWN' WHEN 'NOT_QUALIFIED' THEN 'LOW' ELSE CASE WHEN special THEN 'HIGH' ELSE 'MEDIUM' END END AS fit FROM u),
+w AS (SELECT *, CASE WHEN fit = 'LOW' THEN 'EXCLUDE' WHEN fit = 'UNKNOWN' THEN 'REVIEW' WHEN fit = 'HIGH' AND intent = 'HIGH' THEN 'P1'
+    WHEN (fit = 'HIGH' AND intent IN ('MEDIUM', 'UNKNOWN')) OR (fit = 'MEDIUM' AND intent = 'HIGH') THEN 'P2' ELSE 'P3' END AS priority,
+  list_sort(list_filter([CASE WHEN g <> 3 THEN 'fg' || company END, CASE WHEN t <> 6 THEN 'ft' || k END, CASE WHEN i < 3 THEN 'fi' || c END], lambda x: x IS NOT NULL)) AS facts,
+  list_filter([CASE WHEN settled THEN 'k' || k END], lambda x: x IS NOT NULL) AS canonical, list_filter([CASE WHEN torn THEN 'x' || c END], lambda x: x IS NOT NULL) AS conflicts,
+  list_filter([CASE WHEN linked THEN 'c' || c END], lambda x: x IS NOT NULL) AS contacts, list_sort(list_filter(['e' || k, CASE WHEN c % 5 = 0 THEN 'g' || c END, CASE WHEN g <> 3 THEN 'wg' END, CASE WHEN t <> 6 THEN 'wt' || (k % 10) END, CASE WHEN i < 3 THEN 'wi' || c END,
+    CASE WHEN settled AND t <> 6 THEN 'wn' || k END], lambda x: x IS NOT NULL)) AS evidence FROM v)
+SELECT 'r' || k AS relationship_id, 'p' || c AS person_id, company AS company_id, status AS qualification_status, fit, intent, priority,
+  'qualification:v1:' || sha256(array_to_string(['p' || c, company, 'policy-1', CASE WHEN comp THEN 'COMPLEMENTARY_EXCLUSIVE_CEOF' ELSE 'CEOF_SPECIALIZATION' END, status, fit, intent, priority]
+    || facts || canonical || conflicts || contacts || evidence, chr(0))) AS decision_id FROM w
+"""
+)
+def qualify_relationships(t):
+    """Orders as relationships of their customers: each is judged by its own facts and contacts, its person's and its company's."""
+    o = t.orders
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    relation, person, company = F.concat(F.lit("r"), k), F.concat(F.lit("p"), c), F.col("o_orderpriority")
+    none = F.lit(None).cast("string").alias("normalized_value")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    fact = lambda rows, key, subject, field, value, proof: rows.select(key.alias("fact_id"), subject.alias("subject_id"), F.lit(field).alias("field_name"), value.alias("raw_value"), none, F.array(proof).alias("evidence_ids")).where("raw_value is not null")
+    customers = t.customer.withColumnRenamed("c_custkey", "o_custkey")
+    title = pick(k % 7, "Especialista CEOF", "Cirurgião Bucomaxilofacial", "Harmonização Orofacial", "Cirurgião-Dentista", "Ortodontista", "Advogado", None)
+    intent = F.when(c % 11 == 0, "course_interest").when(c % 11 == 1, "CONTINUING_EDUCATION").when(c % 11 == 2, "EXPLICIT_NO_INTEREST")
+    country = pick(F.substring(company, 1, 1).cast("int") - 1, "Brasil", "Chile", None, "BR", "Brazil")
+    facts = (
+        fact(o, F.concat(F.lit("ft"), k), relation, "professional_title", title, F.concat(F.lit("wt"), k % 10))
+        # not a field that counts: only its evidence does, where a canonical fact rests on it
+        .unionAll(fact(o.where(k % 7 != 6), F.concat(F.lit("fn"), k), relation, "person_name", F.lit("Ana"), F.concat(F.lit("wn"), k)))
+        .unionAll(fact(customers, F.concat(F.lit("fi"), c), person, "education_intent", intent, F.concat(F.lit("wi"), c)))
+        .unionAll(fact(o.select("o_orderpriority").distinct(), F.concat(F.lit("fg"), company), company, "country", country, F.lit("wg")))
+    )
+    canonicals = o.where("o_orderstatus = 'P'").select(F.concat(F.lit("k"), k).alias("canonical_fact_id"), relation.alias("subject_id"), F.lit("professional_title").alias("field_name"), F.lit("Especialista CEOF").alias("value"), F.array(F.concat(F.lit("fn"), k), F.lit("nowhere")).alias("candidate_fact_ids"))
+    torn = customers.where(c % 13 == 0).select(F.concat(F.lit("x"), c).alias("conflict_id"), person.alias("subject_id"))
+    # one about a relationship itself is not asked for
+    torn = torn.unionAll(o.where(k % 17 == 0).select(F.concat(F.lit("y"), k), relation)).withColumns({"field_name": F.lit("professional_title"), "status": F.lit("OPEN"), "candidate_fact_ids": F.array().cast("array<string>")})
+    contacts = customers.select(F.concat(F.lit("c"), c).alias("contact_id"), F.lit("someone").alias("owner_id"), F.when(c % 3 == 0, "VALIDATED").otherwise("DISCOVERED").alias("status"))
+    links = o.where(k % 2 == 0).select(relation.alias("relationship_id"), F.concat(F.lit("c"), c).alias("contact_id"))
+    registrations = customers.where(c % 5 == 0).select(person.alias("person_id"), F.array(F.concat(F.lit("g"), c)).alias("evidence_ids"))
+    relations = o.select(
+        relation.alias("relationship_id"), person.alias("person_id"), company.alias("company_id"), F.when(k % 9 == 0, ql.COMPLEMENTARY).otherwise("CEOF_SPECIALIZATION").alias("offer_track"),
+        (k % 6 == 0).alias("require_validated_contact"), F.array(F.concat(F.lit("e"), k)).alias("relationship_evidence_ids"),
+    )
+    out = ql.of_relationships(relations, "policy-1", facts, canonicals, torn, contacts, links, registrations)
+    return out.select("relationship_id", "person_id", "company_id", "qualification_status", "fit", "intent", "priority", "decision_id")
+
+
 @query(
     """
 SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderpriority = '5-LOW' THEN 'EXT-BRASILAPI-001' END,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import aware_time, derived_id
-from ..functions.identifiers import registry_key
+from ..functions.identifiers import listed_page, registry_key
 from ..functions.text import is_blank
 from ..operators.normalize import unpivoted
 
@@ -25,6 +25,10 @@ LOOKUP_FIELDS = {
     "municipio": "city",
     "uf": "state",
 }
+#: The registry's source and address, and the only pages of locations and of offices.
+LOOKUP_SOURCE, LOOKUP_URL = "source:brasilapi:cnpj-v1", "https://brasilapi.com.br/api/cnpj/v1"
+LOCATION_PAGE = "https://www.transparencia.serpro.gov.br/acesso-a-informacao/institucional/enderecos"
+OFFICES_PAGE = "https://www.serpro.gov.br/menu/institucional/quem-somos/encontre-o-serpro"
 LOOKUP_SCHEMA = ", ".join(f"{c} string" for c in LOOKUP_FIELDS)
 
 
@@ -54,6 +58,17 @@ def lookup_facts(answers: DataFrame, key: str = "requested_key") -> DataFrame:
     return facts.withColumn("fact_id", derived_id("fact", F.col("subject_id"), F.col("field_name"), F.col("evidence_id"), length=24))
 
 
+def lookup_address(key: Column) -> Column:
+    """Where the registry tells of a key; null for what is no key."""
+    return F.concat(F.lit(f"{LOOKUP_URL}/"), registry_key(key))
+
+
+def location_source(url: Column) -> Column:
+    """struct<source_id, locator> of the location page; null for any other address."""
+    page = listed_page(url, LOCATION_PAGE)
+    return F.when(page.isNotNull(), F.struct(derived_id("source:official-company-location", page, length=24).alias("source_id"), page.alias("locator")))
+
+
 def captured_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema; what does not parse is in _corrupt."""
     return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
