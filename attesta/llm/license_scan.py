@@ -5,6 +5,8 @@ and the identifier tag in a single pass over it. Where the tag stands, the
 expression after it is read from the text itself; a shunting-yard parser turns
 ``and``, ``or``, ``with`` and brackets into postfix order, which is evaluated
 to the identifiers named and to whether some choice among them is permissive.
+A comma before another identifier is an ``and``; words that follow an identifier
+with no operator end the expression, or are its title's where a bracket is open.
 
 Defined results: words are runs of 0-9, a-z (A-Z lower-cased) and all bytes
 from 0x80; a null or empty text has no words, no places and score 0; rows with
@@ -44,15 +46,40 @@ NOTICES = {
     "creative commons attribution sharealike 4 0": "cc-by-sa-4.0",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
+    "isc license": "isc",
+    "the unlicense": "unlicense",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "zlib license": "zlib",
+    "boost software license version 1 0": "bsl-1.0",
+    "eclipse public license version 2 0": "epl-2.0",
+    "eclipse public license v 2 0": "epl-2.0",
+    "european union public licence v 1 2": "eupl-1.2",
+    "eupl v1 2": "eupl-1.2",
+    "gplv2": "gpl-2.0",
+    "gplv3": "gpl-3.0",
+    "lgplv3": "lgpl-3.0",
+    "agplv3": "agpl-3.0",
+    "apache org licenses license 2 0": "apache-2.0",
+    "creativecommons org publicdomain zero 1 0": "cc0-1.0",
+    "cc0 1 0": "cc0-1.0",
+    "cc by 4 0": "cc-by-4.0",
+    "cc by sa 4 0": "cc-by-sa-4.0",
+    "cc by nd 4 0": "cc-by-nd-4.0",
+    "cc by nc 4 0": "cc-by-nc-4.0",
+    "cc by nc sa 4 0": "cc-by-nc-sa-4.0",
+    "cc by nc nd 4 0": "cc-by-nc-nd-4.0",
 }
 TAG = "spdx license identifier"
 #: Identifiers whose terms let a text be used with no more than a notice.
-PERMISSIVE = {"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "zlib", "cc0-1.0", "cc-by-4.0"}
+PERMISSIVE = {"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "unlicense", "zlib", "bsl-1.0", "cc0-1.0", "cc-by-4.0"}
 
 _SIGNS = rb"[\x00-/:-@\[-`{-\x7f]+"
 #: With other signs than hyphens the three words may be running text, unless a colon or equals sign follows.
 _TAGGED = re.compile(rb"spdx(?:-license-identifier\s*:?|" + _SIGNS + rb"license" + _SIGNS + rb"identifier\s*[:=])\s*([^\r\n]*)", re.I)
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_TOKEN = re.compile(r"[(),]|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: What may follow a comma as one more identifier: a name with a version, or one of those above.
+_IDENTIFIER = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*-\d[a-z0-9.+-]*|\d[a-z]+")
+_KNOWN = PERMISSIVE | {*BASE.values(), *NOTICES.values()}
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -65,7 +92,14 @@ def postfix(expression: str) -> list[str]:
     out: list[str] = []
     held: list[str] = []
     operand = False
-    for token in (t.lower() for t in _TOKEN.findall(expression)):
+    found = [t.lower() for t in _TOKEN.findall(expression)]
+    for token, after in zip(found, [*found[1:], ")"]):
+        if token == ",":
+            if not operand or after in _BINDS or after in "),":
+                continue
+            if not _IDENTIFIER.fullmatch(after) and after not in _KNOWN:
+                break  # running text follows
+            token = "and"
         if token in _BINDS:
             if not operand:
                 raise BadExpression(expression)
@@ -85,6 +119,8 @@ def postfix(expression: str) -> list[str]:
             if not held:
                 raise BadExpression(expression)
             held.pop()
+        elif operand and "(" in held:
+            continue  # more words of a title in brackets
         elif operand:
             # trailing words after a whole expression, as in a comment
             break

@@ -67,6 +67,30 @@ def test_expressions(expression, postfix, permissive):
     assert ls.evaluated(expression).permissive is permissive
 
 
+def test_names_that_texts_use(spark):
+    texts = {
+        "ISC License": "isc",
+        "released as The Unlicense.": "unlicense",
+        "This code is GPLv3": "gpl-3.0",
+        "EUPL v1.2": "eupl-1.2",
+        "see http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        "CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa-4.0",
+        "cc by nc": "cc-by-nc",
+        "CC-BY-SA 4.0": "cc-by-sa-4.0",
+        "SPDX-License-Identifier: (MIT License)": "mit",
+        "SPDX-License-Identifier: (MIT License OR Apache-2.0)": "apache-2.0,mit",
+        "SPDX-License-Identifier: MIT, Apache-2.0": "apache-2.0,mit",
+        "SPDX-License-Identifier: MIT, AND Apache-2.0,": "apache-2.0,mit",
+        "SPDX-License-Identifier: MIT, see the file, or ask": "mit",
+        "SPDX-License-Identifier: MIT, ISC, see the file": "isc,mit",
+        "disco license": "",
+        "gplv30": "",
+    }
+    got = rows(spark, list(texts))
+    assert {t: got[i].labels for i, t in enumerate(texts)} == texts
+    assert got[5].base_labels == "cc-by-nc" and got[5].permissive is False and got[4].permissive is True
+
+
 @pytest.mark.parametrize("bad", ["", "and", "mit and", "(mit", "mit)", "mit (bsd)", "or mit"])
 def test_bad_expressions(bad):
     with pytest.raises(ls.BadExpression):
