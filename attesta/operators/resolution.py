@@ -196,8 +196,9 @@ def blocking_quality(candidates: DataFrame, truth: DataFrame, records: int | Col
     """Recall over true pairs and reduction over all pairs, which are counted by formula."""
     ends = list(ends)
     hit = candidates.join(truth.select(*ends).distinct().withColumn("_t", F.lit(True)), ends, "left")
-    n = records if isinstance(records, Column) else F.lit(records)
-    total = (n * (n - 1) / 2).cast("long")
+    n = (records if isinstance(records, Column) else F.lit(records)).cast("long")
+    # the even one of n and n - 1 is halved first, so nothing goes beyond a long that the result fits in
+    total = F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
     counted = hit.agg(F.count("*").alias("candidate_pairs"), F.count("_t").alias("candidate_duplicate_pairs"))
     known = truth.select(*ends).distinct().agg(F.count("*").alias("true_duplicate_pairs"))
     out = counted.join(known).withColumn("total_pairs", total)

@@ -68,3 +68,11 @@ def test_triage_is_the_same_for_fewer_computed_ratios(spark):
     assert {(r.left_id, r.right_id): (r.disposition, r.reasons) for r in fewer} == full
     verified = sum(r.verified for r in fewer)
     assert 0 < verified < 0.6 * len(fewer)
+
+
+def test_all_pairs_of_many_records_are_counted_beyond_an_int(spark):
+    one = spark.createDataFrame([("a", "b")], "left_id string, right_id string")
+    for n in (0, 1, 2, 96_000, 3_000_000_001):
+        got = rs.blocking_quality(one, one, n).select("total_pairs", "candidate_duplicate_pairs").first()
+        assert (got.total_pairs, got.candidate_duplicate_pairs) == (n * (n - 1) // 2, 1)
+    assert rs.blocking_quality(one, one, F.lit(96_000)).first().total_pairs == 96_000 * 95_999 // 2
