@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import digest
-from ..operators import evidence as ev
 
 DIGEST = "record_digest"
 #: How often a commit is tried again when another writer was first.
@@ -223,15 +222,22 @@ class Ledger:
 
     # --- writing ----------------------------------------------------------
 
-    def _write(self, rows: DataFrame, m: Manifest, path: str) -> None:
+    def _files(self, rows: DataFrame, key: str, by: list[str], folder: str) -> None:
+        """Files sorted by key in folders of ``by``, as many of each as there are tasks that hold rows of it."""
+        sorted_ = rows.sortWithinPartitions(*by, key)
+        sorted_.write.partitionBy(*by).option("compression", "zstd").option(f"parquet.bloom.filter.enabled#{key}", "true").mode("overwrite").parquet(folder)
+
+    def _write(self, rows: DataFrame, m: Manifest, path: str, moved: bool = True) -> None:
+        """Write one batch. ``moved=False`` leaves rows in their tasks, where those were read from few buckets each."""
         placed = rows.withColumn("bucket", self.bucket(F.col(m.key), m.buckets))
-        few = placed.repartition(min(m.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket", m.key)
-        few.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{m.key}", "true").parquet(f"{self.folder}/data/batch={path}")
+        if moved:
+            placed = placed.repartition(min(m.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+        self._files(placed, m.key, ["bucket"], f"{self.folder}/data/batch={path}")
 
-    def _summed(self, m: Manifest, batches: tuple[Batch, ...]) -> dict[str, tuple[int, int, int]]:
-        """(rows, checksum, rows without their digest) of each batch, as it is on disk."""
+    def _summed(self, m: Manifest, batches: tuple[Batch, ...], digests: bool = True) -> dict[str, tuple[int, int, int]]:
+        """(rows, checksum, rows without their digest) of each batch, as it is on disk; the last only for ``digests``."""
         own = T.StructType.fromJson(json.loads(m.schema)).names
-        other = ~F.col(DIGEST).eqNullSafe(digest_of_columns(own))
+        other = ~F.col(DIGEST).eqNullSafe(digest_of_columns(own)) if digests else F.lit(False)
         known = self._read(m, batches).groupBy("batch").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(m.key, DIGEST)).alias("x"), F.count_if(other).alias("bad"))
         return {r.batch: (r.n, r.x, r.bad) for r in known.collect()}
 
@@ -263,17 +269,23 @@ class Ledger:
 
     def _tried(self, m: Manifest, new: DataFrame, batch: str) -> int | None:
         """One try to append; None if another writer was first."""
-        held = self._within(m, new).select(m.key, DIGEST)
-        fresh, _, conflicts = ev.append(held, new, m.key, DIGEST)
-        clash = conflicts.select(m.key).first()
-        if clash is not None:
-            raise Conflict(f"{clash[0]} is there with other content")
-        path = uuid.uuid4().hex
-        self._write(fresh, m, path)
-        if not self.files.names(f"{self.folder}/data/batch={path}")[1:]:  # _SUCCESS alone
-            self.files.delete(f"{self.folder}/data/batch={path}")
+        new = new.where(F.col(m.key).isNotNull())
+        held = self._within(m, new).select(m.key, F.col(DIGEST).alias("_held"))
+        # keys and digests alone say what to do; the rows themselves move once, or twice where some are there
+        own = new.groupBy(m.key).agg(F.count("*").alias("_n"), F.min(DIGEST).alias("_least"), F.max(DIGEST).alias("_most"))
+        own = own.join(held, m.key, "left") if m.batches else own.withColumn("_held", F.lit(None).cast("string"))
+        there = F.col("_held").isNotNull()
+        other = (F.col("_least") != F.col("_most")) | (there & (F.col("_held") != F.col("_least")))
+        said = own.agg(F.min(F.when(other, F.col(m.key))).alias("clash"), F.count_if(F.col("_n") > 1).alias("repeated"), F.count_if(there).alias("there"), F.count_if(~there).alias("fresh")).first()
+        if said.clash is not None:
+            raise Conflict(f"{said.clash} is there with other content")
+        if not said.fresh:
             return 0
-        n, check, _ = self._summed(m, (Batch(batch, path, 0, 0),))[path]
+        fresh = new.dropDuplicates([m.key]) if said.repeated else new
+        fresh = fresh.join(held.select(m.key), m.key, "left_anti") if said.there else fresh
+        path = uuid.uuid4().hex
+        self._write(fresh.select(*new.columns), m, path)
+        n, check, _ = self._summed(m, (Batch(batch, path, 0, 0),), digests=False)[path]
         if self._put(self._next(m, batches=(*m.batches, Batch(batch, path, n, check)))):
             return n
         self.files.delete(f"{self.folder}/data/batch={path}")
@@ -287,11 +299,11 @@ class Ledger:
         self._replace(m, self._read(m, m.batches).drop("batch", "bucket"), m)
         return len(m.batches)
 
-    def _replace(self, head: Manifest, rows: DataFrame, like: Manifest) -> None:
+    def _replace(self, head: Manifest, rows: DataFrame, like: Manifest, moved: bool = True) -> None:
         """Commit ``rows``, with their digests, as the one batch of the next version."""
         path = uuid.uuid4().hex
-        self._write(rows, like, path)
-        n, check, _ = self._summed(like, (Batch("", path, 0, 0),)).get(path, (0, 0, 0))
+        self._write(rows, like, path, moved)
+        n, check, _ = self._summed(like, (Batch("", path, 0, 0),), digests=False).get(path, (0, 0, 0))
         one = (Batch(f"version-{head.version + 1}", path, n, check, tuple(sorted(head.known))),) if n else ()
         if not self._put(self._next(head, batches=one, schema=like.schema, format=like.format)):
             self.files.delete(f"{self.folder}/data/batch={path}")
@@ -342,9 +354,8 @@ class Ledger:
         if found := self.problems(m.version):
             raise Damaged("; ".join(found))
         if m.batches:
-            held = self._read(m, m.batches)
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            held.repartition(parts, "batch", "bucket").sortWithinPartitions("batch", "bucket", m.key).write.partitionBy("batch", "bucket").option(f"parquet.bloom.filter.enabled#{m.key}", "true").mode("overwrite").parquet(f"{to.folder}/data")
+            # each task has read parts of few buckets, and writes as many files as it has read
+            self._files(self._read(m, m.batches), m.key, ["batch", "bucket"], f"{to.folder}/data")
         to._put(Manifest(**m.__dict__ | {"version": m.version, "parent": None}))
         if found := to.problems():
             to.files.delete(to._name(m.version))
@@ -366,6 +377,7 @@ class Ledger:
                 raise Damaged("; ".join(found))
             rows = sealed(steps[m.format](self.rows().drop(DIGEST)))
             kind = T.StructType([f for f in rows.schema if f.name != DIGEST])
-            self._replace(m, rows, Manifest(**m.__dict__ | {"format": m.format + 1, "schema": kind.json()}))
+            # rows keep their keys, so they are where their buckets are
+            self._replace(m, rows, Manifest(**m.__dict__ | {"format": m.format + 1, "schema": kind.json()}), moved=False)
             done += 1
         return done

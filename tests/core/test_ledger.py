@@ -168,3 +168,29 @@ def test_a_migration_never_seals_a_change(spark, ledger):
     with pytest.raises(lg.Damaged):
         ledger.migrated(2, {1: lambda r: r})
     assert ledger.manifest().format == 1
+
+
+def moved(spark):
+    """Bytes that have gone through shuffles in this session."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_copies_and_new_formats_move_no_rows_and_an_append_moves_them_once(spark, ledger, tmp_path):
+    long = spark.range(300).select(F.concat(F.lit("k"), "id").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat("id", F.lit("/"), i), 256)), "").alias("text"), F.lit(1).alias("n"))
+    size, began = 300 * 60 * 64 / 2, moved(spark)  # digits of hashes shrink to half
+    assert ledger.append(long, "one") == 300
+    appended = moved(spark) - began
+    assert appended < 2 * size
+    ledger.migrated(2, {1: lambda r: r.withColumn("m", F.col("n"))})
+    copy = ledger.copied(str(tmp_path / "copy"))
+    assert moved(spark) - began - appended < size / 4
+    assert copy.rows().count() == 300 and copy.problems() == []
+    files = parquet_of(copy.folder)
+    assert len(files) <= 3 * 4 and ids(copy.lookup("k7")) == ["k7"]
+
+
+def test_rows_repeated_within_a_batch_or_without_a_key(spark, ledger):
+    ledger.append(rows(spark, "a", "b"), "one")
+    twice = rows(spark, "b", "c").unionByName(rows(spark, "c", "d")).unionByName(spark.createDataFrame([(None, "t", 1)], SCHEMA))
+    assert ledger.append(twice, "two") == 2 and ids(ledger.rows()) == list("abcd") and ledger.problems() == []
