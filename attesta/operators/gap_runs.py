@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,21 +208,24 @@ class Runs:
         """One batch of a plan over all its companies; its records.
 
         The handler's outcomes are written before anything is made of them, so
-        they are made once, however often later steps read them.
+        they are made once, however often later steps read them. Decisions and records
+        are kept on the executors' disks while the cycle lasts.
         """
         if now.tzinfo is None or now.utcoffset() is None:
             raise ValueError("the time of a cycle must name its offset")
         at = F.lit(now.astimezone(timezone.utc).isoformat()).cast("timestamp")
         state = self.state(before=number)
         named = f"{number}:"
-        decisions = decided(plan, state, at, handled)
+        decisions = decided(plan, state, at, handled).persist(StorageLevel.DISK_ONLY)
         outcomes = handler(tried(decisions)).select(F.concat(F.lit(named), "action_id").alias("outcome_id"), "action_id", F.col("attempts").cast("int").alias("attempts"), "succeeded", "error")
         self._outcomes.append(outcomes, named)
         held = self._outcomes.rows().where(F.col("outcome_id").startswith(named))
-        rows = recorded(decisions, held, at)
+        rows = recorded(decisions, held, at).persist(StorageLevel.DISK_ONLY)
         kept = rows.select(F.concat(F.lit(named), "action_id").alias("record_id"), F.lit(number).alias("cycle"), *[c for c in rows.columns if c != "cache_key"])
         self._records.append(kept, named)
         self._state.append(moved(state, rows).select(F.concat(F.lit(named), "cache_key").alias("state_id"), F.lit(number).alias("cycle"), "cache_key", "succeeded", "last_attempt_at", "attempts"), named)
+        rows.unpersist()
+        decisions.unpersist()
         return self.records().where(F.col("cycle") == number)
 
     def until_stable(self, companies: DataFrame, planner: Planner, handler: Handler, handled: list[str], clock: Callable[[], datetime], cycles: int = 3, after: Callable[[DataFrame], None] | None = None) -> DataFrame:

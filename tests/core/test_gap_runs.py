@@ -148,3 +148,18 @@ def test_a_stream_keeps_state_and_timers_for_each_key(spark, tmp_path):
     assert ("k", "a1", "FAILED", t(0)) in got and ("k", "a2", "SCHEDULED", t(10)) in got and ("q", "b2", "CACHE_HIT", t(10)) in got
     assert ("k", "a2", "SUCCEEDED", t(60)) in got and ("k", "a3", "CACHE_HIT", t(400)) in got and ("z", "c2", "SUCCEEDED", t(400)) in got
     assert len(got) == 9
+
+
+def test_a_cycle_goes_over_its_plan_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([action(i) for i in range(20)], PLAN).mapInPandas(counted, PLAN)
+    runs = gr.Runs(spark, str(tmp_path / "runs"), buckets=2)
+    records = runs.cycle(1, rows, gr.captured(spark.createDataFrame([("a1", 1, True, None)], "action_id string, try int, succeeded boolean, error string")), ["GO"], NOW)
+    assert records.count() == 20 and runs.state().count() == 20
+    assert seen.value <= 2 * 20  # for the actions, and for the first due one of each key
