@@ -7,11 +7,13 @@ outcome is a disposition for each pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as idn
 from ..functions import text as tx
+from ..sources import scratch
+from . import bounds as bd
 
 #: Weights of the features, and the name similarity that exact evidence needs.
 WEIGHTS = {"name_similarity": 0.40, "domain_exact": 0.25, "phone_exact": 0.15, "address_similarity": 0.10, "location_exact": 0.05, "cnae_exact": 0.05}
@@ -54,6 +56,52 @@ def keys() -> Column:
 
 #: Records of one key that meet in one cell; a key with more has a square of cells.
 CELL = 512
+#: Records for one task of a join or a sort, so that a task's memory does not grow with the table.
+ROWS = 40_000
+#: Keys of one record in :func:`partners`, which counts under each set of them.
+MOST_KEYS = 8
+
+
+def tasks(records: DataFrame) -> int:
+    """How many tasks some records are worth; the rows are counted, and nothing else of them is computed."""
+    return max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // ROWS))
+
+
+def _key_sets(records: DataFrame, id_col: str, keys_col: str, n: int) -> DataFrame:
+    """(id, keys) of each record, its keys once and in order."""
+    each = records.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).where("id is not null and key is not null").repartition(n, "id")
+    return each.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def partners(records: DataFrame, id_col: str = "record_id", keys_col: str = "keys") -> DataFrame:
+    """(left_id, partners, first_partner, last_partner): how many greater ids share a key with each, the least and the greatest.
+
+    What :func:`blocked_pairs` gives by left_id, without a pair being made: records
+    that share several keys are counted under each set of keys that a record has, with
+    changing signs. The ids under a set are ordered over all tasks and a record knows
+    how many come after it, so the work grows with the records, whatever a key's size.
+    A record of more than MOST_KEYS keys is an error.
+    """
+    n = tasks(records)
+    each = bd.required(_key_sets(records, id_col, keys_col, n), f"a record has at most {MOST_KEYS} keys", F.size("keys") <= MOST_KEYS, F.col("id"))
+    each = each.select("id", "keys", F.explode(F.expr("sequence(1, shiftleft(1, size(keys)) - 1)")).alias("mask"))
+    each = each.select("id", F.expr("filter(keys, (k, i) -> shiftright(mask, i) % 2 = 1)").alias("held"))
+    # a table, as another run of the same plan may cut the ranges elsewhere
+    table = scratch.folder(records.sparkSession, "ranks")
+    each.repartitionByRange(4 * n, "held", "id").withColumn("part", F.spark_partition_id()).write.parquet(table)
+    placed = records.sparkSession.read.parquet(table).repartition(4 * n, "held", "part")
+    own = Window.partitionBy("held", "part").orderBy("id")
+    placed = placed.select("*", F.row_number().over(own).alias("nth"), F.lead("id").over(own).alias("next"))
+    sums = placed.groupBy("held", "part").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).repartition(4 * n, "held")
+    later = Window.partitionBy("held").orderBy(F.desc("part"))
+    sums = sums.select(
+        "held", "part", "n", F.coalesce(F.sum("n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("after"), F.lag("least").over(later).alias("other"), F.max("most").over(Window.partitionBy("held")).alias("most")
+    )
+    both = placed.join(sums.repartition(4 * n, "held", "part"), ["held", "part"]).withColumn("after", F.col("n") - F.col("nth") + F.col("after")).where("after > 0")
+    one, odd = F.size("held") == 1, F.size("held") % 2 == 1
+    return both.groupBy(F.col("id").alias("left_id")).agg(
+        F.sum(F.when(odd, F.col("after")).otherwise(-F.col("after"))).alias("partners"), F.min(F.when(one, F.coalesce("next", "other"))).alias("first_partner"), F.max(F.when(one, F.col("most"))).alias("last_partner")
+    )
 
 
 def blocked_pairs(records: DataFrame, id_col: str = "record_id", keys_col: str = "keys", cell: int = CELL) -> DataFrame:
@@ -65,23 +113,28 @@ def blocked_pairs(records: DataFrame, id_col: str = "record_id", keys_col: str =
     comes from the smallest key that it shares, so pairs need no distinct. Rows that
     repeat an id are one record with the keys of all.
     """
-    each = records.select(F.col(id_col).alias("id"), F.explode(keys_col).alias("key")).where("id is not null and key is not null")
-    each = each.groupBy("id").agg(F.collect_set("key").alias("keys")).select("id", "keys", F.explode("keys").alias("key"))
+    n = tasks(records)
+    each = _key_sets(records, id_col, keys_col, n).select("id", "keys", F.explode("keys").alias("key"))
+    # of the others only the smaller ones say whether a pair comes from another key
+    each = each.select("id", "key", F.filter("keys", lambda k: k < F.col("key")).alias("keys")).repartition(n, "key")
     large = each.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > cell).select("key", F.ceil(F.col("_n") / cell).cast("int").alias("cells"))
     placed = each.join(large, "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     # the pair of cells (i, j) with i <= j
     a = placed.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cells") - 1)).alias("j"), F.col("id").alias("a"), F.col("keys").alias("ka"))
     b = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("keys").alias("kb"))
+    a, b = (x.repartition(n, "key", "i", "j") for x in (a, b))
     both = a.join(b, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))
-    both = both.where(F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    both = both.where(~F.arrays_overlap("ka", "kb"))
     return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
 
 
 def with_sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Pairs with both prepared records as structs l and r."""
+    n = tasks(records)
     left = records.select(F.col("record_id").alias("left_id"), F.struct("*").alias("l"))
     right = records.select(F.col("record_id").alias("right_id"), F.struct("*").alias("r"))
-    return pairs.join(left, "left_id").join(right, "right_id")
+    found = pairs.repartition(2 * n, "left_id").join(left.repartition(2 * n, "left_id"), "left_id")
+    return found.repartition(2 * n, "right_id").join(right.repartition(2 * n, "right_id"), "right_id")
 
 
 def features(pairs: DataFrame, similarity: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
@@ -76,3 +77,32 @@ def test_all_pairs_of_many_records_are_counted_beyond_an_int(spark):
         got = rs.blocking_quality(one, one, n).select("total_pairs", "candidate_duplicate_pairs").first()
         assert (got.total_pairs, got.candidate_duplicate_pairs) == (n * (n - 1) // 2, 1)
     assert rs.blocking_quality(one, one, F.lit(96_000)).first().total_pairs == 96_000 * 95_999 // 2
+
+
+def test_partners_are_those_of_the_pairs_without_the_pairs(spark):
+    rng = random.Random(5)
+    rows = [(f"r{i}", [f"k{rng.randrange(40)}", f"m{rng.randrange(60)}"] + ["hot"] * (i % 3 == 0) + ["warm"] * (i % 4 == 0)) for i in range(300)]
+    rows += [("r3", ["k1", None]), ("r5", None), (None, ["hot"]), ("r900", []), ("r901", ["hot", "hot"])]
+    records = spark.createDataFrame(rows, "record_id string, keys array<string>")
+    wanted = {}
+    for a, b in plain(rows):
+        wanted.setdefault(a, []).append(b)
+    assert {r.left_id: (r.partners, r.first_partner, r.last_partner) for r in rs.partners(records).collect()} == {a: (len(b), min(b), max(b)) for a, b in wanted.items()}
+    assert rs.partners(records.limit(0)).count() == 0
+    with pytest.raises(Exception, match="at most 8 keys"):
+        rs.partners(spark.createDataFrame([("a", [f"k{i}" for i in range(9)])], records.schema)).count()
+
+
+def test_a_tenth_of_many_records_under_one_key_is_counted_at_once(spark):
+    rows = spark.range(40_000).select(F.concat(F.lit("r"), F.lpad("id", 6, "0")).alias("record_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit("hot"))).otherwise(F.array(F.concat(F.lit("k"), "id"))).alias("keys"))
+    got = rs.partners(rows).agg(F.sum("partners"), F.count("*"), F.min("first_partner"), F.max("last_partner")).first()
+    assert tuple(got) == (20_000 * 19_999 // 2, 19_999, "r000002", "r039998")
+
+
+def test_joins_of_pairs_have_more_tasks_for_more_records(spark, monkeypatch):
+    records = spark.range(100).select(F.concat(F.lit("r"), "id").alias("record_id"), F.array(F.concat(F.lit("k"), (F.col("id") / 2).cast("int"))).alias("keys"))
+    monkeypatch.setattr(rs, "ROWS", 10)
+    assert rs.tasks(records) == 10
+    pairs = rs.blocked_pairs(records)
+    assert "RepartitionByExpression [key#" in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 50
+    assert rs.with_sides(pairs, records).count() == 50
