@@ -1,25 +1,23 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Every block starts from nothing and is coded by itself, so blocks are coded in
-lockstep: numpy does one step of all blocks at once. A step codes one id as one
-of four symbols of a range coder, and some of them have an even part.
+lockstep: numpy does one step of all blocks at once. What a block has learned is
+brought up to date after each window of ids, not after each id. Within a window
+nothing changes, so the encoder looks up all its ids together; only the decoder,
+which needs an id to go on, goes one by one, and all learning is done in bulk.
 
 * Orders 2 and 1 predict an id each, from tables of what followed the last two
   ids and the last id; order 0 counts the ids of the block, whatever was before
   them. Symbol 0: the prediction of order 2 holds, or that of order 1 where
   order 2 has none. Its probability mixes the three orders in the logistic
   domain - the confidence of order 2, that of order 1 and whether the two agree,
-  and how often order 0 has counted the predicted id - each of which adds its
-  own adaptive weight of evidence, learned from the error of the mixture.
-* Symbol 1: order 1 predicts another id, which holds. Symbol 2: order 0 knows
-  the id, and its counts code it: a second step of the range coder, in which an
-  id has the share of its place's count. Symbol 3: a new id, which is written as
-  it is, beside the coder. The probabilities of these three adapt to confidence
-  and to how often order 0 had the id.
-
-Order 0 has places by a hash of the id; the latest id of a place has it. Its
-counts are kept as running sums, of 32 groups and of the 16 places in each, so
-that a place's bounds are read and not summed.
+  and how often order 0 has counted the predicted id's place - each of which adds
+  its own adaptive weight of evidence, learned from the errors of the mixture.
+* Symbol 1: order 0 knows the id, and its counts code it: an id has the share of
+  its place's count. Symbol 2: a new id, which is written as it is, beside the
+  coder. The share of these two adapts as well.
+
+Order 0 has places by a hash of the id; the latest id of a place has it.
 
 A block's words are the count of its new ids, the range coder's words, and the
 new ids, packed to as many bits as they need. All arithmetic, tables included,
@@ -28,19 +26,22 @@ is on integers, so every machine decodes what another encoded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Ids of a block.
+#: Ids of a block, and the windows after which it learns, of which the last goes on.
 BLOCK = 4096
-#: Contexts of a table, as a power of two; bits of a place in order 0's table, and those of a place in its group.
-_CONTEXT_BITS, _SEEN_BITS, _IN_GROUP = 10, 9, 4
-_GROUPS, _PLACES = 1 << (_SEEN_BITS - _IN_GROUP), 1 << _IN_GROUP
+_WINDOWS = (8, 8, 16, 32, 64, 128)
+#: Contexts of a table, as a power of two, and bits of a place in order 0's table.
+_CONTEXT_BITS, _SEEN_BITS = 10, 9
+_SEEN = 1 << _SEEN_BITS
 #: An entry of a table of predictions: the id, and above it how sure it is, up to 7.
 _ID_BITS = 20
 _ID, _SURE = (1 << _ID_BITS) - 1, 1 << _ID_BITS
 #: Ids are below this.
 LARGEST = 1 << _ID_BITS
-#: Bounds of the first probability and of the other two, of 65536, so that every symbol has some room.
+#: Bounds of the first probability and of the other one, of 65536, so that every symbol has some room.
 _FIRST, _OTHER = (64, 64512), (2048, 61440)
 _K1, _K2, _K0 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
 
@@ -61,20 +62,94 @@ def _squash() -> np.ndarray:
 
 
 _SQUASH = _squash()
-#: How slowly each predictor learns from an error, as shifts.
-_RATES = np.array([[3], [4], [5]], np.int32)
-#: By symbol: what the three probabilities move towards, and whether it says something of them (all bits or none).
-_AIM0 = np.array([65536, 0, 0, 0], np.int32)
-_AIM1, _ASKED1 = np.array([0, _OTHER[1], _OTHER[0], _OTHER[0]], np.int32), np.array([0, -1, -1, -1], np.int32)
-_AIM2, _ASKED2 = np.array([0, 0, _OTHER[1], _OTHER[0]], np.int32), np.array([0, 0, -1, -1], np.int32)
 #: What each order begins with, in 65536ths of a unit of evidence: by confidence; by confidence and agreement; by order 0's count and the symbol before.
 _BY2 = np.array([-96, -32, 16, 48, 64, 80, 96, 112], np.int32) << 10
 _BY1 = np.array([[-64, -48], [-32, 0], [-24, 24], [-16, 40], [-8, 48], [0, 56], [8, 64], [16, 80]], np.int32).ravel() << 10
-_BY0 = np.add.outer([-16, -8, 0, 8], [32, 0, -16, -32]).astype(np.int32).ravel() << 10
-#: By order 0's count of an id: none, one, a few, many; already as rows of the table above.
-_OFTEN = (4 * np.searchsorted([1, 2, 6], np.arange(BLOCK + 1), "right")).astype(np.int32)
-#: What one more of a group, or of a place in its group, adds to the running sums.
-_MORE_GROUPS, _MORE_PLACES = (np.triu(np.ones((n, n + 1), np.int16), 1) for n in (_GROUPS, _PLACES))
+_BY0 = np.add.outer([-16, -8, 0, 8], [32, -16, -32, 0]).astype(np.int32).ravel() << 10
+#: How fast each of their weights learns: halved so many times.
+_RATES = np.repeat([0, 1, 2], [len(_BY2), len(_BY1), len(_BY0)])
+_BY = np.concatenate([_BY2, _BY1, _BY0])
+#: By order 0's count of a place: none, one, a few, many; already as rows of the table above.
+_OFTEN = (len(_BY2) + len(_BY1) + 4 * np.searchsorted([1, 2, 6], np.arange(BLOCK + 1), "right")).astype(np.int32)
+
+
+class _Model:
+    """What each lane, a block, has learned up to its last window."""
+
+    def __init__(self, lanes: int):
+        self.lanes = lanes
+        self.lane = np.arange(lanes, dtype=np.int32)
+        # of order 2, then of order 1; the ids of order 0's places, their counts and sums; and the weights of evidence
+        self.said = np.zeros(2 * lanes << _CONTEXT_BITS, np.int32)
+        self.seen, self.own = np.full(lanes << _SEEN_BITS, -1, np.int32), np.zeros(lanes << _SEEN_BITS, np.int16)
+        self.below = np.zeros((lanes, _SEEN + 1), np.int16)
+        self.by = np.tile(_BY, lanes)
+        self.known = np.full(lanes, 32768, np.int32)
+
+    def places(self, lane: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = ids.view(np.uint32) * _K0
+        at >>= np.uint32(32 - _SEEN_BITS)
+        at = at.view(np.int32)
+        at += lane << _SEEN_BITS
+        return at
+
+    def predict(self, lane: np.ndarray, last: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(contexts, entries, predicted id, sureness) of some ids, by the ids before."""
+        h = np.empty((2, len(last)), np.uint32)
+        np.multiply(last.view(np.uint32), _K1, out=h[1])
+        np.multiply(prior.view(np.uint32), _K2, out=h[0])
+        h[0] += h[1]
+        h >>= np.uint32(32 - _CONTEXT_BITS)
+        h = h.view(np.int32)
+        own = lane << _CONTEXT_BITS
+        h[0] += own
+        own += self.lanes << _CONTEXT_BITS
+        h[1] += own
+        entry = self.said.take(h, mode="clip")
+        sure, named = entry >> _ID_BITS, entry & _ID
+        guess = np.where(sure[0] > 0, named[0], named[1])
+        return h, entry, guess, sure, named
+
+    def first(self, lane: np.ndarray, guess: np.ndarray, sure: np.ndarray, named: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the weights of evidence, and the probability that the prediction holds."""
+        at = np.empty((3, len(lane)), np.int32)
+        by = lane * len(_BY)
+        np.add(by, sure[0], out=at[0])
+        np.add(sure[1], sure[1], out=at[1])
+        at[1] += guess == named[1]
+        at[1] += len(_BY2)
+        at[1] += by
+        by += before
+        np.add(by, _OFTEN.take(self.own.take(self.places(lane, guess), mode="clip"), mode="clip"), out=at[2])
+        total = self.by.take(at[0], mode="clip")
+        total += self.by.take(at[1], mode="clip")
+        total += self.by.take(at[2], mode="clip")
+        total >>= 8
+        total += 2047
+        return at, _SQUASH.take(total, mode="clip")
+
+    def learn(self, h: np.ndarray, entry: np.ndarray, at: np.ndarray, p: np.ndarray, symbol: np.ndarray, now: np.ndarray) -> None:
+        """Take in a window: contexts and entries, weights and probabilities, symbols and ids, all by lanes and then steps."""
+        lanes, steps = self.lanes, len(now) // self.lanes
+        # strengthen a prediction that held, weaken or replace one that did not; the latest of a context stays
+        named = entry & _ID
+        held = np.minimum(entry + _SURE, named | 7 * _SURE)
+        missed = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
+        self.said[h] = np.where(named == now, held, missed)
+        error = np.where(symbol == 0, 65536, 0) - p
+        many, wrong = np.zeros(len(self.by), np.int64), np.zeros(len(self.by), np.int64)
+        for own in at:
+            many += np.bincount(own, minlength=len(many))
+            wrong += np.bincount(own, error, len(wrong)).astype(np.int64)  # of whole numbers, so exact
+        self.by += ((2 * wrong // (8 + many)).reshape(lanes, -1) >> _RATES).ravel().astype(np.int32)
+        symbols = symbol.reshape(lanes, steps)
+        known, new = (symbols == 1).sum(1), (symbols == 2).sum(1)
+        self.known += ((_OTHER[1] * known + _OTHER[0] * new - (known + new) * self.known) // (32 + known + new)).astype(np.int32)
+        # order 0 counts what it coded, and what comes to a place; so no place in use has a count of 0
+        at0 = self.places(np.repeat(self.lane, steps), now)
+        np.add.at(self.own, at0[(symbol > 0) | (self.seen.take(at0, mode="clip") != now)], np.int16(1))
+        self.seen[at0] = now
+        np.cumsum(self.own.reshape(lanes, _SEEN), axis=1, dtype=np.int16, out=self.below[:, 1:])
 
 
 class _Encoder:
@@ -85,45 +160,30 @@ class _Encoder:
         self.range = np.full(lanes, (1 << 48) - 1, np.int64)
         self.words = np.zeros((lanes, 1024), np.uint32)
         self.at = np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
 
     def room(self, steps: int) -> None:
         if int(self.at.max(initial=0)) + steps + 3 > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-
-    def code(self, k: int, symbol: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """edges: of symbols 0 to 3 and their end, of 65536, by lanes."""
-        low, range_ = self.low[:k], self.range[:k]
-        at = symbol * k + self.lane[:k]
-        below = edges.ravel().take(at)
-        r = range_ >> 16
-        low += r * below
-        np.multiply(r, edges.ravel().take(at + k) - below, out=range_)
-        small = np.flatnonzero(range_ < 1 << 32)
-        if len(small):
-            x = low[small]
-            self.words[small, self.at[small]] = x >> 32
-            self.at[small] += 1
-            low[small] = (x & 0xFFFFFFFF) << 16
-            range_[small] <<= 16
-        return symbol
+            self.words = np.concatenate([self.words, np.zeros((len(self.words), max(steps, 1024)), np.uint32)], 1)
 
-    def place(self, lanes: np.ndarray, zero: "_Counts", places: np.ndarray) -> np.ndarray:
-        """Code places of some lanes by order 0's counts."""
-        below, own, total = zero.bounds(lanes, places)
-        low, range_ = self.low[lanes], self.range[lanes]
-        range_ //= total
+    def code(self, below: np.ndarray, share: np.ndarray, total: np.ndarray, below0: np.ndarray, share0: np.ndarray) -> None:
+        """A share of 65536, and of it one of a total."""
+        low, range_ = self.low, self.range
+        range_ >>= 16
         low += range_ * below
-        range_ *= own
+        range_ *= share
+        range_ //= total
+        low += range_ * below0
+        range_ *= share0
         small = np.flatnonzero(range_ < 1 << 32)
-        if len(small):
-            x, which = low[small], lanes[small]
-            self.words[which, self.at[which]] = x >> 32
-            self.at[which] += 1
+        while len(small):
+            x = low[small]
+            to = self.at[small]
+            self.words[small, to] = x >> 32
+            self.at[small] = to + 1
             low[small] = (x & 0xFFFFFFFF) << 16
-            range_[small] <<= 16
-        self.low[lanes], self.range[lanes] = low, range_
-        return places
+            r = range_[small] << 16
+            range_[small] = r
+            small = small[r < 1 << 32]
 
     def finish(self) -> list[np.ndarray]:
         self.room(3)
@@ -137,212 +197,121 @@ class _Encoder:
         return [w[:n] for w, n in zip(np.ascontiguousarray(words.T).astype("<u2"), self.at.tolist())]
 
 
-class _Decoder:
-    def __init__(self, words: list[np.ndarray]):
-        size = max(map(len, words)) + 4
-        self.words = np.zeros((len(words), size), np.int64)
-        for w, own in zip(self.words, words):
-            w[: len(own)] = own
-        self.now = (self.words[:, 0] << 32) | (self.words[:, 1] << 16) | self.words[:, 2]
-        self.range = np.full(len(words), (1 << 48) - 1, np.int64)
-        self.at = np.full(len(words), 3, np.int64)
-        self.lane = np.arange(len(words))
-
-    def room(self, steps: int) -> None:
-        if int(self.at.max(initial=0)) + steps > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros((len(self.words), steps), np.int64)], 1)
-
-    def code(self, k: int, _, edges: np.ndarray) -> np.ndarray:
-        now, range_ = self.now[:k], self.range[:k]
-        r = range_ >> 16
-        scaled = edges * r
-        symbol = (now >= scaled[1]).astype(np.int32)
-        symbol += now >= scaled[2]
-        symbol += now >= scaled[3]
-        at = symbol * k + self.lane[:k]
-        below = scaled.ravel().take(at)
-        now -= below
-        np.subtract(scaled.ravel().take(at + k), below, out=range_)
-        small = np.flatnonzero(range_ < 1 << 32)
-        if len(small):
-            now[small] = (now[small] << 16) | self.words[small, self.at[small]]
-            self.at[small] += 1
-            range_[small] <<= 16
-        return symbol
-
-    def place(self, lanes: np.ndarray, zero: "_Counts", _) -> np.ndarray:
-        now, range_ = self.now[lanes], self.range[lanes]
-        range_ //= zero.total(lanes)
-        places = zero.holding(lanes, now // range_)
-        below, own, _ = zero.bounds(lanes, places)
-        now -= range_ * below
-        range_ *= own
-        small = np.flatnonzero(range_ < 1 << 32)
-        if len(small):
-            which = lanes[small]
-            now[small] = (now[small] << 16) | self.words[which, self.at[which]]
-            self.at[which] += 1
-            range_[small] <<= 16
-        self.now[lanes], self.range[lanes] = now, range_
-        return places
-
-
-class _Counts:
-    """Order 0 of each lane: how often each place was used, and running sums of that."""
-
-    def __init__(self, lanes: int):
-        self.own = np.zeros(lanes << _SEEN_BITS, np.int32)
-        self.groups = np.zeros((lanes, _GROUPS + 1), np.int16)
-        self.places = np.zeros((lanes * _GROUPS, _PLACES + 1), np.int16)
-
-    def total(self, lanes: np.ndarray) -> np.ndarray:
-        return self.groups[:, _GROUPS].take(lanes, mode="clip").astype(np.int64)
-
-    def bounds(self, lanes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sum of the places before, own count, sum of all)."""
-        group = places >> _IN_GROUP
-        below = self.groups.ravel().take(lanes * (_GROUPS + 1) + group, mode="clip").astype(np.int64)
-        below += self.places.ravel().take((lanes * _GROUPS + group) * (_PLACES + 1) + (places & (_PLACES - 1)), mode="clip")
-        return below, self.own.take((lanes << _SEEN_BITS) + places, mode="clip").astype(np.int64), self.total(lanes)
-
-    def holding(self, lanes: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The place within whose bounds x is."""
-        rows = self.groups.take(lanes, 0, mode="clip")
-        x = x.astype(np.int16)  # below the sum of all, which is at most BLOCK
-        group = (rows[:, 1:] <= x[:, None]).sum(1, dtype=np.int32)
-        x -= rows.ravel().take(np.arange(len(lanes)) * (_GROUPS + 1) + group, mode="clip")
-        within = self.places.take(lanes * _GROUPS + group, 0, mode="clip")
-        return (group << _IN_GROUP) + (within[:, 1:] <= x[:, None]).sum(1, dtype=np.int32)
-
-    def add(self, lanes: np.ndarray, places: np.ndarray) -> None:
-        group = places >> _IN_GROUP
-        self.own[(lanes << _SEEN_BITS) + places] += 1
-        rows = self.groups.take(lanes, 0, mode="clip")
-        rows += _MORE_GROUPS.take(group, 0, mode="clip")
-        self.groups[lanes] = rows
-        at = lanes * _GROUPS + group
-        rows = self.places.take(at, 0, mode="clip")
-        rows += _MORE_PLACES.take(places & (_PLACES - 1), 0, mode="clip")
-        self.places[at] = rows
-
-
-class _Even:
-    """Even parts of each lane, one after the other."""
-
-    def __init__(self, parts: list[np.ndarray]):
-        self.at = np.cumsum([0, *map(len, parts)])[:-1]
-        self.all = np.concatenate([*parts, np.zeros(1, np.int32)])
-
-    def next(self, lanes: np.ndarray) -> np.ndarray:
-        at = self.at[lanes]
-        self.at[lanes] = at + 1
-        return self.all.take(at, mode="clip")
-
-
-def _run(coder, sizes: np.ndarray, ids: np.ndarray, fresh: _Even | None) -> np.ndarray:
-    """Code ids (steps by lanes), or decode them into the array if the new ids are known; the symbols of each step.
-
-    No size is below the next one.
-    """
-    lanes, steps = len(sizes), int(sizes[0])
-    # of order 2, then of order 1; the ids of order 0's places; and the weights of evidence of the three orders
-    said = np.zeros(2 * lanes << _CONTEXT_BITS, np.int32)
-    seen, zero = np.full(lanes << _SEEN_BITS, -1, np.int32), _Counts(lanes)
-    by = np.concatenate([np.tile(_BY2, lanes), np.tile(_BY1, lanes), np.tile(_BY0, lanes)])
-    other, old = np.full(lanes * 8, 16384, np.int32), np.full(lanes, 32768, np.int32)
-    last, prior = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    before = np.zeros(lanes, np.int32)
-    symbols = np.zeros((steps, lanes), np.uint8)
-    active = np.searchsorted(-sizes, -np.arange(steps), "left").tolist()
-    k, room = -1, 0
-    for t in range(steps):
-        if active[t] != k:
-            k = active[t]
-            lane = np.arange(k, dtype=np.int32)
-            base = np.stack([lane, lanes + lane]) << _CONTEXT_BITS
-            base0, by8 = lane << _SEEN_BITS, lane * 8
-            by16, by0 = 8 * lanes + lane * 16, 24 * lanes + lane * 16
-            at, hashed = np.zeros((3, k), np.int32), np.zeros((2, k), np.uint32)
-            last, prior, before, old = last[:k].copy(), prior[:k].copy(), before[:k].copy(), old[:k].copy()
-            edges = np.zeros((5, k), np.int64)
-            edges[4] = 65536
-        if room == 0:
-            room = 64
-            coder.room(2 * room)
-        room -= 1
-        np.multiply(last, _K1, out=hashed[1])
-        np.add(hashed[1], prior * _K2, out=hashed[0])
-        h = (hashed >> np.uint32(32 - _CONTEXT_BITS)).view(np.int32) + base
-        entry = said.take(h, mode="clip")
-        sure, named = entry >> _ID_BITS, entry & _ID
-        conf1, id1 = sure[1], named[1]
-        guess = np.where(sure[0] > 0, named[0], id1)
-        agree = guess == id1
-        np.add(by8, sure[0], out=at[0])
-        np.add(by16, conf1 * 2 + agree, out=at[1])
-        place = ((guess.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
-        often = _OFTEN.take(zero.own.take(place, mode="clip"), mode="clip")
-        often *= seen.take(place, mode="clip") == guess
-        often += by0
-        np.add(often, before, out=at[2])
-        weights = by.take(at, mode="clip")
-        p = _SQUASH.take((weights.sum(0, dtype=np.int32) >> 8) + 2047, mode="clip")
-        o1 = by8 + conf1
-        q1 = other.take(o1, mode="clip")
-        may = ~agree & (conf1 > 0)
-        edges[1] = p
+def _windows(steps: int) -> Iterator[tuple[int, int]]:
+    at = n = 0
+    while at < steps:
+        to = min(at + _WINDOWS[min(n, len(_WINDOWS) - 1)], steps)
+        yield at, to
+        at, n = to, n + 1
+
+
+def _encoded(ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The symbols of blocks of ids, and the coder's words."""
+    lanes, steps = ids.shape
+    model, coder = _Model(lanes), _Encoder(lanes)
+    symbols = np.zeros((lanes, steps), np.int32)
+    padded = np.concatenate([np.zeros((lanes, 2), np.int32), ids], 1)
+    for at, to in _windows(steps):
+        lane = np.repeat(model.lane, to - at)
+        now, last, prior = (padded[:, at + k : to + k].ravel() for k in (2, 1, 0))
+        h, entry, guess, sure, named = model.predict(lane, last, prior)
+        at0 = model.places(lane, now)
+        symbol = np.where(guess == now, 0, np.where(model.seen.take(at0, mode="clip") == now, 1, 2)).astype(np.int32)
+        symbols[:, at:to] = symbol.reshape(lanes, -1)
+        before = symbols[:, at - 1 : to - 1].ravel() if at else np.concatenate([np.zeros((lanes, 1), np.int32), symbols[:, : to - 1]], 1).ravel()
+        weights, p = model.first(lane, guess, sure, named, before)
         rest = 65536 - p
-        part = (rest * (q1 >> 1)) >> 15  # of at most 31 bits
-        part &= np.negative(may, dtype=np.int32, casting="unsafe")
-        np.add(p, part, out=edges[2])
-        rest -= part
-        np.add(edges[2], (rest * (old >> 1)) >> 15, out=edges[3])
-        if fresh is None:
-            now = ids[t, :k]
-            at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
-            held0 = seen.take(at0, mode="clip") == now
-            symbol = np.where(guess == now, 0, np.where((id1 == now) & may, 1, np.where(held0, 2, 3))).astype(np.int32)
-            coder.code(k, symbol, edges)
-            which = np.flatnonzero(symbol == 2)
-            coder.place(which, zero, at0.take(which, mode="clip") - base0.take(which, mode="clip"))
-        else:
-            symbol = coder.code(k, None, edges)
-            now = np.where(symbol == 0, guess, id1)
-            which = np.flatnonzero(symbol == 2)
-            now[which] = seen.take(base0.take(which, mode="clip") + coder.place(which, zero, None), mode="clip")
-            which = np.flatnonzero(symbol == 3)
-            now[which] = fresh.next(which)
-            ids[t, :k] = now
-            at0 = ((now.view(np.uint32) * _K0) >> np.uint32(32 - _SEEN_BITS)).view(np.int32) + base0
-            held0 = seen.take(at0, mode="clip") == now
-        symbols[t, :k] = symbol
-        error = _AIM0.take(symbol)
-        error -= p
-        weights += error >> _RATES
-        by[at] = weights
-        # towards a bound, so never beyond it; towards itself where the symbol says nothing
-        aim = _AIM1.take(symbol)
-        aim -= q1
-        aim >>= 4
-        aim &= _ASKED1.take(symbol)
-        aim &= np.negative(may, dtype=np.int32, casting="unsafe")
-        aim += q1
-        other[o1] = aim
-        aim = _AIM2.take(symbol)
-        aim -= old
-        aim >>= 5
-        aim &= _ASKED2.take(symbol)
-        old += aim
-        # strengthen a prediction that held, weaken or replace one that did not
-        held = np.minimum(entry + _SURE, named | 7 * _SURE)
-        missed = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
-        said[h] = np.where(named == now, held, missed)
-        # order 0 counts what it coded, and what comes to a place; so no place in use has a count of 0
-        which = np.flatnonzero((symbol >= 2) | ~held0)
-        zero.add(which, at0.take(which, mode="clip") - base0.take(which, mode="clip"))
-        seen[at0] = now
-        prior, last, before = last, now.view(np.uint32), symbol
-    return symbols
+        part = (rest * (model.known.take(lane, mode="clip") >> 1)) >> 15  # of at most 31 bits
+        below = np.where(symbol == 0, 0, np.where(symbol == 1, p, p + part))
+        share = np.where(symbol == 0, p, np.where(symbol == 1, part, rest - part))
+        counted = symbol == 1
+        total = np.where(counted, model.below[:, _SEEN].take(lane, mode="clip"), 1)
+        below0 = model.below.ravel().take(at0 + lane, mode="clip") * counted
+        share0 = np.where(counted, model.own.take(at0, mode="clip"), 1)
+        coder.room(2 * (to - at))
+        parts = [np.ascontiguousarray(x.reshape(lanes, -1).T).astype(np.int64) for x in (below, share, total, below0, share0)]
+        for step in zip(*parts):
+            coder.code(*step)
+        model.learn(h, entry, weights, p, symbol, now)
+    return symbols, coder.finish()
+
+
+def _decoded(words: list[np.ndarray], fresh: list[np.ndarray], steps: int) -> np.ndarray:
+    """The ids of blocks, by their coders' words and their new ids."""
+    lanes = len(words)
+    model, lane = _Model(lanes), np.arange(lanes, dtype=np.int32)
+    width = max(map(len, words)) + 4
+    read = np.zeros((lanes, width), np.int64)
+    for w, own in zip(read, words):
+        w[: len(own)] = own
+    code = (read[:, 0] << 32) | (read[:, 1] << 16) | read[:, 2]
+    read, at = read.ravel(), np.arange(lanes) * width + 3
+    range_ = np.full(lanes, (1 << 48) - 1, np.int64)
+    new, new_at = np.concatenate([*fresh, np.zeros(1, np.int32)]), np.cumsum([0, *map(len, fresh)])[:-1]
+    out = np.zeros((steps, lanes), np.int32)
+    last = prior = before = np.zeros(lanes, np.int32)
+    below0, every = model.below.ravel(), np.tile(np.arange(_SEEN, dtype=np.int16), lanes)
+    for begin, end in _windows(steps):
+        n = end - begin
+        hs, entries, weights = (np.empty((k, n, lanes), np.int32) for k in (2, 2, 3))
+        ps, symbols = np.empty((n, lanes), np.int32), np.empty((n, lanes), np.int32)
+        total = model.below[:, _SEEN].astype(np.int64)
+        # order 0's places, each as often as it has been counted
+        places, first = np.repeat(every, model.own), np.cumsum(total) - total
+        total = np.maximum(total, 1)
+        half = model.known >> 1
+        for t in range(n):
+            h, entry, guess, sure, named = model.predict(lane, last, prior)
+            at3, p = model.first(lane, guess, sure, named, before)
+            rest = 65536 - p
+            part = (rest * half) >> 15
+            range_ >>= 16
+            one = range_ * p
+            two = range_ * part
+            two += one
+            over, above = code >= one, code >= two
+            symbol = over.view(np.int8) + above.view(np.int8)
+            now = guess
+            range_ *= rest
+            rest = range_  # the share of symbols 1 and 2
+            low = one * over
+            range_ = np.where(over, rest, one)
+            which = np.flatnonzero(above)
+            if len(which):
+                edge = two[which]
+                low[which] = edge
+                range_[which] -= edge - one[which]
+                from_ = new_at[which]
+                now[which] = new.take(from_, mode="clip")
+                new_at[which] = from_ + 1
+            which = np.flatnonzero(symbol == 1)
+            if len(which):
+                edge = one[which]
+                r = two[which] - edge
+                r //= total[which]
+                x = code[which] - edge
+                x //= r
+                x += first[which]
+                place = places.take(x, mode="clip") + (lane.take(which) << _SEEN_BITS)
+                now[which] = model.seen.take(place, mode="clip")
+                low[which] = edge + r * below0.take(place + which, mode="clip")
+                r *= model.own.take(place, mode="clip")
+                range_[which] = r
+            code -= low
+            small = np.flatnonzero(range_ < 1 << 32)
+            while len(small):
+                from_ = at[small]
+                code[small] = (code[small] << 16) | read.take(from_, mode="clip")
+                at[small] = from_ + 1
+                r = range_[small] << 16
+                range_[small] = r
+                small = small[r < 1 << 32]
+            hs[:, t], entries[:, t], weights[:, t], ps[t], symbols[t] = h, entry, at3, p, symbol
+            out[begin + t] = now
+            prior, last, before = last, now, symbols[t]
+        by_lane = lambda x: np.ascontiguousarray(np.swapaxes(x, -1, -2)).reshape(*x.shape[:-2], -1)
+        model.learn(*(by_lane(x) for x in (hs, entries, weights, ps, symbols, out[begin:end])))
+    return out.T
 
 
 def _packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -386,15 +355,13 @@ def encode(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, list[np.ndarra
         return np.zeros(0, np.int64), []
     sizes = np.full(blocks, BLOCK, np.int64)
     sizes[-1] = len(ids) - BLOCK * (blocks - 1)
-    whole = np.zeros(blocks * BLOCK, np.int32)
+    whole = np.zeros(blocks * BLOCK, np.int32)  # the last block is filled up if there are others
     whole[: len(ids)] = ids
-    whole = whole.reshape(blocks, BLOCK)
-    coder = _Encoder(blocks)
-    symbols = np.ascontiguousarray(_run(coder, sizes, np.ascontiguousarray(whole.T)[: sizes[0]], None).T)
+    whole = whole.reshape(blocks, BLOCK)[:, : sizes[0]]
+    symbols, coded = _encoded(whole)
     out = []
-    for own, kind, size, words in zip(whole, symbols, sizes.tolist(), coder.finish()):
-        own, kind = own[:size], kind[:size]
-        fresh = own[kind == 3]
+    for own, kind, words in zip(whole, symbols, coded):
+        fresh = own[kind == 2]
         out.append(np.concatenate([np.array([len(fresh)], "<u2"), words, _packed(fresh, bits)]))
     return sizes, out
 
@@ -410,7 +377,5 @@ def decode(sizes: np.ndarray, payloads: list[np.ndarray], vocabulary: int) -> np
         words.append(own[1:to])
         fresh.append(_unpacked(own[to:], n, bits))
     sizes = np.asarray(sizes, np.int64)
-    out = np.zeros((int(sizes[0]), len(sizes)), np.int32)
-    _run(_Decoder(words), sizes, out, _Even(fresh))
-    flat = out.T.reshape(-1)
+    flat = _decoded(words, fresh, int(sizes[0])).reshape(-1)
     return flat[: int(sizes.sum())].astype(np.int64)

@@ -5,7 +5,7 @@ of id: a head with their ids and lengths, an index, and the blocks of all their
 tokens, coded by :mod:`._coder`. Each block is reset and has a checksum of its
 own, as has the head; a damaged block is found, and no other one depends on it.
 
-    magic "ATK1", crc32 of the head              2 x 4 bytes
+    magic "ATK2", crc32 of the head              2 x 4 bytes
     vocabulary, documents, blocks, block size    4 x 4 bytes      \\
     ids of the documents                         8 bytes each      | head
     1 for an id, 0 for null                      1 byte each       |
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import _coder, _store, _tokens
 from ._bytes import sliced, task
 
-MAGIC = b"ATK1"
+MAGIC = b"ATK2"
 #: Tokens from which a segment is closed.
 SEGMENT = 1 << 23
 

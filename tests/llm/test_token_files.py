@@ -82,6 +82,19 @@ def test_fewer_bits_than_zlib_on_the_same_blocks():
     assert 2 * sum(map(len, payloads)) < deflated
 
 
+def test_ids_of_a_window_are_looked_up_together(monkeypatch):
+    """The encoder knows all ids, so it goes by windows; the decoder goes by ids, and learns by windows."""
+    calls = {"predict": 0, "learn": 0}
+    for name in calls:
+        whole = getattr(_coder._Model, name)
+        monkeypatch.setattr(_coder._Model, name, lambda *x, name=name, whole=whole: (calls.update({name: calls[name] + 1}), whole(*x))[1])
+    ids = np.random.default_rng(8).integers(0, 999, 3 * _coder.BLOCK)
+    sizes, payloads = _coder.encode(ids, 999)
+    assert calls["predict"] == calls["learn"] < 50
+    assert np.array_equal(_coder.decode(sizes, payloads, 999), ids)
+    assert calls["learn"] < 100 and calls["predict"] < _coder.BLOCK + 50
+
+
 def test_segments_show_damage():
     docs = [3, None, 5]
     ids = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [], [4] * 5000)]
