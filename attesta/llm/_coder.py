@@ -17,7 +17,8 @@ which needs an id to go on, goes one by one, and all learning is done in bulk.
   its place's count. Symbol 2: a new id, which is written as it is, beside the
   coder. The share of these two adapts as well.
 
-Order 0 has places by a hash of the id; the latest id of a place has it.
+Order 0 has places by a hash of the id; the latest id of a place has it. Its
+counts are halved now and then, so late ids weigh more.
 
 A block's words are the count of its new ids, the range coder's words, and the
 new ids, packed to as many bits as they need. All arithmetic, tables included,
@@ -69,6 +70,10 @@ _BY0 = np.add.outer([-16, -8, 0, 8], [32, -16, -32, 0]).astype(np.int32).ravel()
 #: How fast each of their weights learns: halved so many times.
 _RATES = np.repeat([0, 1, 2], [len(_BY2), len(_BY1), len(_BY0)])
 _BY = np.concatenate([_BY2, _BY1, _BY0])
+#: Order 0's counts of a block are halved, but not to 0, when they are more than this together.
+_MOST = 1536
+#: One error, as it is counted above the sum of a window's errors.
+_ONE = 1 << 32
 #: By order 0's count of a place: none, one, a few, many; already as rows of the table above.
 _OFTEN = (len(_BY2) + len(_BY1) + 4 * np.searchsorted([1, 2, 6], np.arange(BLOCK + 1), "right")).astype(np.int32)
 
@@ -137,10 +142,12 @@ class _Model:
         missed = np.where(entry >= 2 * _SURE, entry - _SURE, now | _SURE)
         self.said[h] = np.where(named == now, held, missed)
         error = np.where(symbol == 0, 65536, 0) - p
-        many, wrong = np.zeros(len(self.by), np.int64), np.zeros(len(self.by), np.int64)
+        both = np.zeros(len(self.by))  # sums of errors, and above them how many; of whole numbers below 2^53, so exact
         for own in at:
-            many += np.bincount(own, minlength=len(many))
-            wrong += np.bincount(own, error, len(wrong)).astype(np.int64)  # of whole numbers, so exact
+            both += np.bincount(own, error + float(_ONE), len(both))
+        both = both.astype(np.int64)
+        many = (both + _ONE // 2) // _ONE
+        wrong = both - many * _ONE
         self.by += ((2 * wrong // (8 + many)).reshape(lanes, -1) >> _RATES).ravel().astype(np.int32)
         symbols = symbol.reshape(lanes, steps)
         known, new = (symbols == 1).sum(1), (symbols == 2).sum(1)
@@ -149,7 +156,11 @@ class _Model:
         at0 = self.places(np.repeat(self.lane, steps), now)
         np.add.at(self.own, at0[(symbol > 0) | (self.seen.take(at0, mode="clip") != now)], np.int16(1))
         self.seen[at0] = now
-        np.cumsum(self.own.reshape(lanes, _SEEN), axis=1, dtype=np.int16, out=self.below[:, 1:])
+        counts = self.own.reshape(lanes, _SEEN)
+        many = np.flatnonzero(counts.sum(1) > _MOST)
+        if len(many):
+            counts[many] = (counts[many] + 1) >> 1
+        np.cumsum(counts, axis=1, dtype=np.int16, out=self.below[:, 1:])
 
 
 class _Encoder:
@@ -176,12 +187,12 @@ class _Encoder:
         range_ *= share0
         small = np.flatnonzero(range_ < 1 << 32)
         while len(small):
-            x = low[small]
-            to = self.at[small]
+            x = low.take(small)
+            to = self.at.take(small)
             self.words[small, to] = x >> 32
             self.at[small] = to + 1
             low[small] = (x & 0xFFFFFFFF) << 16
-            r = range_[small] << 16
+            r = range_.take(small) << 16
             range_[small] = r
             small = small[r < 1 << 32]
 
@@ -278,20 +289,20 @@ def _decoded(words: list[np.ndarray], fresh: list[np.ndarray], steps: int) -> np
             range_ = np.where(over, rest, one)
             which = np.flatnonzero(above)
             if len(which):
-                edge = two[which]
+                edge = two.take(which)
                 low[which] = edge
-                range_[which] -= edge - one[which]
-                from_ = new_at[which]
+                range_[which] -= edge - one.take(which)
+                from_ = new_at.take(which)
                 now[which] = new.take(from_, mode="clip")
                 new_at[which] = from_ + 1
             which = np.flatnonzero(symbol == 1)
             if len(which):
-                edge = one[which]
-                r = two[which] - edge
-                r //= total[which]
-                x = code[which] - edge
+                edge = one.take(which)
+                r = two.take(which) - edge
+                r //= total.take(which)
+                x = code.take(which) - edge
                 x //= r
-                x += first[which]
+                x += first.take(which)
                 place = places.take(x, mode="clip") + (lane.take(which) << _SEEN_BITS)
                 now[which] = model.seen.take(place, mode="clip")
                 low[which] = edge + r * below0.take(place + which, mode="clip")
@@ -300,10 +311,10 @@ def _decoded(words: list[np.ndarray], fresh: list[np.ndarray], steps: int) -> np
             code -= low
             small = np.flatnonzero(range_ < 1 << 32)
             while len(small):
-                from_ = at[small]
-                code[small] = (code[small] << 16) | read.take(from_, mode="clip")
+                from_ = at.take(small)
+                code[small] = (code.take(small) << 16) | read.take(from_, mode="clip")
                 at[small] = from_ + 1
-                r = range_[small] << 16
+                r = range_.take(small) << 16
                 range_[small] = r
                 small = small[r < 1 << 32]
             hs[:, t], entries[:, t], weights[:, t], ps[t], symbols[t] = h, entry, at3, p, symbol

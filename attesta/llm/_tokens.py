@@ -248,9 +248,9 @@ class Encoder:
         first[~plain] = len(ids) + np.cumsum(many[~plain]) - many[~plain]
         return np.concatenate([ids, *others])[_ragged(first, many)], many
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as bytes of little-endian unsigned 32-bit integers."""
-        ids, counts = self.flat(pa.array(list(texts), pa.string()))
+        ids, counts = self.flat(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()))
         raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
         return [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
 

@@ -108,7 +108,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
 
         for batch in batches:
             for few in sliced(batch, "t", 4 << 20):
-                for doc, own in zip(few.column("i").to_pylist(), found.encode(few.column("t").to_pylist())):
+                for doc, own in zip(few.column("i").to_pylist(), found.encode(few.column("t"))):
                     names.append(doc)
                     ids.append(own + end)
                     held += len(own) // 4 + 1
